@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, packing, sharding, sstable
 from .common import table
 
 
+def op5_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op7_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.drop("ids")
+
+
 def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_bounded_ring_shards": op5_bounded_ring_shards,
+    "op7_token_sstables": op7_token_sstables,
+    "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
 
