@@ -49,7 +49,7 @@ def make_dir(spark: SparkSession, path: str) -> str:
 def opened(uri: str, mode: str):
     """A file of the shared folder from inside a task, whatever file system the folder's URI names."""
     fs, path = pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-    return fs.open_output_stream(path) if mode == "wb" else fs.open_input_file(path)
+    return fs.open_output_stream(path, compression=None) if mode == "wb" else fs.open_input_file(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,15 +4,48 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing, sharding, sstable
+from . import decontam, langid, license, minhash, packing, sharding, sstable, topk, urlrules, warc
 from .common import table
 
+# Host and path rules of op9.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"), public_tokenizers.path("piece_bpe_32k.model"))
+    told = langid.predict(docs, model)
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
 
 def op5_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,15 +55,63 @@ def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op9_url_rule_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_warc_chunks": op1_warc_chunks,
+    "op2_license_index": op2_license_index,
+    "op3_threshold_topk": op3_threshold_topk,
+    "op4_segmentation_langid": op4_segmentation_langid,
     "op5_bounded_ring_shards": op5_bounded_ring_shards,
+    "op6_edit_decontamination": op6_edit_decontamination,
     "op7_token_sstables": op7_token_sstables,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
+    "op9_url_rule_sweep": op9_url_rule_sweep,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_warc_chunks": """
+        with p as (
+          select page_id, url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(encode(coalesce(html, ''))) as h from pages
+        ), g as (
+          select *, case when count(*) over w > 1 then max(page_id) over w end as response from p window w as (partition by h, payload_bytes)
+        )
+        select page_id, payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest,
+          case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
+          case when response <> page_id then response end as refers_to,
+          coalesce(url, 'urn:page:' || page_id) as target_uri,
+          case when response <> page_id then 1 else greatest(1, ceil(payload_bytes / 262144.0)) end::bigint as chunks
+        from g""",
+    "op3_threshold_topk": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+        ), s as (
+          select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+          from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+        )
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+        from s qualify rank <= 5""",
+    "op9_url_rule_sweep": """
+        with rules(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+          ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), u as (
+          select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path from pages
+        ), f as (
+          select page_id, host, path, h || p as rule, v from u left join rules
+            on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+        )
+        select page_id, any_value(host) as host, any_value(path) as path, arg_max(rule, length(rule)) as rule,
+          coalesce(arg_max(v, length(rule)), 'allow') as verdict
+        from f group by page_id""",
+}
