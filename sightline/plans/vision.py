@@ -10,14 +10,14 @@ from ..sources import domain as d
 from . import query
 from .relational import ALERTS, alerts
 
-FRAMES = "frames as (select id, id as seq, camera_id, pts_ms, wall_us // 3600000000 as hour, user_id as track_id, vehicle_class, x1, y1, x2, y2, (x1 + x2)::double / 2 as cx, (y1 + y2)::double / 2 as cy, wall_us // 600000000 as frame from sightings)"
+FRAMES = "frames as (select id, id as seq, camera_id, pts_ms, wall_us // 3600000000 as hour, user_id as track_id, vehicle_class, x1, y1, x2, y2, (x1 + x2)::double / 2 as cx, (y1 + y2)::double / 2 as cy, wall_us // 600000000 as frame, wall_us // 1000 as wall_ms from sightings)"
 
 
 def frames(spark, sf_dir):
     s = d.sightings(spark, sf_dir)
     return s.select(
         "id", F.col("id").alias("seq"), "camera_id", "pts_ms", F.expr("wall_us div 3600000000").alias("hour"), "track_id", "vehicle_class", "x1", "y1", "x2", "y2",
-        ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"), F.expr("wall_us div 600000000").alias("frame"),
+        ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"), F.expr("wall_us div 600000000").alias("frame"), F.expr("wall_us div 1000").alias("wall_ms"),
     )
 
 
@@ -155,41 +155,42 @@ def zones(spark):
 
 
 def _hits(spark, sf_dir, rule):
-    return vision.zone_hits(frames(spark, sf_dir), zones(spark).where(F.col("rule") == rule), 1900, 1080, ["camera_id", "track_id", "hour"], ["pts_ms", "id"])
+    points = frames(spark, sf_dir).drop("pts_ms").withColumnRenamed("wall_ms", "pts_ms")  # a clock that doesn't restart
+    return vision.zone_hits(points, zones(spark).where(F.col("rule") == rule), 1900, 1080, ["camera_id", "track_id"], ["pts_ms", "id"])
 
 
-STEPS = "pts as (select *, lag(cx) over w as px, lag(cy) over w as py, min(pts_ms) over w as since from frames window w as (partition by camera_id, track_id, hour order by pts_ms, id))"
+STEPS = "pts as (select *, lag(cx) over w as px, lag(cy) over w as py, min(wall_ms) over w as since from frames window w as (partition by camera_id, track_id order by wall_ms, id))"
 EDGES = """edges as (select zone_id, i, points[i].x * 1900 as xi, points[i].y * 1080 as yi, points[case when i = 1 then len(points) else i - 1 end].x * 1900 as xj, points[case when i = 1 then len(points) else i - 1 end].y * 1080 as yj
       from zones, unnest(range(1, len(points) + 1)) as g(i) where rule <> 'crossing'),
     inside as (
-      select p.id, z.zone_id, z.rule, z.dwell_s, p.camera_id, p.track_id, p.hour, p.pts_ms, p.since from pts p join zones z on z.camera_id = p.camera_id and (len(classes) = 0 or list_contains(classes, p.vehicle_class)) join edges e on e.zone_id = z.zone_id
+      select p.id, z.zone_id, z.rule, z.dwell_s, p.camera_id, p.track_id, p.wall_ms, p.since from pts p join zones z on z.camera_id = p.camera_id and (len(classes) = 0 or list_contains(classes, p.vehicle_class)) join edges e on e.zone_id = z.zone_id
       group by all having count_if((yi > any_value(cy)) <> (yj > any_value(cy)) and false) >= 0 and sum(((yi > cy) <> (yj > cy) and cx < (xj - xi) * (cy - yi) / case when yj = yi then 1e-12 else yj - yi end + xi)::int) % 2 = 1
     )"""
 EDGES = EDGES.replace("count_if((yi > any_value(cy)) <> (yj > any_value(cy)) and false) >= 0 and ", "")
 
 
-@query(f"with {FRAMES}, {STEPS}, {ZONES}, {EDGES} select zone_id, track_id, hour, id from inside where rule = 'intrusion' qualify row_number() over (partition by zone_id, track_id, hour order by pts_ms, id) = 1", d.SIGHTINGS, d.CAMERAS)
+@query(f"with {FRAMES}, {STEPS}, {ZONES}, {EDGES} select zone_id, track_id, id from inside where rule = 'intrusion' qualify row_number() over (partition by zone_id, track_id order by wall_ms, id) = 1", d.SIGHTINGS, d.CAMERAS)
 def zone_intrusion(spark, sf_dir):
-    return _hits(spark, sf_dir, "intrusion").select("zone_id", "track_id", "hour", "id")
+    return _hits(spark, sf_dir, "intrusion").select("zone_id", "track_id", "id")
 
 
 @query(
-    f"with {FRAMES}, {STEPS}, {ZONES}, {EDGES} select zone_id, track_id, hour, id from inside where rule = 'loitering' and (pts_ms - since) / 1000.0 >= dwell_s qualify row_number() over (partition by zone_id, track_id, hour order by pts_ms, id) = 1",
+    f"with {FRAMES}, {STEPS}, {ZONES}, {EDGES} select zone_id, track_id, id from inside where rule = 'loitering' and (wall_ms - since) / 1000.0 >= dwell_s qualify row_number() over (partition by zone_id, track_id order by wall_ms, id) = 1",
     d.SIGHTINGS, d.CAMERAS,
 )
 def zone_loitering(spark, sf_dir):
-    return _hits(spark, sf_dir, "loitering").select("zone_id", "track_id", "hour", "id")
+    return _hits(spark, sf_dir, "loitering").select("zone_id", "track_id", "id")
 
 
 @query(
     f"""with {FRAMES}, {STEPS}, {ZONES}, l as (select zone_id, camera_id, points[1].x * 1900 as ax, points[1].y * 1080 as ay, points[2].x * 1900 as qx, points[2].y * 1080 as qy from zones where rule = 'crossing'),
     o as (select *, (qx - ax) * (py - ay) - (qy - ay) * (px - ax) > 0 as d1, (qx - ax) * (cy - ay) - (qy - ay) * (cx - ax) > 0 as d2,
       (cx - px) * (ay - py) - (cy - py) * (ax - px) > 0 as d3, (cx - px) * (qy - py) - (cy - py) * (qx - px) > 0 as d4 from pts join l using (camera_id) where px is not null)
-    select zone_id, track_id, hour, id, case when d2 then 'a' else 'b' end as side from o where d1 <> d2 and d3 <> d4 qualify row_number() over (partition by zone_id, track_id, hour order by pts_ms, id) = 1""",
+    select zone_id, track_id, id, case when d2 then 'a' else 'b' end as side from o where d1 <> d2 and d3 <> d4 qualify row_number() over (partition by zone_id, track_id order by wall_ms, id) = 1""",
     d.SIGHTINGS, d.CAMERAS,
 )
 def zone_crossing(spark, sf_dir):
-    return _hits(spark, sf_dir, "crossing").select("zone_id", "track_id", "hour", "id", "side")
+    return _hits(spark, sf_dir, "crossing").select("zone_id", "track_id", "id", "side")
 
 
 @query(
