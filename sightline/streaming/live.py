@@ -49,9 +49,9 @@ def live_alerts(sightings: DataFrame, watchlist: Callable[[], DataFrame], path:
     return sightings.writeStream.foreachBatch(score).option("checkpointLocation", shared_path(spark, "alerts-state")).trigger(processingTime=interval).start()
 
 
-def voted(reads: DataFrame, params: Vote = Vote(), idle_ms: int = 6000) -> DataFrame:
+def voted(reads: DataFrame, params: Vote = Vote(), idle_ms: int | None = None) -> DataFrame:
     """Keyed state per camera and track: the newest reads, and after each batch their number and the longest text that
-    most of them have. Tracks that fall silent are dropped."""
+    most of them have. With idle_ms, tracks that fall silent are dropped; a run to the end of what is there needs none."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,14 +62,16 @@ def voted(reads: DataFrame, params: Vote = Vote(), idle_ms: int = 6000) -> DataF
             held += [(int(r.seq), r.text) for r in b.itertuples() if len(r.text) >= params.min_chars]
         held = sorted(held)[-params.max_reads :]
         state.update(([s for s, _ in held], [t for _, t in held]))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if held:
             texts = [t for _, t in held]
             best = max(dict.fromkeys(texts), key=lambda t: (texts.count(t), len(t)))
             yield pd.DataFrame({"camera_id": [key[0]], "track_id": [key[1]], "plate": [best], "reads": [len(held)]})
 
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return reads.groupBy("camera_id", "track_id").applyInPandasWithState(
-        step, "camera_id string, track_id long, plate string, reads int", "seqs array<long>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "camera_id string, track_id long, plate string, reads int", "seqs array<long>, texts array<string>", "append", timeout
     )
 
 
