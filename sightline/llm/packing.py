@@ -23,8 +23,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encode, part, total = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             before, ids = [], []
-            for text in batch.column(1).to_pylist():
-                ids.append(encode(text) + end)
+            for found in encode.many(batch.column(1).to_pylist()):
+                ids.append(found + end)
                 before.append(total)
                 total += len(ids[-1]) // 4
             n = [len(x) // 4 for x in ids]

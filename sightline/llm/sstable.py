@@ -173,11 +173,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, first, last, tokens, path = Encoder.of(tokenizer), None, None, None, 0, ""
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     path = f"{root}/{uuid.uuid4().hex}.sst"
                     writer, first = Writer(opened(path, "wb")), doc_id
-                ids = encode(text) + end
+                ids = found + end
                 writer.add(key_of(doc_id), _packed(ids))
                 last, tokens = doc_id, tokens + len(ids) // 4
         if writer is not None:

@@ -1,22 +1,29 @@
 """Whole texts to ids of a public tokenizer, with the ids of repeated chunks kept.
 
-The vocabularies cut a text at white space before anything else, so a text may be cut just before a run of blanks and
-line feeds that follows another character, and the ids of the chunks join to the ids of the text. Chunks repeat far
-more often than texts, so each worker keeps the ids of those it has met (at most `KEEP`, then it starts anew).
+Both vocabularies part a text before they look pieces up: never inside a run of letters, always where white space
+follows another character and where a run of letters ends. A text may be cut at such places, and the ids of the chunks
+join to the ids of the text. Chunks repeat far more often than texts, so each worker keeps the ids of those it has met
+(at most `KEEP`, then it starts anew). Words that are new are encoded by the library many at a time, and their ids are
+told apart by the tokens that begin or end a word. Texts with characters beyond Latin-1 or with other white space than
+blanks and line feeds take plainer ways.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-KEEP = 300_000
-LONG_CHUNK = 2_000
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+KEEP = 1_000_000
+PART_CHARS = 2_000_000
+MARKS = ".,;:!?"
+#: Runs of blanks and line feeds go with what follows them.
+ANY_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space besides blank and line feed: beside these a cut could fall into a run of white space.
-OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
+OTHER_SPACE = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
+OTHER_LATIN = bytes([9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0])
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -28,9 +35,16 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocabulary = spec["model"]["vocab"]
+        self.lower = spec["model"].get("end_of_word_suffix") == "</w>"  # lower-cases, drops white space
+        self.mark = np.zeros(max(vocabulary.values()) + 2, bool)  # tokens that end (else: begin) a word
+        self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -42,17 +56,81 @@ class Encoder:
         """The library's own result for one text."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def chunks(self, text: str) -> list[str] | None:
+        """Chunks whose ids join to the text's; None if the text must stay whole.
+
+        Where no two white-space characters meet, a chunk is what stands between blanks. In the vocabulary that keeps
+        white space it stands for itself after a blank, or, if it begins with a line feed, for itself alone; the first
+        chunk, which nothing precedes, is marked by a zero character."""
+        try:
+            latin = text.encode("latin-1")
+        except UnicodeEncodeError:
+            latin = None
+        if latin is None or len(latin.translate(None, OTHER_LATIN)) != len(latin) or b"\0" in latin:
+            return None if OTHER_SPACE.search(text) or "\0" in text else ["\0" + c for c in ANY_CHUNK.findall(text)]
+        if self.lower:
+            return text.lower().split()
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return ["\0" + c for c in ANY_CHUNK.findall(text)]
+        return ("\0" + text).replace("\n", " \n").split(" ") if text else []
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new chunks: words joined, then a word with its marks put together, the rest one by one."""
+        put, whole = self.kept, []
+        words: dict[str, None] = {}
+        composed = []
+        for c in new:
+            word = c.rstrip(MARKS)
+            if word.isalpha():  # a run of letters, which marks, if any, end
+                if word not in put:
+                    words[word] = None
+                if word != c:
+                    composed.append((c, word, c[len(word) :]))
+            else:
+                whole.append(c)
+        todo = list(words)
+        for i in range(0, len(todo), 512):
+            some = todo[i : i + 512]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.mark[ids])
+            cuts = np.concatenate([[0], at + 1]) if self.lower else np.concatenate([at, [len(ids)]])
+            if len(cuts) != len(some) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+                whole += some
+                continue
+            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+            put.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for i in range(0, len(whole), 1024):
+            some = whole[i : i + 1024]
+            texts = [c[1:] if c[:1] == "\0" else c if self.lower or c[:1] == "\n" else " " + c for c in some]
+            for c, e in zip(some, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                put[c] = np.array(e.ids, "<u4").tobytes()
+        for c, word, marks in composed:
+            if marks not in self.marks:
+                self.marks[marks] = self.plain(marks)
+            put[c] = put[word] + self.marks[marks]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; texts are taken in parts of about PART_CHARS characters."""
+        out: list[bytes] = []
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < PART_CHARS):
+                size += len(texts[j])
+                j += 1
+            cut = [self.chunks(t) for t in texts[i:j]]
+            every: set[str] = set()
+            for c in cut:
+                every.update(c or ())
+            new = every.difference(self.kept)
+            if len(self.kept) + len(new) > KEEP:
+                self.kept.clear()
+                new = every
+            self._learn(sorted(new))
+            get = self.kept.__getitem__
+            out += [self.plain(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[i:j], cut, strict=True)]
+            i = j
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text):
-            return self.plain(text)
-        chunks, kept = CHUNK.findall(text), self.kept
-        new = [c for c in dict.fromkeys(chunks) if c not in kept]
-        if new:
-            if len(kept) + len(new) > KEEP:
-                kept.clear()
-                new = list(dict.fromkeys(chunks))
-            for i in range(0, len(new), 1024):
-                some = new[i : i + 1024]
-                for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    kept[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([kept[c] for c in chunks])
+        return self.many([text])[0]
