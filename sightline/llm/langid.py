@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_known: dict[str, tuple] = {}
 LETTERS = re.compile(r"[^\W\d_]+")
-KEEP = 400_000
+KEEP = 1_000_000
+PART_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -69,20 +72,39 @@ class Lattice:
                 out[i + 1].append((i, self.unknown))
         return out
 
-    def log_prob(self, word: str, p: list[list[float]]) -> np.ndarray:
-        """Log-probability of the word in each language: the forward sums, p[piece] holding a value a language."""
-        total = 0.0
-        for span in self.windows(word):
-            n_lang = len(p[0])
-            alpha = [[1.0] * n_lang]
-            for into in self.arcs(span)[1:]:
+    def log_probs(self, words: list[str], p: list[list[float]]) -> np.ndarray:
+        """Log-probability of each word in each language by forward sums, p[piece] holding a value a language.
+
+        The sums up to a place depend on what stands before it alone, so spans are taken in order and those that
+        begin alike share their first sums."""
+        spans = sorted({s for w in words for s in self.windows(w)})
+        n_lang, get, longest = len(p[0]), self.index.get, self.longest
+        sums: dict[str, list[float]] = {}
+        alpha, last = [[1.0] * n_lang], ""
+        for span in spans:
+            same = 0
+            for x, y in zip(span, last, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del alpha[same + 1 :]
+            for j in range(same + 1, len(span) + 1):
                 row = [0.0] * n_lang
-                for start, piece in into:
-                    before, q = alpha[start], p[piece]
-                    for k in range(n_lang):
-                        row[k] += before[k] * q[k]
+                for i in range(max(0, j - longest), j):
+                    piece = get(span[i:j])
+                    if piece is None:
+                        if i + 1 < j:
+                            continue
+                        piece = self.unknown
+                    row = [r + b * q for r, b, q in zip(row, alpha[i], p[piece], strict=True)]
                 alpha.append(row)
-            total = total + np.log(alpha[-1])
+            last = span
+            sums[span] = alpha[-1]
+        total = np.zeros((len(words), n_lang))
+        table = dict(zip(sums, np.log(np.array(list(sums.values()))), strict=True))
+        for i, w in enumerate(words):
+            for span in self.windows(w):
+                total[i] += table[span]
         return total
 
     def expected(self, word: str, p: list[float], counts: np.ndarray, weight: float) -> None:
@@ -172,37 +194,45 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Null text and text without a letter are `und`; so is all text if nothing was learned. Equal scores go to the
     first language by name. Only doc_id and text are looked at. Repeated rows and null ids are carried along.
     """
-    spark, params = docs.sparkSession, model.params
+    spark, params, key = docs.sparkSession, model.params, uuid.uuid4().hex
     held = spark.sparkContext.broadcast((model.languages, model.pieces, model.p))  # languages x vocabulary numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, pieces, p = held.value
-        lattice, rows = Lattice(pieces, params), p.tolist()
-        index: dict[str, int] = {}
-        table = np.empty((KEEP, len(languages)))
+        if key not in _known:  # a worker keeps the words it has met from task to task
+            languages, pieces, p = held.value
+            _known.clear()
+            _known[key] = (languages, Lattice(pieces, params), p.tolist(), {}, np.empty((KEEP, len(languages))))
+        languages, lattice, rows, index, table = _known[key]
         for batch in batches:
             pred, score, many = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = words(text) if text else []
-                many.append(len(found))
-                if not found or not languages:
-                    pred.append(params.und)
-                    score.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for at in range(0, len(found), KEEP // 4):
-                    part = found[at : at + KEEP // 4]
-                    new = [w for w in dict.fromkeys(part) if w not in index]
-                    if len(index) + len(new) > KEEP:
-                        index.clear()
-                        new = list(dict.fromkeys(part))
-                    for w in new:
-                        table[len(index)] = lattice.log_prob(w, rows)
-                        index[w] = len(index)
-                    total += table[np.fromiter(map(index.__getitem__, part), np.int64, len(part))].sum(0)
-                best = int(total.argmax())
-                pred.append(languages[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
+            texts = batch.column(1).to_pylist()
+            while texts:
+                size, n = 0, 0
+                while n < len(texts) and (n == 0 or size < PART_CHARS):
+                    size += len(texts[n] or "")
+                    n += 1
+                found = [words(t) if t and languages else [] for t in texts[:n]]
+                texts = texts[n:]
+                new = set().union(*found).difference(index)
+                if len(index) + len(new) > len(table):
+                    index.clear()
+                    new = set().union(*found)
+                    if len(new) > len(table):
+                        table = np.empty((2 * len(new), len(languages)))
+                        _known[key] = (languages, lattice, rows, index, table)
+                if new:
+                    table[len(index) : len(index) + len(new)] = lattice.log_probs(list(new), rows)
+                    index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+                for part in found:
+                    many.append(len(part))
+                    if not part:
+                        pred.append(params.und)
+                        score.append(0.0)
+                        continue
+                    total = table[np.fromiter(map(index.__getitem__, part), np.int64, len(part))].sum(0)
+                    best = int(total.argmax())
+                    pred.append(languages[best])
+                    score.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(many, pa.int64())],
                 names=["doc_id", "lang_pred", "score", "n_words"],
