@@ -118,3 +118,38 @@ def permissions(roles: DataFrame) -> DataFrame:
     every = F.explode(F.array(*[F.lit(p) for p in ("read", "operate", "manage")]))
     out = roles.withColumn("permission", every).join(F.broadcast(table), ["role", "permission"], "left")
     return out.select("event_type", "role", "permission", F.coalesce("has", F.lit(False)).alias("allowed"))
+
+
+def zone_errors(zones: DataFrame, cameras: DataFrame) -> DataFrame:
+    """zones (zone_id, camera_id, rule, points) with the first rule that each breaks, null if none."""
+    known = cameras.select("camera_id").withColumn("known", F.lit(True))
+    out_of_range = F.exists("points", lambda p: ~p["x"].between(0, 1) | ~p["y"].between(0, 1))
+    error = (
+        F.when(~F.col("rule").isin("intrusion", "crossing", "loitering"), "rule")
+        .when(F.size("points") < F.when(F.col("rule") == "crossing", 2).otherwise(3), "points")
+        .when(out_of_range, "range")
+        .when(F.col("known").isNull(), "camera")
+    )
+    return zones.join(F.broadcast(known), "camera_id", "left").withColumn("error", error).drop("known")
+
+
+def first_source(roster: DataFrame, sources: list[tuple[str, DataFrame]], key: str, value: str, default: str, rest: str) -> DataFrame:
+    """The value of the first source that has the key, and that source's name."""
+    out = roster
+    for name, rows in sources:
+        out = out.join(rows.select(key, F.col(value).alias(f"_{name}")), key, "left")
+    held = [F.col(f"_{name}") for name, _ in sources]
+    source = F.coalesce(*[F.when(c.isNotNull(), name) for c, (name, _) in zip(held, sources, strict=True)], F.lit(rest))
+    return out.select(key, F.coalesce(*held, F.lit(default)).alias(value), source.alias("source"))
+
+
+def acknowledge(alerts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sets the flag of the alerts named."""
+    named = ids.distinct().withColumn("_named", F.lit(True))
+    return alerts.join(named, "alert_id", "left").withColumn("acknowledged", F.col("acknowledged") | F.coalesce("_named", F.lit(False))).drop("_named")
+
+
+def edit_watchlist(entries: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Entries after additions, plates upper-cased without blanks and not empty, and removals by id."""
+    new = added.withColumn("plate", F.upper(F.regexp_replace("plate", " ", ""))).where("plate <> ''")
+    return entries.unionByName(new).join(removed.distinct(), "entry_id", "left_anti").select(*entries.columns)
