@@ -44,7 +44,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.line = np.uint32(vocabulary.get("Ċ", 0))
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -78,7 +80,8 @@ class Encoder:
         """Ids of new chunks: words joined, then a word with its marks put together, the rest one by one."""
         put, whole = self.kept, []
         words: dict[str, None] = {}
-        composed = []
+        bare: dict[str, None] = {}
+        composed, opened = [], []
         for c in new:
             word = c.rstrip(MARKS)
             if word.isalpha():  # a run of letters, which marks, if any, end
@@ -86,8 +89,25 @@ class Encoder:
                     words[word] = None
                 if word != c:
                     composed.append((c, word, c[len(word) :]))
+            elif not self.lower and c[:1] in ("\0", "\n") and word[1:].isalpha():  # such a run, but after no blank
+                if word[1:] not in self.bare:
+                    bare[word[1:]] = None
+                opened.append((c, word[1:], c[len(word) :]))
             else:
                 whole.append(c)
+        if len(self.bare) + len(bare) > KEEP // 4:
+            self.bare.clear()
+            bare = dict.fromkeys(w for _, w, _ in opened)
+        todo = list(bare)
+        for i in range(0, len(todo), 512):
+            some = todo[i : i + 512]
+            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
+            if len(ends) != len(some):  # not to be told apart: one by one
+                self.bare.update((w, self.plain(w)) for w in some)
+                continue
+            for w, first, end in zip(some, [0, *(e + 1 for e in ends)], ends, strict=False):
+                self.bare[w] = ids[first:end].tobytes()
         todo = list(words)
         for i in range(0, len(todo), 512):
             some = todo[i : i + 512]
@@ -105,9 +125,14 @@ class Encoder:
             for c, e in zip(some, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 put[c] = np.array(e.ids, "<u4").tobytes()
         for c, word, marks in composed:
-            if marks not in self.marks:
-                self.marks[marks] = self.plain(marks)
-            put[c] = put[word] + self.marks[marks]
+            put[c] = put[word] + self._ending(marks)
+        for c, word, marks in opened:
+            put[c] = (self.line.tobytes() if c[0] == "\n" else b"") + self.bare[word] + self._ending(marks)
+
+    def _ending(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self.plain(marks) if marks else b""
+        return self.marks[marks]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; texts are taken in parts of about PART_CHARS characters."""
