@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 
 class Lists:
-    """Vectors of one block with their sorted per-dimension lists; ids ascending, so ties keep the smaller id."""
+    """Vectors of one block with their sorted per-dimension lists; ids ascending, so ties keep the smaller id.
+
+    `order` has two lists a dimension, best end first for a positive and for a negative weight; a query reads the slices
+    that it has come to and copies nothing else."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[by], vectors[by]
-        self.up = np.argsort(self.x, axis=0, kind="stable")
-        self.down = np.argsort(-self.x, axis=0, kind="stable")
-        self.low = np.take_along_axis(self.x, self.up, 0)
-        self.high = np.take_along_axis(self.x, self.down, 0)
+        columns = np.ascontiguousarray(self.x.T)
+        self.order = np.concatenate([np.argsort(-columns, axis=1, kind="stable"), np.argsort(columns, axis=1, kind="stable")])
+        self.value = np.take_along_axis(np.concatenate([columns, columns]), self.order, 1)
 
     def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows besides those of id `own`, best first, ties to the smaller id.
@@ -25,37 +27,41 @@ class Lists:
         Sorted access: every list is read from its best end for the query's sign. Random access: a row that appears
         for the first time is scored in full. The threshold, the score of a row that stood at the present depth in
         every list, bounds all rows not seen; the search ends once the k-th score is above it."""
-        plus, minus = q > 0, q < 0
-        places = np.concatenate([self.down[:, plus], self.up[:, minus]], axis=1)
-        values = np.concatenate([self.high[:, plus], self.low[:, minus]], axis=1)
-        weights = np.concatenate([q[plus], q[minus]])
+        dims = np.flatnonzero(q != 0)
+        lists, weights = dims + len(q) * (q[dims] < 0), q[dims]
         n = len(self.ids)
         seen = self.ids == own
+        left = n - int(seen.sum())
         score, row = np.empty(0, q.dtype), np.empty(0, np.int64)
-        depth, step = 0, max(16, k)
-        while depth < n:
+        depth, step = 0, max(64, k)
+        while left and depth < n:
             end = min(n, depth + step)
             mask = np.zeros(n, bool)
-            mask[places[depth:end].ravel()] = True
-            if not places.shape[1]:
-                mask[depth:end] = True  # a query of zeros: every row scores 0
-            new = np.flatnonzero(mask & ~seen)
+            mask[self.order[lists, depth:end] if len(lists) else slice(depth, end)] = True  # a query of zeros: all score 0
+            mask &= ~seen
+            new = np.flatnonzero(mask)
             seen |= mask
-            score, row = np.concatenate([score, self.x[new] @ q]), np.concatenate([row, new])
+            left -= len(new)
+            found = self.x[new] @ q
+            if len(score) == k:
+                fit = found >= score[-1]
+                new, found = new[fit], found[fit]
+            score, row = np.concatenate([score, found]), np.concatenate([row, new])
             best = np.lexsort((row, -score))[:k]
             score, row = score[best], row[best]
             depth, step = end, step * 2
-            if (len(score) == k and score[-1] > values[end - 1] @ weights) or seen.all():
+            if len(score) == k and score[-1] > self.value[lists, end - 1] @ weights:
                 break
         return [(int(s), int(i)) for s, i in zip(score, self.ids[row], strict=True)]
 
 
 def _exact(rows: pd.Series) -> np.ndarray:
-    """Integer vectors as doubles where products and sums stay exact, else as Python integers."""
+    """Integer vectors in the smallest of float, double and Python integers in which products and sums stay exact."""
     x = np.floor(256 * np.array(rows.tolist(), np.float64))
-    if x.size and np.abs(x).max() ** 2 * x.shape[1] >= 2**52:
+    largest = np.abs(x).max() ** 2 * x.shape[1] if x.size else 0
+    if largest >= 2**52:
         return np.array([[int(v) for v in r] for r in x], object)
-    return x
+    return x.astype(np.float32) if largest < 2**24 else x
 
 
 def _block(k: int, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
