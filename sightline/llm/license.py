@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,7 +70,11 @@ class Template:
     words: tuple[bytes, ...]
     keys: tuple[tuple[bytes, ...], ...]
     base: bool = False
-    anchors: tuple[int, ...] = field(default=())
+
+    def place(self, key: int) -> int:
+        """Where a mandatory phrase stands in the template."""
+        k = self.keys[key]
+        return next(i for i in range(len(self.words)) if self.words[i : i + len(k)] == k)
 
 
 def _words(text: str) -> tuple[bytes, ...]:
@@ -124,69 +128,81 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[bytes, i
 
 
 class Index:
-    """Postings of the templates' rarest words: word -> (template, position in it)."""
-
-    def __init__(self, n: int, df: dict[bytes, int], rare: int = 3):
-        self.idf = {w: math.log(1 + n / (1 + df.get(w, 0))) for t in templates() for w in t.words}
-        self.templates: list[Template] = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t in templates():
-            # the rarest words of each mandatory phrase: without one of these the template can't be there
-            anchors: list[int] = []
-            for key in t.keys:
-                start = next(i for i in range(len(t.words)) if t.words[i : i + len(key)] == key)
-                places = sorted(range(start, start + len(key)), key=lambda i: (-self.idf[t.words[i]], i))
-                anchors += places[:1] if t.base or len(key) == len(t.words) else places[:rare]
-            t = Template(t.label, t.words, t.keys, t.base, tuple(sorted(anchors)))
-            for i in t.anchors:
-                self.postings.setdefault(t.words[i], []).append((len(self.templates), i))
-            self.templates.append(t)
-        self.overlap = max(len(t.words) for t in templates()) + 1
-
-    def places(self, words: list[bytes], postings: dict[bytes, list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
-        """(template, place of its first word) where the anchors that are there agree on the place."""
-        postings = self.postings if postings is None else postings
-        votes: dict[tuple[int, int], int] = {}
+    """Postings of the rarest words of the templates' mandatory phrases: word -> (template, phrase, place in it)."""
+
+    def __init__(self, n: int, df: dict[bytes, int], rare: int = 2):
+        self.templates = templates()
+        self.idf = {w: math.log(1 + n / (1 + df.get(w, 0))) for t in self.templates for w in t.words}
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = {}
+        self.needed: dict[tuple[int, int], int] = {}
+        for t, template in enumerate(self.templates):
+            for k, key in enumerate(template.keys):
+                # without its rarest words a phrase can't be there
+                anchors = sorted(range(len(key)), key=lambda i: (-self.idf[key[i]], i))[:rare]
+                self.needed[t, k] = len(anchors)
+                for i in anchors:
+                    self.postings.setdefault(key[i], []).append((t, k, i))
+        self.overlap = 2 * max(len(t.words) for t in self.templates)
+
+    def phrases(self, words: list[bytes]) -> dict[int, dict[int, list[int]]]:
+        """template -> phrase -> places in words: the phrase's rare words agree on the place, and it stands there whole."""
+        votes: dict[tuple[int, int, int], int] = {}
         for at, w in enumerate(words):
-            if w in postings:
-                for t, i in postings[w]:
-                    votes[t, at - i] = votes.get((t, at - i), 0) + 1
-        return sorted(x for x, n in votes.items() if n == len(self.templates[x[0]].anchors))
+            if w in self.postings:
+                for t, k, i in self.postings[w]:
+                    votes[t, k, at - i] = votes.get((t, k, at - i), 0) + 1
+        found: dict[int, dict[int, list[int]]] = {}
+        for t, k, at in sorted(votes):
+            key = self.templates[t].keys[k]
+            if votes[t, k, at] == self.needed[t, k] and at >= 0 and tuple(words[at : at + len(key)]) == key:
+                found.setdefault(t, {}).setdefault(k, []).append(at)
+        return found
+
+    def share(self, template: Template, hits: dict[int, list[int]], words: list[bytes]) -> float:
+        """Weight of the template's words near the best place at which all mandatory phrases stand about as far apart as
+        in the template; 0 if there is none."""
+        if len(hits) < len(template.keys):
+            return 0.0
+        slack, best = len(template.words) // 2, 0.0
+        weight = {w: self.idf[w] for w in template.words}
+        for at in hits[0]:
+            start = at - template.place(0)
+            if all(any(abs(h - template.place(k) - start) <= slack for h in hits[k]) for k in hits):
+                near = set(words[max(0, start - slack) : start + len(template.words) + slack])
+                best = max(best, sum(x for w, x in weight.items() if w in near) / sum(weight.values()))
+        return best
 
     def scan(self, data: bytes) -> tuple[int, int, int | None, int | None, set[str], set[str], float]:
         """(words, base places, first, last, base labels, labels, score) of one text."""
         n, count, first, last, base, labels, score = 0, 0, None, None, set(), set(), 0.0
         for start, again, words in blocks(data, self.overlap):
             n = start + len(words)
-            for t, at in self.places(words):
+            for t, hits in self.phrases(words).items():
                 template = self.templates[t]
                 if template.base:
                     size = len(template.words)
-                    if at < 0 or at + size <= again or tuple(words[at : at + size]) != template.words:
-                        continue
-                    count += 1
-                    first = start + at if first is None else min(first, start + at)
-                    last = start + at if last is None else max(last, start + at)
-                    base.add(template.label)
-                    score = 1.0
-                    continue
-                window = words[max(at, 0) : max(at, 0) + len(template.words)]
-                if not all(any(tuple(window[i : i + len(k)]) == k for i in range(len(window))) for k in template.keys):
+                    new = [start + at for at in hits[0] if at + size > again]  # else counted in the block before
+                    if new:
+                        count += len(new)
+                        first = new[0] if first is None else min(first, new[0])
+                        last = new[-1] if last is None else max(last, new[-1])
+                        base.add(template.label)
+                        score = 1.0
                     continue
-                labels.add(template.label)
-                weight = [self.idf[w] for w in template.words]
-                same = sum(x for i, x in enumerate(weight) if 0 <= at + i < len(words) and words[at + i] == template.words[i])
-                score = max(score, same / sum(weight))
+                share = self.share(template, hits, words)
+                if share > 0:
+                    labels.add(template.label)
+                    score = max(score, share)
         return n, count, first, last, base, base | labels, score
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Pass 1 counts in how many documents each licence word occurs. Pass 2 looks up the rarest words of each template,
-    keeps places where all of them stand at the template's distances, and verifies the mandatory phrases word by word;
-    a base phrase is verified whole. score is 1 where a base phrase stands, else the share of the best template's
-    weight (inverse document frequency) that stands in place, 0 with no label. Texts are read in parts of 1 MB.
+    Pass 1 counts in how many documents each licence word occurs. Pass 2 looks up the rarest words of each mandatory
+    phrase, keeps places on which they agree, and verifies the phrase word by word; a template counts where all its
+    phrases stand about as far apart as in it. score is 1 where a base phrase stands, else the share of the best
+    template's weight (inverse document frequency) near that place, 0 with no label. Texts are read in parts of 1 MB.
 
     Null text is empty: no words, no labels (empty strings), null places. Repeated rows and null ids are carried
     along, other columns ignored. An empty table gives no rows.
