@@ -114,4 +114,19 @@ ORACLE_SQL = {
         select page_id, any_value(host) as host, any_value(path) as path, arg_max(rule, length(rule)) as rule,
           coalesce(arg_max(v, length(rule)), 'allow') as verdict
         from f group by page_id""",
+    "op10_minmax_near_duplicates": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), s as (
+          select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+        ), u as (select doc_id, unnest(s) as x from s),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+        links as (
+          select a, b from pairs join s x on x.doc_id = a join s y on y.doc_id = b where 100 * k >= 85 * (len(x.s) + len(y.s) - k)
+        ), both_ways as (select a, b from links union all select b, a from links),
+        reach(doc_id, r) as (
+          select doc_id, doc_id from s union select e.b, reach.r from reach join both_ways e on e.a = reach.doc_id
+        )
+        select doc_id, any_value(len(s.s)) as n_shingles, min(r) as component_id, min(r) = doc_id as kept from reach join s using (doc_id) group by doc_id""",
 }
