@@ -60,7 +60,8 @@ def vocabulary_hit(text: Column, vocabulary: list[tuple[str, str]]) -> Column:
     hits = []
     for rank, (phrase, value) in enumerate(longest_first):
         at = F.regexp_instr(text, F.lit(rf"\b{escaped(phrase)}\b"))
-        hits.append(F.when((at > 0) & ~negated(text, at), F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(value).alias("value"))))
+        hit = F.when((at > 0) & ~negated(text, at), F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(value).alias("value")))
+        hits.append(F.when(F.contains(text, F.lit(phrase)), hit))  # the plain search is cheap and mostly ends it
     return F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull()))["value"]
 
 
@@ -77,7 +78,7 @@ def _one_state(text: Column, phrase: str) -> Column:
         place = F.aggregate(F.slice(parts, 1, i), F.lit(1), lambda s, p: s + F.length(p)) + (i - 1) * len(phrase)
         return ~negated(text, place)
 
-    return F.when(many > 0, F.exists(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), free))
+    return F.when(F.contains(text, F.lit(phrase)) & (many > 0), F.exists(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), free))
 
 
 def mentioned(text: Column, phrases: list[str]) -> Column:
@@ -85,7 +86,7 @@ def mentioned(text: Column, phrases: list[str]) -> Column:
     hits = []
     for phrase in phrases:
         at = F.regexp_instr(text, F.lit(rf"\b{escaped(phrase)}"))
-        hits.append(F.when((at > 0) & ~negated(text, at), F.lit(phrase)))
+        hits.append(F.when(F.contains(text, F.lit(phrase)) & (at > 0) & ~negated(text, at), F.lit(phrase)))
     return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 

@@ -98,7 +98,12 @@ def candidates(reads: DataFrame, entries: DataFrame, params: Match = Match()) ->
 
 
 def alerts(sightings: DataFrame, entries: DataFrame, params: Match = Match()) -> DataFrame:
-    """Scored pairs that alert: candidates joined back to both sides, then the score decides."""
-    pairs = candidates(sightings, entries, params)
-    pairs = pairs.join(sightings.select("id", "camera_id", "plate_text", "vehicle_class", "colour", "wall_us"), "id").join(entries, "entry_id")
-    return with_score(pairs, params).where("is_alert")
+    """Scored pairs that alert. Plates repeat far more often than they differ, so candidates are found and plates scored
+    once for each distinct read; pairs without any plate evidence, which can't alert, go before the sightings come."""
+    s = sightings.withColumn("read_fold", fold_plate(F.col("plate_text")))
+    reads = s.select(F.col("read_fold").alias("id"), F.col("read_fold").alias("plate_text")).distinct()
+    pairs = candidates(reads, entries, params).drop("id").withColumn("p", plate_score(F.col("read_fold"), F.col("entry_fold")))
+    if params.alert_threshold > 0.35:
+        pairs = pairs.where("p > 0")
+    s = s.select("id", "camera_id", "plate_text", "vehicle_class", "colour", "wall_us", "read_fold")
+    return with_score(s.join(pairs.drop("p"), "read_fold").join(entries, "entry_id"), params).where("is_alert")

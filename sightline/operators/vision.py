@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -175,22 +176,25 @@ def step_tracks(tracks: list[dict], found: list[dict], pts_ms: float, next_id: i
 
 def tracked(detections: DataFrame, params: Track = Track()) -> DataFrame:
     """Detections (id, camera_id, epoch, pts_ms, vehicle_class, x1..y2, embedding) with a track id, numbered in each
-    camera and epoch. Frames of one camera and epoch are a task's group; their order is stream time, then id."""
+    camera and epoch, whose frames follow one another in stream time, then id. A group is a camera and a sixteenth of
+    its epochs, so that short epochs don't each cost a call."""
+    columns = ["id", "camera_id", "epoch", "pts_ms", "vehicle_class", "x1", "y1", "x2", "y2", "embedding"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True).sort_values(["pts_ms", "id"], ignore_index=True)
-        tracks, next_id, out = [], 1, []
-        for pts, rows in frame.groupby("pts_ms", sort=True):
-            found = [
-                {"vehicle_class": r.vehicle_class, "box": [r.x1, r.y1, r.x2, r.y2], "embedding": None if r.embedding is None else np.asarray(r.embedding)}
-                for r in rows.itertuples()
-            ]
-            tracks, ids, next_id = step_tracks(tracks, found, float(pts), next_id, params)
-            out.append(pd.DataFrame({"id": rows["id"], "camera_id": key[0], "epoch": key[1], "track": ids}))
-        yield pd.concat(out)
-
-    columns = ["id", "camera_id", "epoch", "pts_ms", "vehicle_class", "x1", "y1", "x2", "y2", "embedding"]
-    return detections.select(*columns).groupBy("camera_id", "epoch").applyInPandas(run, "id long, camera_id string, epoch long, track long")
+        frame = pd.concat(list(batches), ignore_index=True).sort_values(["epoch", "pts_ms", "id"], ignore_index=True)
+        rows = list(zip(*(frame[c].tolist() for c in columns), strict=True))
+        out: list[tuple] = []
+        for epoch, of_epoch in groupby(rows, key=lambda r: r[2]):
+            tracks, next_id = [], 1
+            for pts, of_frame in groupby(of_epoch, key=lambda r: r[3]):
+                seen = list(of_frame)
+                found = [{"vehicle_class": r[4], "box": r[5:9], "embedding": None if r[9] is None else np.asarray(r[9])} for r in seen]
+                tracks, ids, next_id = step_tracks(tracks, found, float(pts), next_id, params)
+                out += [(r[0], key[0], epoch, track) for r, track in zip(seen, ids, strict=True)]
+        yield pd.DataFrame(out, columns=["id", "camera_id", "epoch", "track"])
+
+    dealt = detections.select(*columns).withColumn("part", F.pmod(F.xxhash64("epoch"), F.lit(16)))
+    return dealt.groupBy("camera_id", "part").applyInPandas(run, "id long, camera_id string, epoch long, track long")
 
 
 def likeness(a: Column, b: Column) -> Column:
