@@ -16,6 +16,7 @@ _known: dict[str, tuple] = {}
 LETTERS = re.compile(r"[^\W\d_]+")
 KEEP = 1_000_000
 PART_CHARS = 2_000_000
+BASE, MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,17 @@ class Lattice:
         self.index = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
         self.params, self.unknown = params, len(pieces)
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
+        hashes = np.zeros(len(pieces), np.uint64)
+        for i, piece in enumerate(pieces):
+            h = 0
+            for c in piece:
+                h = (h * int(BASE) + ord(c) + 1) % 2**64
+            hashes[i] = h
+        self.pieces = np.argsort(hashes)
+        self.hashes = hashes[self.pieces]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.hashes * MIX) >> SHIFT] = True
 
     def windows(self, word: str) -> list[str]:
         n = self.params.window
@@ -72,41 +84,59 @@ class Lattice:
                 out[i + 1].append((i, self.unknown))
         return out
 
-    def log_probs(self, words: list[str], p: list[list[float]]) -> np.ndarray:
-        """Log-probability of each word in each language by forward sums, p[piece] holding a value a language.
-
-        The sums up to a place depend on what stands before it alone, so spans are taken in order and those that
-        begin alike share their first sums."""
+    def log_probs(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """Log-probability of each word in each language by forward sums, p[piece] holding a value a language."""
         spans = sorted({s for w in words for s in self.windows(w)})
-        n_lang, get, longest = len(p[0]), self.index.get, self.longest
-        sums: dict[str, list[float]] = {}
-        alpha, last = [[1.0] * n_lang], ""
-        for span in spans:
-            same = 0
-            for x, y in zip(span, last, strict=False):
-                if x != y:
-                    break
-                same += 1
-            del alpha[same + 1 :]
-            for j in range(same + 1, len(span) + 1):
-                row = [0.0] * n_lang
-                for i in range(max(0, j - longest), j):
-                    piece = get(span[i:j])
-                    if piece is None:
-                        if i + 1 < j:
-                            continue
-                        piece = self.unknown
-                    row = [r + b * q for r, b, q in zip(row, alpha[i], p[piece], strict=True)]
-                alpha.append(row)
-            last = span
-            sums[span] = alpha[-1]
-        total = np.zeros((len(words), n_lang))
-        table = dict(zip(sums, np.log(np.array(list(sums.values()))), strict=True))
+        place = {s: i for i, s in enumerate(spans)}
+        table = np.log(self.forward(spans, p))
+        total = np.zeros((len(words), p.shape[1]))
         for i, w in enumerate(words):
-            for span in self.windows(w):
-                total[i] += table[span]
+            if len(w) <= self.params.window:
+                total[i] = table[place["▁" + w]]
+            else:
+                total[i] = table[[place[s] for s in self.windows(w)]].sum(0)
         return total
 
+    def forward(self, spans: list[str], p: np.ndarray) -> np.ndarray:
+        """Sum over all segmentations of each of the sorted, distinct spans.
+
+        The sums up to a place depend on what stands before it alone. Spans that begin alike lie beside each other, so
+        each distinct beginning is worked out once, a length at a time and all of that length together; a piece that
+        ends there is found by the hash of its characters."""
+        size = np.array([len(s) for s in spans])
+        width = int(size.max())
+        code = np.array(spans, f"<U{width}").view("<u4").reshape(len(spans), width).astype(np.uint64)
+        sums = np.zeros((len(spans), width + 1), np.uint64)
+        for j in range(width):
+            sums[:, j + 1] = sums[:, j] * BASE + code[:, j] + np.uint64(1)
+        fresh = np.ones(code.shape, bool)  # the beginning up to here is not the one of the span before
+        fresh[1:] = np.logical_or.accumulate(code[1:] != code[:-1], axis=1)
+        fresh &= np.arange(width) < size[:, None]
+        node = np.cumsum(fresh, axis=0) - 1
+        alpha = [np.ones((1, p.shape[1]))]
+        for j in range(1, width + 1):
+            rows = np.flatnonzero(fresh[:, j - 1])
+            now = np.zeros((len(rows), p.shape[1]))
+            for n in range(1, min(j, self.longest) + 1):
+                h = sums[rows, j] - sums[rows, j - n] * self.powers[n]
+                hit = np.flatnonzero(self.sieve[(h * MIX) >> SHIFT])
+                at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
+                ok = self.hashes[at] == h[hit]
+                hit, piece = hit[ok], self.pieces[at[ok]]
+                if n == 1:  # a character of no piece
+                    rest = np.ones(len(rows), bool)
+                    rest[hit] = False
+                    rest = np.flatnonzero(rest)
+                    hit, piece = np.concatenate([hit, rest]), np.concatenate([piece, np.full(len(rest), self.unknown)])
+                start = np.zeros(len(hit), np.int64) if j == n else node[rows[hit], j - n - 1]
+                now[hit] += alpha[j - n][start] * p[piece]
+            alpha.append(now)
+        out = np.empty((len(spans), p.shape[1]))
+        for j in range(1, width + 1):
+            here = np.flatnonzero(size == j)
+            out[here] = alpha[j][node[here, j - 1]]
+        return out
+
     def expected(self, word: str, p: list[float], counts: np.ndarray, weight: float) -> None:
         """Adds the expected number of uses of each piece in `weight` words, by forward and backward sums."""
         for span in self.windows(word):
@@ -201,7 +231,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         if key not in _known:  # a worker keeps the words it has met from task to task
             languages, pieces, p = held.value
             _known.clear()
-            _known[key] = (languages, Lattice(pieces, params), p.tolist(), {}, np.empty((KEEP, len(languages))))
+            _known[key] = (languages, Lattice(pieces, params), p, {}, np.empty((KEEP, len(languages))))
         languages, lattice, rows, index, table = _known[key]
         for batch in batches:
             pred, score, many = [], [], []

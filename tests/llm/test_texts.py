@@ -87,10 +87,13 @@ def test_forward_sums_all_segmentations():
     p = rng.random((len(pieces) + 1, 2)) / 8
     lattice = langid.Lattice(pieces, langid.Params())
     words = ["ab", "abab", "ba", "cab", "aba", "ab"]
-    got = lattice.log_probs(words, p.tolist())
+    got = lattice.log_probs(words, p)
     for w, g in zip(words, got, strict=True):
         want = sum(np.prod([p[pieces.index(x) if x in pieces else -1] for x in s], axis=0) for s in segmentations("▁" + w, pieces))
         assert np.allclose(np.exp(g), want)
+    longer = langid.Lattice(pieces, langid.Params(window=3)).log_probs(["ababa", "c"], p)[0]
+    parts = [sum(np.prod([p[pieces.index(x) if x in pieces else -1] for x in s], axis=0) for s in segmentations(w, pieces)) for w in ("▁aba", "ba")]
+    assert np.allclose(np.exp(longer), parts[0] * parts[1])
     counts = np.zeros(len(pieces) + 1)
     lattice.expected("abab", p[:, 0].tolist(), counts, 2.0)
     weights = [(np.prod([p[pieces.index(x) if x in pieces else -1][0] for x in s]), s) for s in segmentations("▁abab", pieces)]
