@@ -13,6 +13,9 @@ from .common import written
 from .tokens import Encoder
 
 
+ROWS = 1_000  # documents whose ids are held at once
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows (part, doc_id, before, n, ids): ids as little-endian unsigned 32-bit numbers with the end id, `before`
     the ids of the part's earlier documents. A part is what one task read; the table is written once, so that the
@@ -21,7 +24,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, total = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             before, ids = [], []
             for found in encode.many(batch.column(1).to_pylist()):
                 ids.append(found + end)

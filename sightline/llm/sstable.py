@@ -27,6 +27,7 @@ MAGIC = b"SLT1"
 FOOTER = struct.Struct("<5QI4s")
 ENTRY = struct.Struct("<HHI")
 RESTART = 16
+ROWS = 1_000  # documents whose ids are held at once
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -172,7 +173,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, first, last, tokens, path = Encoder.of(tokenizer), None, None, None, 0, ""
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             for doc_id, found in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     path = f"{root}/{uuid.uuid4().hex}.sst"

@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-KEEP = 1_000_000
+KEEP = 900_000
 PART_CHARS = 2_000_000
 MARKS = ".,;:!?"
 #: Runs of blanks and line feeds go with what follows them.
@@ -151,7 +151,7 @@ class Encoder:
             if len(self.kept) + len(new) > KEEP:
                 self.kept.clear()
                 new = every
-            self._learn(sorted(new))
+            self._learn(list(new))
             get = self.kept.__getitem__
             out += [self.plain(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[i:j], cut, strict=True)]
             i = j
