@@ -100,12 +100,15 @@ def quoted(caption: Column) -> Column:
     )
 
 
-def parsed(caption: Column) -> dict[str, Column]:
-    """The attributes of a caption by name."""
-    text = normalised(caption)
-    masked = text
+def without_photo_words(text: Column) -> Column:
+    """Text with phrases blanked in which a colour isn't the vehicle's."""
     for phrase in NOT_COLOURS:
-        masked = F.regexp_replace(masked, escaped(phrase), " " * len(phrase))
+        text = F.regexp_replace(text, escaped(phrase), " " * len(phrase))
+    return text
+
+
+def parsed(caption: Column, text: Column, masked: Column) -> dict[str, Column]:
+    """The attributes of a caption by name, from its normalised text and that without photo words."""
     alloy, stock = phrase_state(text, ALLOY), phrase_state(text, STOCK)
     wheels = F.when(alloy, "alloy").when(stock, "stock").otherwise("unknown")
     lettering = quoted(caption)
@@ -145,7 +148,9 @@ def description(caption: Column) -> Column:
 
 def with_attributes(df, caption: str = "caption"):
     """Adds the parsed fields, confidence and description of a caption column."""
-    out = df.withColumns(parsed(F.col(caption)))
+    out = df.withColumn("_text", normalised(F.col(caption)))  # made once, looked at some hundred times
+    out = out.withColumn("_masked", without_photo_words(F.col("_text")))
+    out = out.withColumns(parsed(F.col(caption), F.col("_text"), F.col("_masked"))).drop("_text", "_masked")
     return out.withColumn("attribute_confidence", confidence()).withColumn("description", description(F.col(caption)))
 
 
