@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; another operator's is let go first, so that a
+    chain of operators needs no more memory than one of them."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (tests, one machine) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_known: dict[str, tuple] = {}
+from .common import worker_cache
+
 LETTERS = re.compile(r"[^\W\d_]+")
 KEEP = 1_000_000
 PART_CHARS = 2_000_000
+ROWS = 1_000  # documents held as Python strings at once
+SPANS = 16_384  # spans summed at once
 BASE, MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 
 
@@ -88,7 +91,8 @@ class Lattice:
         """Log-probability of each word in each language by forward sums, p[piece] holding a value a language."""
         spans = sorted({s for w in words for s in self.windows(w)})
         place = {s: i for i, s in enumerate(spans)}
-        table = np.log(self.forward(spans, p))
+        # sorted spans share their beginnings with their neighbours, so blocks lose next to nothing and bound the arrays
+        table = np.log(np.concatenate([self.forward(spans[i : i + SPANS], p) for i in range(0, len(spans), SPANS)]))
         total = np.zeros((len(words), p.shape[1]))
         for i, w in enumerate(words):
             if len(w) <= self.params.window:
@@ -228,12 +232,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held = spark.sparkContext.broadcast((model.languages, model.pieces, model.p))  # languages x vocabulary numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _known:  # a worker keeps the words it has met from task to task
+        known = worker_cache(f"words {key}")  # the words met, from task to task
+        if not known:
             languages, pieces, p = held.value
-            _known.clear()
-            _known[key] = (languages, Lattice(pieces, params), p, {}, np.empty((KEEP, len(languages))))
-        languages, lattice, rows, index, table = _known[key]
-        for batch in batches:
+            known["all"] = (languages, Lattice(pieces, params), p, {}, np.empty((KEEP, len(languages))))
+        languages, lattice, rows, index, table = known["all"]
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             pred, score, many = [], [], []
             texts = batch.column(1).to_pylist()
             while texts:
@@ -249,7 +253,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     new = set().union(*found)
                     if len(new) > len(table):
                         table = np.empty((2 * len(new), len(languages)))
-                        _known[key] = (languages, lattice, rows, index, table)
+                        known["all"] = (languages, lattice, rows, index, table)
                 if new:
                     table[len(index) : len(index) + len(new)] = lattice.log_probs(list(new), rows)
                     index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))

@@ -12,11 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, worker_cache, written
 from .components import connected_components
 
 KEEP_WORDS = 500_000
-_words: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -53,12 +52,13 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     words = text.lower().split()  # bytes: A-Z only, and cut at the six ASCII white-space characters
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > KEEP_WORDS:
-        _words.clear()
+    known = worker_cache("words of shingles")
+    if len(known) > KEEP_WORDS:
+        known.clear()
     for w in set(words):
-        if w not in _words:
-            _words[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     odd = np.random.default_rng(1).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.full(len(h) - width + 1, width, np.uint64)

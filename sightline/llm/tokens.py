@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from .common import worker_cache
+
 KEEP = 900_000
 PART_CHARS = 2_000_000
 MARKS = ".,;:!?"
@@ -25,8 +27,6 @@ ANY_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 OTHER_LATIN = bytes([9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0])
 
-_encoders: dict[str, "Encoder"] = {}
-
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as the tokenizers library gives them without special tokens."""
@@ -50,9 +50,10 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        kept = worker_cache(f"ids {path}")
+        if not kept:
+            kept["encoder"] = cls(path)
+        return kept["encoder"]
 
     def plain(self, text: str) -> bytes:
         """The library's own result for one text."""
