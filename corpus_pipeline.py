@@ -14,6 +14,9 @@ from sightline.llm import decontam, langid, minhash, packing
 from sightline.llm.common import table, written
 
 MIN_SCORE = 0.5
+#: Near copies of the stage: 0.80 or more of five-word shingles. A pair of 0.80 shares no bucket with probability 6.6e-7,
+#: and agrees on fewer than 96 sketch bits with 2.8e-7.
+NEAR = minhash.Params(percent=80, bands=27, rows=4, sketch_bits=96)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id of each component of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """The row of the smallest doc_id of each component of near-duplicates, by NEAR."""
+    kept = minhash.near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
