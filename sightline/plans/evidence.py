@@ -77,20 +77,31 @@ def journey_exclusions(spark, sf_dir):
 STEP = Journey(max_gap_s=120.0, min_similarity=0.84)
 
 
-@query(
-    f"""with {WITH_VECTORS}, m as (select s.*, t.time_group, c.lat, c.lon from seen s join sessions t using (camera_id) join cameras c using (camera_id) where corroborated and v is not null),
+def _steps_sql(gap_us: int) -> str:
+    return f"""with {WITH_VECTORS}, m as (select s.*, t.time_group, c.lat, c.lon from seen s join sessions t using (camera_id) join cameras c using (camera_id) where corroborated and v is not null),
     p as (
       select a.time_group, a.id as id_a, b.id as id_b, {d.km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km, (b.scene_us - a.scene_us)::double / 1e6::double as seconds, a.v as va, b.v as vb
-      from m a join m b on a.time_group = b.time_group and b.scene_us > a.scene_us and b.scene_us - a.scene_us <= 120000000 and a.camera_id <> b.camera_id
-    ) select time_group, id_a, id_b, round(km, 6) as km, seconds, round(list_dot_product(va, vb), 6) as similarity from p where km / (seconds / 3600) <= 120 and round(list_dot_product(va, vb), 9) >= 0.84::double""",
-    d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS,
-)
-def journey_candidates(spark, sf_dir):
+      from m a join m b on a.time_group = b.time_group and b.scene_us > a.scene_us and b.scene_us - a.scene_us <= {gap_us} and a.camera_id <> b.camera_id
+    ) select time_group, id_a, id_b, round(km, 6) as km, seconds, round(list_dot_product(va, vb), 6) as similarity from p where km / (seconds / 3600) <= 120 and round(list_dot_product(va, vb), 9) >= 0.84::double"""
+
+
+def _steps(spark, sf_dir, params):
     m = journeys.minable(seen(spark, sf_dir), d.sessions(spark))
-    out = journeys.steps(m, d.cameras(spark), STEP)
+    out = journeys.steps(m, d.cameras(spark), params)
     return out.withColumns({"km": F.round("km", 6), "similarity": F.round("similarity", 6)})
 
 
+@query(_steps_sql(120_000_000), d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS)
+def journey_candidates(spark, sf_dir):
+    """Steps of two minutes at most; `journey_candidates_whole` has those of the reference's whole gap."""
+    return _steps(spark, sf_dir, STEP)
+
+
+@query(_steps_sql(1_800_000_000), d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS)
+def journey_candidates_whole(spark, sf_dir):
+    return _steps(spark, sf_dir, Journey())
+
+
 @query()
 def journey_mine(spark, sf_dir):
     m = journeys.minable(seen(spark, sf_dir), d.sessions(spark))

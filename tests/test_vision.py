@@ -5,12 +5,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sightline import plans
 from sightline.functions import captions
 from sightline.functions.overlay import parsed_seconds
 from sightline.functions.vector import dot
 from sightline.operators import journeys, registry, retention, retrieval, vision
 from sightline.params import Journey, Track
-from sightline.sources import files, sinks
+from sightline.sources import domain, files, sinks
+
+from .conftest import SF
 
 BOX = "id long, camera_id string, epoch long, pts_ms long, vehicle_class string, x1 long, y1 long, x2 long, y2 long, embedding array<double>"
 
@@ -146,3 +149,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "A &lt;b&gt;" in html and "Only the first 1 rows" in html
     alerts = spark.createDataFrame([("P", "cam01", "low", "stolen", 0.9), ("Q", "cam01", "critical", "stolen", 0.9)], "plate string, camera_id string, severity string, category string, score double")
     assert [r.plate for r in sinks.notices(alerts).collect()] == ["Q"]
+
+
+def test_steps_of_the_whole_gap(spark):
+    """A step of 25 minutes counts, one of 31 doesn't; the registered query has steps of more than two minutes."""
+    v = [1.0, 0.0]
+    s = spark.createDataFrame([(1, "cam04", "g", 0, v), (2, "cam14", "g", 1_500_000_000, v), (3, "cam04", "g", 3_360_000_000, v)], "id long, camera_id string, time_group string, t_us long, v array<double>")
+    assert [(r.id_a, r.id_b) for r in journeys.steps(s, domain.cameras(spark)).collect()] == [(1, 2)]
+    assert plans.load()[0]["journey_candidates_whole"](spark, SF).where("seconds > 120").count() > 0
