@@ -16,16 +16,23 @@ from ..params import Journey, Similar
 from .movement import scene_us
 
 
-def similar(gallery: DataFrame, asked: DataFrame, params: Similar = Similar()) -> DataFrame:
+def similar(gallery: DataFrame, asked: DataFrame, params: Similar = Similar(), rows: int = 8192, queries: int = 1024) -> DataFrame:
     """gallery, asked (vec_id, v): rows (query_id, vec_id, similarity, place), the most alike above the threshold.
 
-    The asked vectors are a stated set; each is compared where the gallery rows are, and only rows over the threshold
-    move on to be ranked."""
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    g = gallery.where(usable(F.col("v")))
-    hits = g.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot(F.col("q"), F.col("v")), 9))
-    hits = hits.where(F.col("similarity") >= params.threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    The gallery is dealt into blocks of about `rows`, the asked set into blocks of about `queries`; every pair of blocks
+    is one key of an equi-join, so neither side is held whole. The best of each pair of blocks move on to be ranked."""
+    fit = gallery.where(usable(F.col("v")))
+    d, b = -(-fit.count() // rows) or 1, -(-asked.count() // queries) or 1
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    g = fit.select("vec_id", "v", (block % d).cast("int").alias("db"), span(b).alias("qb"))
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), (block % b).cast("int").alias("qb"), span(d).alias("db"))
+    hits = g.join(q.hint("merge"), ["qb", "db"]).where(F.col("vec_id") != F.col("query_id"))
+    hits = hits.withColumn("similarity", F.round(dot(F.col("q"), F.col("v")), 9)).where(F.col("similarity") >= params.threshold)
+    best = [F.desc("similarity"), "vec_id"]
+    inside = Window.partitionBy("query_id", "db").orderBy(*best)
+    hits = hits.select("query_id", "vec_id", "similarity", "db").withColumn("place", F.row_number().over(inside)).where(F.col("place") <= params.limit)
+    w = Window.partitionBy("query_id").orderBy(*best)
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= params.limit).select("query_id", "vec_id", "similarity", "place")
 
 

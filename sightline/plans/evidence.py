@@ -12,47 +12,80 @@ from . import query
 
 LOOSE = Similar(threshold=0.80, limit=25)
 
-TOPK = f"""{d.BLENDED}, hits as (
-      select q.vec_id as query_id, g.vec_id, round(list_dot_product(q.v, g.v), 9) as similarity from blended q join blended g on q.vec_id % 50 = 0 and g.vec_id <> q.vec_id
+
+def _topk_sql(every: int) -> str:
+    return f"""{d.BLENDED}, hits as (
+      select q.vec_id as query_id, g.vec_id, round(list_dot_product(q.v, g.v), 9) as similarity from blended q join blended g on q.vec_id % {every} = 0 and g.vec_id <> q.vec_id
     ), ranked as (select *, (row_number() over (partition by query_id order by similarity desc, vec_id))::int as place from hits where similarity >= 0.8::double qualify place <= 25)"""
 
 
-def _ranked(spark, sf_dir):
+def _ranked(spark, sf_dir, every):
     g = d.blended(spark, sf_dir)
-    return journeys.similar(g, g.where("vec_id % 50 = 0"), LOOSE)
+    return journeys.similar(g, g.where(F.col("vec_id") % every == 0), LOOSE)
+
+
+#: The first three searches ask with every 50th row, those named `_whole` with all that the rule for searches asks for.
+SOME, WHOLE = 50, 20
 
 
-@query(f"with {TOPK} select query_id, vec_id, round(similarity, 6) as similarity, place from ranked")
+def _topk(every: int) -> str:
+    return f"with {_topk_sql(every)} select query_id, vec_id, round(similarity, 6) as similarity, place from ranked"
+
+
+@query(_topk(SOME))
 def appearance_topk(spark, sf_dir):
-    return _ranked(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+    return _ranked(spark, sf_dir, SOME).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(
-    f"""with {TOPK}, f as (select *, max(similarity) over w as first, max(case when place = 2 then similarity end) over w as second from ranked window w as (partition by query_id))
+@query(_topk(WHOLE))
+def appearance_topk_whole(spark, sf_dir):
+    return _ranked(spark, sf_dir, WHOLE).withColumn("similarity", F.round("similarity", 6))
+
+
+def _ambiguity(every: int) -> str:
+    return f"""with {_topk_sql(every)}, f as (select *, max(similarity) over w as first, max(case when place = 2 then similarity end) over w as second from ranked window w as (partition by query_id))
     select query_id, vec_id, place, coalesce(first - second <= 0.020000001::double and first - similarity <= 0.020000001::double, false) as ambiguous from f"""
-)
+
+
+@query(_ambiguity(SOME))
 def appearance_ambiguity(spark, sf_dir):
-    return journeys.flagged(_ranked(spark, sf_dir), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
+    return journeys.flagged(_ranked(spark, sf_dir, SOME), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
+
+
+@query(_ambiguity(WHOLE))
+def appearance_ambiguity_whole(spark, sf_dir):
+    return journeys.flagged(_ranked(spark, sf_dir, WHOLE), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
 
 
 ATTRS = "attrs as (select vec_id, case vec_id % 4 when 0 then 'suv' when 1 then 'bus' when 2 then 'unknown' end as body, case vec_id % 3 when 0 then 'red' when 1 then 'blue' end as hue from embeddings)"
 
 
-@query(
-    f"""with {TOPK}, {ATTRS}, p as (
+def _adjust_sql(every: int) -> str:
+    return f"""with {_topk_sql(every)}, {ATTRS}, p as (
       select r.*, case when (a.body <> 'unknown' and b.body <> 'unknown' and a.body <> b.body) or a.hue <> b.hue then -0.05::double when a.body <> 'unknown' and b.body <> 'unknown' and a.hue = b.hue then 0.03::double end as delta
       from ranked r join attrs a on a.vec_id = query_id join attrs b on b.vec_id = r.vec_id
     ) select query_id, vec_id, delta, floor(least(1, greatest(0, similarity + coalesce(delta, 0))) * 10000 + 0.5::double) / 10000::double as presented from p"""
-)
-def attribute_adjust(spark, sf_dir):
+
+
+def _adjusted(spark, sf_dir, every):
     attrs = d.raw(spark, sf_dir, "embeddings").selectExpr("vec_id", "case vec_id % 4 when 0 then 'suv' when 1 then 'bus' when 2 then 'unknown' end as body", "case vec_id % 3 when 0 then 'red' when 1 then 'blue' end as hue")
     a, b = attrs.selectExpr("vec_id as query_id", "body as body_a", "hue as hue_a"), attrs.selectExpr("vec_id", "body as body_b", "hue as hue_b")
-    r = _ranked(spark, sf_dir).join(a, "query_id").join(b, "vec_id")
+    r = _ranked(spark, sf_dir, every).join(a, "query_id").join(b, "vec_id")
     r = r.withColumn("delta", attribute_delta(F.col("body_a"), F.col("body_b"), F.col("hue_a"), F.col("hue_b"), 0.03, 0.05))
     shown = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity") + F.coalesce("delta", F.lit(0.0)))) * 10000 + 0.5) / 10000
     return r.select("query_id", "vec_id", "delta", shown.alias("presented"))
 
 
+@query(_adjust_sql(SOME))
+def attribute_adjust(spark, sf_dir):
+    return _adjusted(spark, sf_dir, SOME)
+
+
+@query(_adjust_sql(WHOLE))
+def attribute_adjust_whole(spark, sf_dir):
+    return _adjusted(spark, sf_dir, WHOLE)
+
+
 #: Two of three sightings carry the vector of their event; the rest have none.
 WITH_VECTORS = f"""{d.BLENDED}, seen as (
       select s.*, case when s.id % 3 <> 2 then b.v end as v from sightings s left join blended b on b.vec_id = s.user_id % (select count(*) from embeddings)

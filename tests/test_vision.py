@@ -157,3 +157,21 @@ def test_steps_of_the_whole_gap(spark):
     s = spark.createDataFrame([(1, "cam04", "g", 0, v), (2, "cam14", "g", 1_500_000_000, v), (3, "cam04", "g", 3_360_000_000, v)], "id long, camera_id string, time_group string, t_us long, v array<double>")
     assert [(r.id_a, r.id_b) for r in journeys.steps(s, domain.cameras(spark)).collect()] == [(1, 2)]
     assert plans.load()[0]["journey_candidates_whole"](spark, SF).where("seconds > 120").count() > 0
+
+
+def test_searches_ask_the_whole_set(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id")
+    found = plans.load()[0]["appearance_topk_whole"](spark, SF)
+    assert {r.query_id for r in found.where("query_id % 100 <> 0").select("query_id").distinct().collect()} & {r.vec_id for r in e.collect()}
+
+
+def test_similar_in_blocks(spark):
+    """Any blocks give the same rows, and the plan neither broadcasts nor loops over all pairs."""
+    rows = [(i, [float(np.cos(i / 40)), float(np.sin(i / 40))]) for i in range(60)] + [(90, None), (91, [])]
+    g = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    asked = g.where("vec_id % 20 = 0")
+    whole = journeys.similar(g, asked)
+    parts = journeys.similar(g, asked, rows=7, queries=2)
+    assert sorted(whole.collect()) == sorted(parts.collect()) and whole.count() == 3 * 25
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "NestedLoop" not in plan
