@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import asin, cos, radians, sin, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geo import haversine_km, kmh, plausible
 from ..functions.text import fold_plate, half_up, substrings
 from ..params import Clone, Match
+from .folds import streamed
 
 
 def scene_us(df: DataFrame) -> Column:
@@ -48,46 +52,78 @@ def clones(sightings: DataFrame, cameras: DataFrame, sessions: DataFrame, params
     )
 
 
-STEP = """
-  (acc, x) -> case
-    when x.at is null then named_struct('hops', acc.hops, 'km', acc.km, 'legs', acc.legs, 'unclocked', acc.unclocked + 1, 'other_session', acc.other_session, 'impossible', acc.impossible)
-    when size(acc.hops) = 0 then named_struct('hops', array(x), 'km', acc.km, 'legs', array(0D), 'unclocked', acc.unclocked, 'other_session', acc.other_session, 'impossible', acc.impossible)
-    when not (element_at(acc.hops, -1).time_group <=> x.time_group) then named_struct('hops', acc.hops, 'km', acc.km, 'legs', acc.legs, 'unclocked', acc.unclocked, 'other_session', acc.other_session + 1, 'impossible', acc.impossible)
-    when x.at <= element_at(acc.hops, -1).at or {km} / ((x.at - element_at(acc.hops, -1).at) / 3.6e9D) > {max_kmh}
-      then named_struct('hops', acc.hops, 'km', acc.km, 'legs', acc.legs, 'unclocked', acc.unclocked, 'other_session', acc.other_session, 'impossible', acc.impossible + 1)
-    else named_struct('hops', concat(acc.hops, array(x)), 'km', acc.km + {km}, 'legs', concat(acc.legs, array({km})), 'unclocked', acc.unclocked, 'other_session', acc.other_session, 'impossible', acc.impossible)
-  end"""
+HOPS = "plate string, place int, id long, time_group string, leg_km double"
+ROUTE = (
+    "plate string, hops int, unclocked int, other_session int, impossible int, total_km double, duration_s double, time_groups string"
+)
+
+
+class Route:
+    """One plate's route: the last accepted sighting and running totals. Emits the hops, or the totals at the end."""
+
+    def __init__(self, max_kmh: float, each_hop: bool):
+        self.max_kmh, self.each_hop = max_kmh, each_hop
+        self.hops = self.unclocked = self.other_session = self.impossible = 0
+        self.km, self.first, self.before, self.sessions = 0.0, None, None, set()
+
+    def row(self, x: dict) -> list[tuple]:
+        leg = 0.0
+        if x["at"] is None:
+            self.unclocked += 1
+            return []
+        if self.before is not None:
+            if self.before["time_group"] != x["time_group"]:
+                self.other_session += 1
+                return []
+            leg = _km(self.before, x)
+            if x["at"] <= self.before["at"] or not leg / ((x["at"] - self.before["at"]) / 3.6e9) <= self.max_kmh:
+                self.impossible += 1
+                return []
+        else:
+            self.first = x["at"]
+        self.hops, self.km, self.before = self.hops + 1, self.km + leg, x
+        self.sessions.add(x["time_group"])
+        return [(x["plate"], self.hops, x["id"], x["time_group"], leg)] if self.each_hop else []
+
+    def end(self, last: dict) -> list[tuple]:
+        if self.each_hop:
+            return []
+        took = (self.before["at"] - self.first) / 1e6 if self.hops > 1 else 0.0
+        groups = ",".join(sorted(g for g in self.sessions if g is not None))
+        return [(last["plate"], self.hops, self.unclocked, self.other_session, self.impossible, self.km, took, groups)]
+
+
+def _km(a: dict, b: dict) -> float:
+    if None in (a["lat"], a["lon"], b["lat"], b["lon"]):
+        return 0.0
+    lat_a, lat_b, lon = radians(a["lat"]), radians(b["lat"]), radians(b["lon"] - a["lon"])
+    return 2 * 6371.0 * asin(min(1.0, sqrt(sin((lat_b - lat_a) / 2) ** 2 + cos(lat_a) * cos(lat_b) * sin(lon / 2) ** 2)))
+
+
+def _route(sightings: DataFrame, cameras: DataFrame, sessions: DataFrame, targets: DataFrame, params: Match, each_hop: bool) -> DataFrame:
+    t = targets.select("plate", fold_plate(F.col("plate")).alias("target")).distinct()
+    keys = F.array_distinct(F.concat(F.array("target"), substrings(F.col("target"), 4)))
+    t = t.select("plate", F.explode(keys).alias("fold"))
+    s = sightings.withColumn("fold", fold_plate(F.col("plate_text"))).where("fold <> ''").withColumn("at", scene_us(sightings))
+    s = s.join(t, "fold").join(cameras.select("camera_id", "lat", "lon"), "camera_id", "left").join(sessions, "camera_id", "left")
+    order = ["order_us", "id", "camera_id", "time_group", "at", "lat", "lon"]
+    s = s.select("plate", F.coalesce("at", "wall_us").alias("order_us"), *order[1:])
+    return streamed(s, ["plate"], order, lambda: Route(params.max_kmh, each_hop), StructType.fromDDL(HOPS if each_hop else ROUTE))
 
 
 def routes(sightings: DataFrame, cameras: DataFrame, sessions: DataFrame, targets: DataFrame, params: Match = Match()) -> DataFrame:
     """For each targets.plate: its sightings in time order, each accepted if one vehicle could come from the last
-    accepted one. A refused sighting doesn't become the one before.
+    accepted one. A refused sighting doesn't become the one before. Totals here; `route_hops` has the hops.
 
     A read fits a target if equal when folded, or of four characters and contained in it: targets are exploded into
-    their substrings, so the match is an equi-join. The fold runs over one plate's sightings, ordered by an array sort.
+    their substrings, so the match is an equi-join. The fold streams over one plate's sightings.
     """
-    t = targets.select("plate", fold_plate(F.col("plate")).alias("target")).distinct()
-    keys = F.array_distinct(F.concat(F.array("target"), substrings(F.col("target"), 4)))
-    t = t.select("plate", F.explode(keys).alias("fold"))
-    s = sightings.withColumn("fold", fold_plate(F.col("plate_text"))).where("fold <> ''").withColumn("at", scene_us(sightings))
-    s = s.join(t, "fold").join(cameras.select("camera_id", "lat", "lon"), "camera_id", "left").join(sessions, "camera_id", "left")
-    item = F.struct(F.coalesce("at", "wall_us").alias("order_us"), "id", "camera_id", "time_group", "at", "lat", "lon")
-    kind = "struct<order_us:bigint,id:bigint,camera_id:string,time_group:string,at:bigint,lat:double,lon:double>"
-    prev = "element_at(acc.hops, -1)"
-    km = (
-        f"coalesce(2 * 6371D * asin(sqrt(pow(sin(radians(x.lat - {prev}.lat) / 2), 2)"
-        f" + cos(radians({prev}.lat)) * cos(radians(x.lat)) * pow(sin(radians(x.lon - {prev}.lon) / 2), 2))), 0D)"
-    )
-    init = f"named_struct('hops', cast(array() as array<{kind}>), 'km', 0D, 'legs', cast(array() as array<double>), 'unclocked', 0, 'other_session', 0, 'impossible', 0)"
-    s = s.groupBy("plate").agg(F.sort_array(F.collect_list(item)).alias("seen"))
-    s = s.withColumn("r", F.expr(f"aggregate(seen, {init}, {STEP.format(km=km, max_kmh=params.max_kmh)})"))
-    return s.select(
-        "plate", F.size("r.hops").alias("hops"), F.col("r.unclocked").alias("unclocked"), F.col("r.other_session").alias("other_session"),
-        F.col("r.impossible").alias("impossible"), F.col("r.km").alias("total_km"),
-        F.when(F.size("r.hops") > 1, (F.element_at("r.hops", -1)["at"] - F.get("r.hops", F.lit(0))["at"]) / 1e6).otherwise(0.0).alias("duration_s"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("r.hops", lambda h: h["time_group"]), lambda g: g.isNotNull()))), ",").alias("time_groups"),
-        F.transform("r.hops", lambda h: h["id"]).alias("hop_ids"), F.col("r.legs").alias("legs_km"),
-    )
+    return _route(sightings, cameras, sessions, targets, params, False)
+
+
+def route_hops(sightings: DataFrame, cameras: DataFrame, sessions: DataFrame, targets: DataFrame, params: Match = Match()) -> DataFrame:
+    """The accepted sightings of `routes`, a row each: plate, place from 1, id, time_group, leg_km."""
+    return _route(sightings, cameras, sessions, targets, params, True)
 
 
 def legs(hops: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -13,14 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import in_polygon, iou, segments_cross, side_of
 from ..functions.vector import dot
 from ..params import Clock, Dark, Frame, Track
-
-
-def folded(df: DataFrame, by: list[str], item: Column, init: str, merge: str, finish: str | None = None) -> DataFrame:
-    """One row a group: a fold over the group's items in their own order. For order-dependent rules whose state isn't
-    the row before; the group must be bounded by its key (a camera and epoch, a plate)."""
-    grouped = df.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    tail = f", acc -> {finish}" if finish else ""
-    return grouped.select(*by, F.expr(f"aggregate(items, {init}, {merge}{tail})").alias("folded"))
+from .folds import Spaced, streamed
 
 
 def epochs(frames: DataFrame, by: str = "camera_id", order: str = "seq", pts: str = "pts_ms", tolerance_ms: int = Clock.live_tolerance_ms) -> DataFrame:
@@ -47,22 +40,14 @@ def measured_fps(frames: DataFrame, by: list[str], order: str = "seq", span: int
 
 def sampled(frames: DataFrame, by: list[str], interval_ms: int) -> DataFrame:
     """Frames that are emitted: the first of each group, then those at least the interval after the last emitted."""
-    kind = "array<struct<pts:bigint,id:bigint>>"
-    out = folded(
-        frames, by, F.struct(F.col("pts_ms").cast("long").alias("pts"), F.col("id").cast("long").alias("id")), f"cast(array() as {kind})",
-        f"(acc, x) -> if(size(acc) = 0 or x.pts - element_at(acc, -1).pts >= {interval_ms}, concat(acc, array(x)), acc)",
-    )
-    return out.select(*by, F.explode("folded").alias("x")).select(*by, F.col("x.id").alias("id"), F.col("x.pts").alias("pts_ms"))
+    f = frames.select(*by, F.col("id").cast("long").alias("id"), F.col("pts_ms").cast("long").alias("pts_ms"))
+    return streamed(f, by, ["pts_ms", "id"], lambda: Spaced("pts_ms", interval_ms, [*by, "id", "pts_ms"]), f.schema)
 
 
 def cooled(alerts: DataFrame, key: str, cooldown_us: int) -> DataFrame:
     """Alerts that are sent: none within the cooldown of the last one *sent* for its key."""
-    kind = "array<struct<us:bigint,id:bigint>>"
-    out = folded(
-        alerts, [key], F.struct(F.col("wall_us").alias("us"), F.col("alert_id").alias("id")), f"cast(array() as {kind})",
-        f"(acc, x) -> if(size(acc) = 0 or x.us - element_at(acc, -1).us >= {cooldown_us}, concat(acc, array(x)), acc)",
-    )
-    return out.select(key, F.explode("folded").alias("x")).select(key, F.col("x.id").alias("alert_id"), F.col("x.us").alias("wall_us"))
+    a = alerts.select(key, "alert_id", "wall_us")
+    return streamed(a, [key], ["wall_us", "alert_id"], lambda: Spaced("wall_us", cooldown_us, [key, "alert_id", "wall_us"]), a.schema)
 
 
 def corroborated(readings: DataFrame, by: list[str], params: Clock = Clock()) -> DataFrame:

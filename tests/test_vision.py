@@ -9,7 +9,7 @@ from sightline import plans
 from sightline.functions import captions
 from sightline.functions.overlay import parsed_seconds
 from sightline.functions.vector import dot
-from sightline.operators import journeys, registry, retention, retrieval, vision
+from sightline.operators import journeys, movement, registry, retention, retrieval, vision
 from sightline.params import Journey, Track
 from sightline.sources import domain, files, sinks
 
@@ -175,3 +175,33 @@ def test_similar_in_blocks(spark):
     assert sorted(whole.collect()) == sorted(parts.collect()) and whole.count() == 3 * 25
     plan = parts._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "NestedLoop" not in plan
+
+
+def test_folds_stream(spark):
+    """A hot key passes row by row: its rows are never gathered into one."""
+    n = 200_000
+    a = spark.range(n).selectExpr("if(id % 4 = 0, concat('P', id), 'HOT') as plate", "id as alert_id", "id * 10 as wall_us")
+    sent = vision.cooled(a, "plate", 35)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    ids, last = [], None
+    for i in (i for i in range(n) if i % 4):
+        if last is None or i * 10 - last >= 35:
+            ids.append(i)
+            last = i * 10
+    assert sorted(r.alert_id for r in sent.where("plate = 'HOT'").collect()) == ids
+    assert sent.where("plate <> 'HOT'").count() == n // 4
+    f = a.selectExpr("plate as camera_id", "0L as epoch", "alert_id as id", "wall_us as pts_ms")
+    assert sorted(r.id for r in vision.sampled(f, ["camera_id", "epoch"], 35).where("camera_id = 'HOT'").collect()) == ids
+
+
+def test_route_of_a_hot_plate(spark):
+    n = 50_000
+    s = spark.range(n).selectExpr("id", "if(id % 2 = 0, 'cam04', 'cam14') as camera_id", "'GJ01AB1234' as plate_text", "id * 180000000 as scene_us", "true as corroborated", "id * 180000000 as wall_us")
+    target = spark.createDataFrame([("GJ01AB1234",)], "plate string")
+    plain = [s, domain.cameras(spark), domain.sessions(spark), target]
+    found = movement.routes(*plain)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    r, hops = found.first(), movement.route_hops(*plain)
+    assert (r.hops, r.impossible, r.duration_s) == (n, 0, (n - 1) * 180.0)
+    assert hops.count() == n and abs(hops.agg(F.sum("leg_km")).first()[0] - r.total_km) < 1e-3
