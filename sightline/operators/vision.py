@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geo import in_polygon, iou, segments_cross, side_of
 from ..functions.vector import dot
@@ -159,27 +156,36 @@ def step_tracks(tracks: list[dict], found: list[dict], pts_ms: float, next_id: i
     return tracks, ids, next_id
 
 
+class Tracking:
+    """Tracks of one camera and epoch: live tracks and the rows of the frame being read."""
+
+    def __init__(self, params: Track):
+        self.params, self.tracks, self.next_id = params, [], 1
+        self.frame: list[dict] = []
+
+    def row(self, row: dict) -> list[tuple]:
+        done = self.end(row) if self.frame and self.frame[0]["pts_ms"] != row["pts_ms"] else []
+        self.frame.append(row)
+        return done
+
+    def end(self, last: dict) -> list[tuple]:
+        found = [
+            {"vehicle_class": r["vehicle_class"], "box": [r[c] for c in ("x1", "y1", "x2", "y2")], "embedding": None if r["embedding"] is None else np.asarray(r["embedding"])}
+            for r in self.frame
+        ]
+        self.tracks, ids, self.next_id = step_tracks(self.tracks, found, float(self.frame[0]["pts_ms"]), self.next_id, self.params)
+        out = [(r["id"], r["camera_id"], r["epoch"], track) for r, track in zip(self.frame, ids, strict=True)]
+        self.frame = []
+        return out
+
+
 def tracked(detections: DataFrame, params: Track = Track()) -> DataFrame:
     """Detections (id, camera_id, epoch, pts_ms, vehicle_class, x1..y2, embedding) with a track id, numbered in each
-    camera and epoch, whose frames follow one another in stream time, then id. A group is a camera and a sixteenth of
-    its epochs, so that short epochs don't each cost a call."""
+    camera and epoch, whose frames follow one another in stream time, then id. Rows stream in that order; live tracks
+    and one frame are held."""
     columns = ["id", "camera_id", "epoch", "pts_ms", "vehicle_class", "x1", "y1", "x2", "y2", "embedding"]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True).sort_values(["epoch", "pts_ms", "id"], ignore_index=True)
-        rows = list(zip(*(frame[c].tolist() for c in columns), strict=True))
-        out: list[tuple] = []
-        for epoch, of_epoch in groupby(rows, key=lambda r: r[2]):
-            tracks, next_id = [], 1
-            for pts, of_frame in groupby(of_epoch, key=lambda r: r[3]):
-                seen = list(of_frame)
-                found = [{"vehicle_class": r[4], "box": r[5:9], "embedding": None if r[9] is None else np.asarray(r[9])} for r in seen]
-                tracks, ids, next_id = step_tracks(tracks, found, float(pts), next_id, params)
-                out += [(r[0], key[0], epoch, track) for r, track in zip(seen, ids, strict=True)]
-        yield pd.DataFrame(out, columns=["id", "camera_id", "epoch", "track"])
-
-    dealt = detections.select(*columns).withColumn("part", F.pmod(F.xxhash64("epoch"), F.lit(16)))
-    return dealt.groupBy("camera_id", "part").applyInPandas(run, "id long, camera_id string, epoch long, track long")
+    schema = StructType.fromDDL("id long, camera_id string, epoch long, track long")
+    return streamed(detections.select(*columns), ["camera_id", "epoch"], ["pts_ms", "id"], lambda: Tracking(params), schema)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -205,3 +205,12 @@ def test_route_of_a_hot_plate(spark):
     r, hops = found.first(), movement.route_hops(*plain)
     assert (r.hops, r.impossible, r.duration_s) == (n, 0, (n - 1) * 180.0)
     assert hops.count() == n and abs(hops.agg(F.sum("leg_km")).first()[0] - r.total_km) < 1e-3
+
+
+def test_tracks_stream(spark):
+    """Epochs of a camera stay apart, and no group is gathered whole."""
+    data = [(e * 1000 + t, "c", e, t * 1000, "car", 0, 0, 100, 100, None) for e in range(40) for t in range(50)]
+    found = vision.tracked(spark.createDataFrame(data, BOX))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    assert found.count() == 2000 and found.where("track <> 1").count() == 0
