@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark item."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), decontam.Params(unnamed=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

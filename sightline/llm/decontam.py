@@ -16,11 +16,13 @@ SCHEMA = "doc_id long, item_id long, distance long, budget long, at long, until
 
 @dataclass(frozen=True)
 class Params:
-    """An item of m normalised characters has budget m // chars_per_edit; shorter than min_chars it proves nothing."""
+    """An item of m normalised characters has budget m // chars_per_edit; one shorter than min_chars is matched exactly,
+    as whole words. With `unnamed`, items of null id are searched too, and reported under a null item_id."""
 
     chars_per_edit: int = 16
     min_chars: int = 24
     block_chars: int = 2_000_000
+    unnamed: bool = False
 
 
 def normalised(text: str | None) -> str:
@@ -66,7 +68,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], params: Params):
         import ahocorasick
 
-        self.items = [(i, t, len(t) // params.chars_per_edit) for i, t in items]
+        self.items = [(i, t, len(t) // params.chars_per_edit if len(t) >= params.min_chars else 0) for i, t in items]
+        self.short = [len(t) < params.min_chars for _, t in items]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
             for offset, piece in pieces(text, budget):
@@ -79,10 +82,15 @@ class Matcher:
     def __call__(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item id, distance, budget, start at the latest, end) of the items found, once each, the nearest place."""
         hits: dict[int, set[int]] = {}
+        whole: dict[int, int] = {}  # short items: the first place as whole words
         for end, (length, places) in self.automaton.iter(text):
+            start = end + 1 - length
             for n, offset in places:
-                hits.setdefault(n, set()).add(end + 1 - length - offset)
-        found = []
+                if not self.short[n]:
+                    hits.setdefault(n, set()).add(start - offset)
+                elif n not in whole and text[max(0, start - 1) : start] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                    whole[n] = start
+        found = [(self.items[n][0], 0, 0, start, start + len(self.items[n][1])) for n, start in whole.items()]
         for n, starts in hits.items():
             item_id, item, budget = self.items[n]
             best = None
@@ -99,7 +107,7 @@ class Matcher:
                         best = (near[0], lo + near[1])
             if best:
                 found.append((item_id, best[0], budget, best[1] - len(item), best[1]))
-        return sorted(found)
+        return sorted(found, key=lambda f: (f[0] is not None, f[0] or 0, f[1:]))
 
 
 def _matched(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]], params: Params) -> Iterator[pa.RecordBatch]:
@@ -118,9 +126,10 @@ def _matched(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]], pa
 def item_blocks(benchmark: DataFrame, params: Params) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of at most block_chars characters (or one item), one block on the driver at a time."""
     block, held = [], 0
-    for row in benchmark.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+    named = benchmark if params.unnamed else benchmark.where("item_id is not null")
+    for row in named.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         text = normalised(row.text)
-        if len(text) < params.min_chars:
+        if not text:
             continue
         if block and held + len(text) > params.block_chars:
             yield block
@@ -138,7 +147,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) ->
     Items are a stated query set: they pass in blocks of bounded size, each a pass over the documents without a
     shuffle. Every hit of every piece is verified; overlapping windows of an item are verified together.
 
-    Null or empty texts match nothing, on either side. Items under min_chars match nothing. A repeated item text
+    Null or empty texts match nothing, on either side. Items under min_chars match exactly, as whole words.
+    Items of null id are searched with `params.unnamed` only. A repeated item text
     under several ids is found under each; an id with several texts stands for each of them. A null doc_id is carried along,
     repeated rows are reported as often as they occur. Other columns are ignored; empty tables give no rows.
     """

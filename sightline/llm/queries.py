@@ -43,7 +43,7 @@ def op5_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontam.Params(unnamed=True))
 
 
 def op7_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stages of the pipeline on small cases."""
 
 import corpus_pipeline
-from sightline.llm import minhash
+from sightline.llm import minhash, queries
 
 
 def test_near_dedup_at_eighty(spark):
@@ -14,3 +14,15 @@ def test_near_dedup_at_eighty(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
     assert minhash.near_duplicates(docs).where("kept").count() == 4  # the contract of op10 is 0.85
+
+
+def test_decontaminate_short_and_unnamed(spark, tmp_path):
+    long = "the river bends twice before it meets the old stone bridge near the mill"
+    spark.createDataFrame([(1, "Blue moon?"), (None, long), (2, "!!")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "once in a blue, moon they say"), (2, "a blue moonlit night, true-blue moons"), (3, f"see: {long.upper()}."), (4, "nothing of it"), (5, "blue moons; blue moon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [2, 4]
+    found = queries.op6_edit_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r["at"]) for r in found if r.item_id) == [(1, 1, 0, 10), (5, 1, 0, 11)]
+    assert [(r.doc_id, r.distance) for r in found if r.item_id is None] == [(3, 0)]
