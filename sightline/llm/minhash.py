@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Steps: (1) one pass over the texts gives the size of each shingle set, a 128-bit mark of it, band keys over
-    minima and maxima, and a 128-bit sketch; (2) texts of equal marks form a class, named by its smallest doc_id;
+    minima and maxima, and a 128-bit sketch; (2) texts of equal marks form a class, named by 64 bits of the mark;
     (3) class names that share a bucket and whose sketches agree are joined to the bucket's first name, then across
     what is left of the bucket, into candidate clusters; (4) full sets are built for cluster members only, and each
     cluster is compared exactly, in blocks of `chunk` x `chunk` members; (5) components of the confirmed links.
@@ -177,10 +177,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     classes = (
         signed.where("n > 0 and doc_id is not null")
         .groupBy("mark")
-        .agg(F.min("doc_id").alias("id"), F.min(F.struct("n", "keys", "s1", "s2")).alias("x"))
+        .agg(F.min("doc_id").alias("head"), F.min(F.struct("n", "keys", "s1", "s2")).alias("x"))
     )
-    # a doc_id that heads two classes (repeated rows) heads both; the class of the smaller mark stands for it
-    heads = written(classes.groupBy("id").agg(F.min(F.struct("mark", "x")).alias("y")).select("id", "y.mark", "y.x.*"), "heads")
+    heads = written(classes.select(F.xxhash64("mark").alias("id"), "head", "mark", "x.*"), "heads")
     rows = heads.select("id", "n", "s1", "s2", F.posexplode("keys").alias("band", "key"))
     hub = rows.groupBy("band", "key").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "s1", "s2")).alias("hub"))
     members = written(rows.join(hub.where("many > 1"), ["band", "key"]).drop("many"), "members")
@@ -212,8 +211,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
         .distinct()
     )
     clusters = written(connected_components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across)), "clusters")
-    wanted = clusters.withColumnRenamed("component", "cluster").join(heads.select("id", "mark"), "id")
-    sets = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id") == F.col("id"))
+    wanted = clusters.withColumnRenamed("component", "cluster").join(heads.select("id", "head", "mark"), "id")
+    sets = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id") == F.col("head"))
     sets = written(
         sets.select("id", "cluster", "mark", "text").mapInArrow(
             lambda batches: _sets(batches, p), "id long, cluster long, shingles array<long>"
@@ -227,13 +226,17 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(other)).where("blocks = 1 or block <> other")
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "shingles")
     links = dealt.groupBy("cluster", "i", "j").applyInPandas(lambda f: _confirmed(f, p.percent), "a long, b long")
-    found = connected_components(links)
+    # a doc_id that heads several classes (repeated rows) is one document
+    one = heads.groupBy("head").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where("size(ids) > 1")
+    found = connected_components(links.union(one.select("a", F.explode("ids").alias("b"))))
 
-    # class, then component, of every row; the small tables meet on the mark
+    # class, then component by its smallest doc_id, of every row; the small tables meet on the mark
+    placed_heads = found.join(heads.select("id", "head"), "id")
+    least = placed_heads.groupBy("component").agg(F.min("head").alias("least"))
     whole = (
-        classes.select("mark", "id")
-        .join(found, "id", "left")
-        .select("mark", F.coalesce("component", "id").alias("component_id"))
+        heads.select("mark", "id", "head")
+        .join(found.join(least, "component").select("id", "least"), "id", "left")
+        .select("mark", F.coalesce("least", "head").alias("component_id"))
     )
     out = signed.select("doc_id", "n", "mark").join(whole, "mark", "left")
     alone = (F.col("n") == 0) | F.col("component_id").isNull()

@@ -26,3 +26,14 @@ def test_decontaminate_short_and_unnamed(spark, tmp_path):
     found = queries.op6_edit_decontamination(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.item_id, r.distance, r["at"]) for r in found if r.item_id) == [(1, 1, 0, 10), (5, 1, 0, 11)]
     assert [(r.doc_id, r.distance) for r in found if r.item_id is None] == [(3, 0)]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts links through either, a null text of it does no harm, and equal rows stay once."""
+    a, b = ([f"{c}{i}" for i in range(80)] for c in "ab")
+    a2, b2 = [*a[:-1], "x"], [*b[:-1], "y"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, None), (2, " ".join(a2)), (3, " ".join(b2)), (4, "alone"), (4, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(1, 76): (1, True), (1, 0): (1, True), (2, 76): (1, False), (3, 76): (1, False), (4, 1): (4, True)}
+    assert sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted((i, t or "") for i, t in rows[:3] + rows[5:6])
