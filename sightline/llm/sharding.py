@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes, written
 
+PARTS = 8  # windows over one arc
+COPIES = 65_536  # equal rows dealt out at a time
+
 
 def ring(spark, shards: int, points: int) -> DataFrame:
-    """Rows (arc, shard): virtual node number `arc` in clockwise order. shards * points rows, whatever the data."""
-    at = F.xxhash64(F.lit("node"), F.col("id"))
-    nodes = spark.range(shards * points, numPartitions=1).select(F.expr(f"cast(id % {shards} as int)").alias("shard"), at.alias("at"))
-    return nodes.select("shard", "at", (F.row_number().over(Window.orderBy("at", "shard")) - 1).cast("int").alias("arc"))
+    """Rows (arc, shard, replica, at): virtual nodes in clockwise order, arc counting them. A node's place is the hash
+    of (shard, replica), so that another shard adds its own nodes and leaves all others where they are.
+    shards * points rows, whatever the data."""
+    nodes = spark.range(shards * points, numPartitions=1).select(
+        F.expr(f"cast(id div {points} as int)").alias("shard"), F.expr(f"cast(id % {points} as int)").alias("replica")
+    )
+    nodes = nodes.withColumn("at", F.xxhash64(F.lit("node"), "shard", "replica"))
+    line = Window.orderBy("at", "shard", "replica")
+    return nodes.select("shard", "replica", "at", (F.row_number().over(line) - 1).cast("int").alias("arc"))
 
 
 def _arc(key: Column, nodes: Column) -> Column:
@@ -28,39 +36,62 @@ def _arc(key: Column, nodes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, step)["lo"]
 
 
+def part_of() -> Column:
+    """The part of its arc that a row is ranked in: by hash of all that tells rows apart."""
+    return F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int")
+
+
 def assign(docs: DataFrame, shards: int = 24, points: int = 128, slack: float = 0.0) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard, moved.
 
     A row's place on the ring is the hash of its doc_id; it belongs to the next node clockwise. A shard takes at
     most its capacity: with slack 0 the row count dealt out evenly (counts differ by one at most), else
     ceil((1 + slack) * rows / shards). A shard fills its own arcs in ring order; rows beyond its capacity stand in
-    one line, in ring order, and walk clockwise (two laps at most) to shards with room. `moved` marks those.
+    one line, in ring order, and walk clockwise (two laps at most) to shards with room. `moved` marks those. One more
+    shard takes the arcs before its own nodes and leaves the other nodes' places and owners as they are; besides
+    those rows only some near the edge of a shard's capacity go elsewhere.
 
-    Only the counts of the shards * points arcs are gathered in one row, where a fold walks the ring; the result,
-    ranges of ranks, goes back to the rows by a join whose small side has at most three rows an arc. Ranks come from
-    a window over arcs, each about 1 / (shards * points) of the rows. Slots follow from ranks, without a window over
-    a shard.
+    Ranks inside an arc come from `PARTS` windows over it, of about 1 / (shards * points * PARTS) of the rows each;
+    rows equal in doc_id, size and CRC are counted before they meet there and dealt out again after, `COPIES` at a
+    time, so neither a null id nor a repeated row fills a task. Only the counts of the shards * points arcs are
+    gathered in one row, where a fold walks the ring; the result, ranges of ranks, goes back to the rows by a join
+    whose small side has at most three rows an arc. Slots follow from ranks, without a window over a shard.
 
     Null text has size 8 and the CRC of no bytes. A null doc_id has a place like any other. Repeated rows each take
-    a slot, rows of one arc in order of hash, doc_id, CRC and size. Other columns are ignored; an empty table gives
-    no rows.
+    a slot, rows of one arc in order of part, hash, doc_id, CRC and size. Other columns are ignored; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     body = text_bytes()
     nodes = ring(spark, shards, points)
-    places = F.lit([r["at"] for r in nodes.orderBy("arc").collect()])  # shards * points numbers that no data change
+    at = ",".join(f"{r['at']}L" for r in nodes.orderBy("arc").collect())  # shards * points numbers that no data change
+    places = F.expr(f"array({at})")
     rows = docs.select(
         "doc_id",
         (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        F.xxhash64(F.lit("key"), "doc_id").alias("hash"),
     )
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     arcs = shards * points
-    rows = rows.withColumn("arc", F.pmod(_arc(F.col("hash"), places), F.lit(arcs)))
-    order = Window.partitionBy("arc").orderBy("hash", "doc_id", "text_crc32", "size")
-    ranked = written(rows.withColumn("rank", F.row_number().over(order) - 1), "ring")
+    rows = rows.withColumn("hash", F.xxhash64(F.lit("key"), "doc_id"))
+    rows = rows.withColumn("arc", F.pmod(_arc(F.col("hash"), places), F.lit(arcs))).withColumn("part", part_of())
+    order = Window.partitionBy("arc", "part").orderBy("hash", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = written(rows.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))), "ring")
+
+    # arcs * PARTS counts at most; where each part of an arc begins
+    parts = ranked.groupBy("arc", "part").agg(F.sum("copies").alias("n"))
+    ahead = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written(parts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))), "ring-parts")
+    ranked = ranked.join(F.broadcast(parts.drop("n")), ["arc", "part"]).withColumn("rank", F.col("before") + F.col("ahead"))
+    few = ranked.where("copies = 1").select("doc_id", "size", "text_crc32", "arc", "rank")
+    many = ranked.where("copies > 1").withColumn("lot", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)")))
+    many = many.repartition("doc_id", "size", "text_crc32", "lot").withColumn(
+        "k", F.explode(F.expr(f"sequence(lot, least(lot + {COPIES}, copies) - 1)"))
+    )
+    ranked = few.union(many.select("doc_id", "size", "text_crc32", "arc", F.col("rank") + F.col("k")))
 
-    counts = nodes.join(ranked.groupBy("arc").agg(F.count("*").alias("n")), "arc", "left").fillna(0, ["n"])
+    found = parts.groupBy("arc").agg(F.sum("n").alias("n"))
+    counts = nodes.join(found, "arc", "left").fillna(0, ["n"])
     total = F.sum("n").over(Window.partitionBy())
     exact = F.floor(total / shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
     bounded = F.ceil((1 + slack) * total / shards)

@@ -127,16 +127,17 @@ def placed(rows, shards, points, arc_of, slack=0.0):
     return where
 
 
-@pytest.mark.parametrize("slack", [0.0, 0.05])
-def test_ring(spark, docs, empty, slack):
+@pytest.mark.parametrize("shards, slack", [(7, 0.0), (8, 0.0), (7, 0.05), (8, 0.05)])
+def test_ring(spark, docs, empty, shards, slack):
     rng = random.Random(0)
     df = spark.createDataFrame([(i, prose(rng, "en", 3), "en", "s", 0) for i in range(700)], DOCS).withColumn("shard", F.lit(99))
-    shards, points = 7, 4
+    points = 4
     got = sharding.assign(df, shards, points, slack).collect()
     assert sorted(r.doc_id for r in got) == list(range(700))
     nodes = sharding.ring(spark, shards, points).orderBy("arc").collect()
-    hashes = sorted((r.h, r.doc_id) for r in df.select("doc_id", F.xxhash64(F.lit("key"), "doc_id").alias("h")).collect())
-    rows = [{"key": i, "arc": sum(n["at"] <= h for n in nodes) % len(nodes)} for h, i in hashes]
+    keys = df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), (F.octet_length("text") + 8).cast("long").alias("size"), F.xxhash64(F.lit("key"), "doc_id").alias("h"))
+    hashes = sorted((r.part, r.h, r.doc_id) for r in keys.withColumn("part", sharding.part_of()).collect())
+    rows = [{"key": i, "arc": sum(n["at"] <= h for n in nodes) % len(nodes)} for _, h, i in hashes]
     want = placed(rows, shards, points, [(n.arc, n["shard"]) for n in nodes], slack)
     assert {r.doc_id: (r["shard"], r.slot) for r in got} == want
     counts = [sum(r["shard"] == s for r in got) for s in range(shards)]
@@ -151,6 +152,31 @@ def test_ring(spark, docs, empty, slack):
     assert sharding.assign(empty).count() == 0
 
 
+def test_ring_keeps_its_nodes_when_it_grows(spark):
+    """24 -> 25 shards: every old node has its place and owner still, and few documents change between old shards."""
+    nodes = {n: {(r["shard"], r.replica): r["at"] for r in sharding.ring(spark, n, 128).collect()} for n in (24, 25)}
+    assert {k: v for k, v in nodes[25].items() if k[0] < 24} == nodes[24] and len(nodes[25]) == 25 * 128
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for slack, most in ((0.1, 0.07), (0.0, 0.15)):
+        at = [{r.doc_id: r["shard"] for r in sharding.assign(df, n, 128, slack).collect()} for n in (24, 25)]
+        moved = sum(at[0][i] != at[1][i] for i in at[0]) / 20_000
+        between = sum(at[0][i] != at[1][i] < 24 for i in at[0]) / 20_000
+        print(f"slack {slack}: moved {moved:.4f}, of these between old shards {between:.4f}")
+        assert 0.03 < moved < most
+
+
+def test_ring_with_hot_rows(spark):
+    """Null ids and equal rows, far more than others, each get a slot of their own."""
+    rows = [(None, f"t{i}") for i in range(300)] + [(7, "same")] * 400 + [(i, "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign(df).collect()
+    assert sorted(str((r.doc_id, r.text_crc32)) for r in got) == sorted(str((i, zlib.crc32(t.encode()))) for i, t in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {33, 34}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
