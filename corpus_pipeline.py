@@ -13,38 +13,59 @@ from pyspark.sql import functions as F
 from sightline.llm import decontam, langid, minhash, packing
 from sightline.llm.common import table, written
 
-MIN_SCORE = 0.5
+#: The score is the mean of the words' own probabilities of being of the language told: 0.25 for words that none of four
+#: languages has shown, about 0.4 for texts of two languages.
+MIN_SCORE = 0.3
 #: Near copies of the stage: 0.80 or more of five-word shingles. A pair of 0.80 shares no bucket with probability 6.6e-7,
-#: and agrees on fewer than 96 sketch bits with 2.8e-7.
-NEAR = minhash.Params(percent=80, bands=27, rows=4, sketch_bits=96)
+#: and agrees on fewer than 81 sketch values with 5e-7.
+NEAR = minhash.Params(percent=80, bands=27, rows=4, alike=81)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has letters and whose language scores at least MIN_SCORE; learned from the rows not held out.
 
-    Null and letterless texts go, and with them rows of a null doc_id, which later stages can't name. Rows that repeat
-    a doc_id stay or go together, by their best score.
+    Null, empty and letterless texts go. Each row is judged by its own text: a null doc_id, equal rows and rows that
+    share an id change nothing; texts are read whole, whatever their length. An empty table stays empty; where no row
+    has a lang, all rows with letters stay. All columns are passed on.
     """
     model = langid.fit(docs.where(~langid.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
-    if not model.languages:  # nothing to learn from: no ground to reject a text with letters
-        return docs.where("doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    told = langid.predict(docs, model).where((F.col("lang_pred") != model.params.und) & (F.col("score") >= MIN_SCORE))
-    return docs.join(told.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return langid.recognised(docs, model, MIN_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id of each component of near-duplicates, by NEAR; one of rows of equal id and text."""
-    kept = minhash.near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One document of each component of near-duplicates by NEAR, that of the smallest doc_id: its rows, less those equal
+    to another in id and text.
+
+    Null, empty and blank texts are near to nothing and stay. Rows that share a doc_id count as one document, so all
+    its texts stay or go. Rows of null doc_id stay if no row of an id has their text, one of equal texts; they can't be
+    named in a component. An empty table stays empty. All columns are passed on.
+    """
+    found = minhash.near_duplicates(docs, NEAR)
+    named = docs.where("doc_id is not null")
+    kept = named.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return kept.dropDuplicates(["doc_id", "text"])
+    known = named.where("text is not null").select(F.sha2("text", 256).alias("mark")).distinct()
+    alone = unnamed.join(known, F.sha2(unnamed["text"], 256) == known["mark"], "left_anti")
+    return kept.unionByName(alone.select(*docs.columns)).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a benchmark item."""
+    """Rows without a benchmark item, each judged by its own text, whole, whatever its id or length.
+
+    Null and empty texts hold no item and stay, as do all rows if there are no items; items of null id count. An empty
+    table stays empty. All columns are passed on.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"), decontam.Params(unnamed=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences, ids left out."""
+    """Pieces of the sequences, ids left out: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, crosses.
+
+    A null or empty text is its end id; equal rows are packed each; a null doc_id is passed on; long texts run over
+    many sequences. Other columns are not looked at. An empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 

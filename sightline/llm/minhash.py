@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, worker_cache, written
@@ -18,13 +18,19 @@ from .components import connected_components
 KEEP_WORDS = 500_000
 
 
+#: Fixed odd multipliers for the places of a shingle's words.
+ODD = np.random.default_rng(1).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Params:
     """`permutations` hash functions give twice as many signature values; `bands` of `rows` values are looked up.
 
     A pair of similarity s shares no bucket with probability (1 - s**rows)**bands: 8e-7 at 0.85 with the defaults.
-    `sketch_bits` is the least number of the 2 * permutations one-bit values on which two texts agree before their
-    full sets are compared: fewer than 1 in a million pairs of similarity 0.85 agree on fewer.
+    A sketch holds four bits of each of the 2 * permutations values; `alike` is the least number on which two texts
+    agree before their full sets are compared: about 1 in a million pairs of similarity 0.85 agree on fewer.
+    A bucket in which more than `crowd` texts are unlike its main group is searched through the rarest shingles of its
+    texts instead of pair by pair. Clusters are compared in blocks of about `chunk` texts or `block_shingles` shingles.
     """
 
     words: int = 5
@@ -32,13 +38,16 @@ class Params:
     permutations: int = 64
     bands: int = 24
     rows: int = 5
-    sketch_bits: int = 100
+    alike: int = 89
+    crowd: int = 64
+    listed: int = 262_144
     chunk: int = 512
+    block_shingles: int = 1_000_000
     seed: int = 7
 
     def __post_init__(self):
         if not (self.permutations == 64 and self.bands * self.rows <= 2 * self.permutations):
-            raise ValueError("a sketch is two 64-bit words, and bands * rows values at most are there")
+            raise ValueError("a sketch is of 128 values, and bands * rows values at most are there")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,10 +69,9 @@ def shingles(text: bytes, width: int) -> np.ndarray:
             known[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
-    odd = np.random.default_rng(1).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        out += h[i : len(h) - width + 1 + i] * odd[i]
+        out += h[i : len(h) - width + 1 + i] * ODD[i]
     return np.unique(_mixed(out))
 
 
@@ -82,7 +90,7 @@ def _signed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
     a = rng.integers(0, 2**63, p.permutations, np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, p.permutations, np.uint64) * np.uint64(2)
     factors = rng.integers(0, 2**63, p.rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    place = np.arange(0, 64, 4, dtype=np.uint64)
     for batch in batches:
         n, marks, sigs = [], [], []
         for text in batch.column(1).to_pylist():
@@ -93,15 +101,15 @@ def _signed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
         sig = np.array(sigs, np.uint64).reshape(-1, 2 * p.permutations)
         banded = sig[:, : p.bands * p.rows].reshape(-1, p.bands, p.rows)
         keys = _mixed((banded * factors).sum(2, dtype=np.uint64)).view(np.int64)
-        bits = _mixed(sig) >> np.uint64(63)
+        nibbles = (_mixed(sig) >> np.uint64(60)).reshape(-1, 8, 16)
+        sketch = np.bitwise_or.reduce(nibbles << place, axis=2).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.binary()),
                 pa.array(list(keys), pa.list_(pa.int64())),
-                pa.array((bits[:, :64] * bit).sum(1, dtype=np.uint64).view(np.int64)),
-                pa.array((bits[:, 64:] * bit).sum(1, dtype=np.uint64).view(np.int64)),
+                pa.array(list(sketch), pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n", "mark", "keys", "s1", "s2"],
+            names=["doc_id", "n", "mark", "keys", "sketch"],
         )
 
 
@@ -110,7 +118,7 @@ def _sets(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
         sets = [shingles(t, p.words) for t in batch.column(3).to_pylist()]
         same = [xxhash.xxh128_digest(s.tobytes()) == m for s, m in zip(sets, batch.column(2).to_pylist(), strict=True)]
         out = [batch.column(0), batch.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(out, names=["id", "cluster", "shingles"]).filter(pa.array(same, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(out, names=["id", "c", "shingles"]).filter(pa.array(same, pa.bool_()))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -152,80 +160,195 @@ def _confirmed(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[other], "b": ids[label[other]]})
 
 
+def sets_of(docs: DataFrame, heads: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """Rows (id, c, shingles) for the classes wanted (id, c): their full sets, once each."""
+    wanted = wanted.join(heads.select("id", "head", "mark"), "id")
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = texts.join(wanted, F.col("doc_id") == F.col("head")).select("id", "c", "mark", "text")
+    return rows.mapInArrow(lambda batches: _sets(batches, p), "id long, c long, shingles array<long>").dropDuplicates(["id"])
+
+
+def alike(p: Params, a: str, b: str) -> Column:
+    """Whether the sizes and sketches of two rows a, b (structs or aliases with n, sketch) allow for a link."""
+    n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = F.lit(0)
+    for i in range(8):
+        x = F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return (100 * F.least(n1, n2) >= p.percent * F.greatest(n1, n2)) & (differ <= 2 * p.permutations - p.alike)
+
+
+def rare_shingles(sets: DataFrame, p: Params) -> DataFrame:
+    """Rows (shingle, id, c): of each set of sets(id, c, shingles) the rarest shingles, so many that two linked sets
+    have one of theirs in common.
+
+    Linked sets share at least percent of each; so of either's shingles, in one order that holds for all, the first
+    n - ceil(percent * n / 100) + 1 hold a common one. The order is by frequency in these sets, for the `listed` most
+    frequent shingles at most, and by hash for the others before them.
+    """
+    spark = sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = written(counted.where("n > 1"), "shingle-counts")
+    least, held = 64, 0  # the shingles of 2**least and more uses are as many as may be listed
+    for row in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect():  # 64 rows
+        if held + row["count"] > p.listed:
+            break
+        least, held = row.k, held + row["count"]
+    listed = counted.where(F.floor(F.log2("n")) >= least).orderBy("shingle").toPandas()  # `listed` rows at most
+    names, uses = listed["shingle"].to_numpy(np.int64), listed["n"].to_numpy(np.int64)
+    known = spark.sparkContext.broadcast((names, uses))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, uses = known.value
+        for batch in batches:
+            shingle, owner, c = [], [], []
+            for i, label, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = s.values.to_numpy()
+                often = np.zeros(len(x), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+                    often = np.where(names[at] == x, uses[at], 0)
+                many = len(x) - -(-p.percent * len(x) // 100) + 1
+                shingle.append(x[np.lexsort((x, often))[:many]])
+                owner.append(np.full(len(shingle[-1]), i))
+                c.append(np.full(len(shingle[-1]), label))
+            if shingle:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y), pa.int64()) for y in (shingle, owner, c)], names=["shingle", "id", "c"])
+
+    out = written(sets.select("id", "c", "shingles").mapInArrow(rarest, "shingle long, id long, c long"), "rare")
+    dropped(spark, counted)
+    return out
+
+
+def across(members: DataFrame, keys: list[str], heads: DataFrame, p: Params) -> DataFrame:
+    """Edges (a, b) between the labels c of members(*keys, id, c) that share their keys, have other labels and are alike.
+    In each group those of the commonest label meet only the rest."""
+    parts = members.groupBy(*keys, "c").agg(F.count("*").alias("k"))
+    most = parts.groupBy(*keys).agg(F.count("*").alias("labels"), F.max_by("c", F.struct("k", "c")).alias("most"))
+    most = written(most.where("labels > 1").drop("labels"), "most")
+    mixed = members.join(most, keys).join(heads.select("id", "n", "sketch"), "id")
+    mixed = written(mixed.select(*keys, "most", F.struct("id", "c", "n", "sketch").alias("x")), "mixed")
+    x, y = mixed.where("x.c <> most").drop("most"), mixed.select(*keys, F.col("x").alias("y"))
+    pairs = x.join(y, keys).where((F.col("x.c") != F.col("y.c")) & alike(p, "x", "y"))
+    edges = written(pairs.select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b")).distinct(), "across")
+    dropped(members.sparkSession, most, mixed)
+    return edges
+
+
+def in_blocks(sets: DataFrame, p: Params) -> DataFrame:
+    """sets(id, c, shingles) with the number of blocks of its cluster and the block of each row."""
+    size = sets.groupBy("c").agg(
+        F.least(
+            F.count("*"), F.greatest(F.ceil(F.count("*") / F.lit(p.chunk)), F.ceil(F.sum(F.size("shingles")) / F.lit(p.block_shingles)))
+        ).cast("long").alias("blocks")
+    )
+    return sets.join(size, "c").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+
+
+def first_round(dealt: DataFrame) -> DataFrame:
+    """Rows (c, i, j, id, shingles): block 0 of each cluster stands for it and meets every block, itself among them."""
+    each = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = dealt.withColumn("j", F.explode(each)).where("blocks = 1 or j > 0")
+    return met.select("c", F.lit(0).cast("long").alias("i"), "j", "id", "shingles")
+
+
+def second_round(dealt: DataFrame, joined: DataFrame, p: Params) -> DataFrame:
+    """Rows (c, i, j, id, shingles) for clusters of several blocks: texts that the first round left outside the largest
+    component of their cluster, in blocks i, meet all texts of the cluster, in their blocks j."""
+    large = dealt.where("blocks > 1").join(joined.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labels = large.groupBy("c", "label").agg(F.count("*").alias("k"))
+    most = labels.groupBy("c").agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("left"))
+    most = most.where("left > 0").withColumn("parts", F.ceil(F.col("left") / F.lit(p.chunk)).cast("long"))
+    large = large.join(most, "c")
+    x = large.where("label <> most").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), "parts"))
+    x = x.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    y = large.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("j", F.col("block"))
+    columns = ["c", "i", "j", "id", "shingles"]
+    return x.select(*columns).union(y.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Steps: (1) one pass over the texts gives the size of each shingle set, a 128-bit mark of it, band keys over
-    minima and maxima, and a 128-bit sketch; (2) texts of equal marks form a class, named by 64 bits of the mark;
-    (3) class names that share a bucket and whose sketches agree are joined to the bucket's first name, then across
-    what is left of the bucket, into candidate clusters; (4) full sets are built for cluster members only, and each
-    cluster is compared exactly, in blocks of `chunk` x `chunk` members; (5) components of the confirmed links.
+    minima and maxima, and a sketch; (2) texts of equal marks form a class, named by 64 bits of the mark; (3) class
+    names that share a bucket and are alike by sketch are joined to the bucket's first name, then across what is left
+    of the bucket: pair by pair in small rests, through rare shingles in crowded ones, where texts that share only
+    common passages don't meet; this gives candidate clusters; (4) full sets are built for cluster members only;
+    each cluster is compared exactly, first all members with one block of them, then those not yet joined with all.
     Nothing is collected, no bucket is capped, and a cluster of any size is dealt out in blocks.
 
+    The work grows with the texts, and with the square of a group only for texts that are nearly, but not, linked to
+    one another (similarities of about 0.7 up to the limit).
+
     Null, empty or blank text: n_shingles 0, linked with nothing, kept. Equal texts are linked. Rows that repeat a
     doc_id count as one document. A null doc_id has a null component_id unless another row of the same text has an
     id; such a row is kept only in the first case. Other columns of docs are ignored. An empty table gives no rows.
+    Shingles are known by 64-bit hashes: two that share one count as the same, which can shift a similarity by one
+    shingle. Two classes that share the 64 bits of their names (at 10**9 classes, one pair with probability 3 %) lose
+    the links of one of them.
     """
-    p = params
+    p, spark = params, docs.sparkSession
     signed = written(
         docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(
             lambda batches: _signed(batches, p),
-            "doc_id long, n long, mark binary, keys array<long>, s1 long, s2 long",
+            "doc_id long, n long, mark binary, keys array<long>, sketch array<long>",
         ),
         "signed",
     )
     classes = (
         signed.where("n > 0 and doc_id is not null")
         .groupBy("mark")
-        .agg(F.min("doc_id").alias("head"), F.min(F.struct("n", "keys", "s1", "s2")).alias("x"))
+        .agg(F.min("doc_id").alias("head"), F.min(F.struct("n", "keys", "sketch")).alias("x"))
     )
     heads = written(classes.select(F.xxhash64("mark").alias("id"), "head", "mark", "x.*"), "heads")
-    rows = heads.select("id", "n", "s1", "s2", F.posexplode("keys").alias("band", "key"))
-    hub = rows.groupBy("band", "key").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "s1", "s2")).alias("hub"))
-    members = written(rows.join(hub.where("many > 1"), ["band", "key"]).drop("many"), "members")
-
-    def alike(n1, n2, a1, a2, b1, b2):
-        bits = F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
-        return (100 * F.least(n1, n2) >= p.percent * F.greatest(n1, n2)) & (bits <= 2 * p.permutations - p.sketch_bits)
-
-    m = members
-    by_hub = m.where(
-        (m.id != m.hub.id) & alike(m.n, m.hub.n, m.s1, m.s2, m.hub.s1, m.hub.s2)
-    ).select(m.id.alias("a"), m.hub.id.alias("b")).distinct()
-    stars = written(connected_components(by_hub), "stars")
-    placed = m.drop("hub").join(stars, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    rows = heads.select("id", F.posexplode("keys").alias("band", "key"))
+    buckets = rows.groupBy("band", "key").agg(F.count("*").alias("many"), F.min("id").alias("hub"))
+    buckets = written(buckets.where("many > 1").drop("many"), "buckets")
+    members = written(rows.join(buckets, ["band", "key"]), "members")
+    sketches = heads.select(F.struct("id", "n", "sketch").alias("x"))
+    by_hub = members.where("id <> hub").select("id", "hub").distinct()
+    by_hub = by_hub.join(sketches, F.col("id") == F.col("x.id")).join(sketches.select(F.col("x").alias("y")), F.col("hub") == F.col("y.id"))
+    stars = written(connected_components(by_hub.where(alike(p, "x", "y")).select(F.col("id").alias("a"), F.col("hub").alias("b"))), "stars")
+    placed = members.drop("hub").join(stars, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     placed = written(placed, "placed")
-    # buckets that still hold several stars: all but the largest star against every other member of the bucket
+    # buckets that still hold several stars: few texts outside the largest, or a crowd of them
     parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("k"))
-    most = parts.groupBy("band", "key").agg(F.count("*").alias("stars"), F.max_by("c", F.struct("k", "c")).alias("most"))
-    mixed = placed.join(most.where("stars > 1").drop("stars"), ["band", "key"])
-    x = mixed.where("c <> most").drop("most").alias("x")
-    y = placed.alias("y")
-    across = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-            & alike(F.col("x.n"), F.col("y.n"), F.col("x.s1"), F.col("x.s2"), F.col("y.s1"), F.col("y.s2")),
-        )
-        .select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b"))
-        .distinct()
-    )
-    clusters = written(connected_components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across)), "clusters")
-    wanted = clusters.withColumnRenamed("component", "cluster").join(heads.select("id", "head", "mark"), "id")
-    sets = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id") == F.col("head"))
-    sets = written(
-        sets.select("id", "cluster", "mark", "text").mapInArrow(
-            lambda batches: _sets(batches, p), "id long, cluster long, shingles array<long>"
-        ).dropDuplicates(["id"]),
-        "sets",
-    )
-    # blocks: a cluster of up to `chunk` members is one group, a larger one is dealt into pairs of blocks
-    size = sets.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(p.chunk)).cast("long").alias("blocks"))
-    dealt = sets.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(other)).where("blocks = 1 or block <> other")
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "shingles")
-    links = dealt.groupBy("cluster", "i", "j").applyInPandas(lambda f: _confirmed(f, p.percent), "a long, b long")
+    rest = parts.groupBy("band", "key").agg(F.count("*").alias("stars"), (F.sum("k") - F.max("k")).alias("rest")).where("stars > 1")
+    rest = written(rest.select("band", "key", (F.col("rest") > p.crowd).alias("crowded")), "rest")
+    placed_rest = placed.join(rest, ["band", "key"])
+    edges = across(placed_rest.where("not crowded").drop("crowded"), ["band", "key"], heads, p)
+    crowd = written(placed_rest.where("crowded").select("id", "c").distinct(), "crowd")
+    made = [signed, heads, buckets, members, stars, placed, rest, edges, crowd]
+    if not crowd.isEmpty():
+        crowd_sets = written(sets_of(docs, heads, crowd, p), "crowd-sets")
+        rare = rare_shingles(crowd_sets, p)
+        met = across(rare, ["shingle"], heads, p)
+        made += [crowd_sets, rare, met]
+        edges = edges.union(met)
+    clusters = written(connected_components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(edges)), "clusters")
+    sets = written(sets_of(docs, heads, clusters.withColumnRenamed("component", "c"), p), "sets")
+
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        return written(dealt.groupBy("c", "i", "j").applyInPandas(lambda f: _confirmed(f, p.percent), "a long, b long"), "links")
+
+    dealt = written(in_blocks(sets, p), "dealt")
+    links = confirmed(first_round(dealt))
+    made += [clusters, sets, dealt, links]
+    large = dealt.where("blocks > 1")
+    if not large.isEmpty():
+        joined = written(connected_components(links.join(large.select(F.col("id").alias("a")), "a", "left_semi")), "joined")
+        more = confirmed(second_round(dealt, joined, p))
+        made += [joined, more]
+        links = links.union(more)
     # a doc_id that heads several classes (repeated rows) is one document
     one = heads.groupBy("head").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where("size(ids) > 1")
     found = connected_components(links.union(one.select("a", F.explode("ids").alias("b"))))
@@ -246,5 +369,5 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     out = written(out, "near").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped(docs.sparkSession, signed, heads, members, stars, placed, clusters, sets)
+    dropped(spark, *made)
     return out

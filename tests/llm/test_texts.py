@@ -68,6 +68,11 @@ def test_language_of_held_out_documents(spark, docs, empty):
     letters = {r.doc_id: any(c.isalpha() for c in r.text or "") for r in docs.collect()}
     assert all((r.lang_pred == "und") == (not letters[r.doc_id]) for r in odd if r.doc_id not in (3, None))
     assert langid.predict(empty, model).count() == 0
+    noise = spark.createDataFrame([(1, "zqxj wvkq xzzt qqpw jxvz kkzq"), (2, prose(rng, "en", 20)), (None, prose(rng, "de", 20)), (4, "a" * 5000), (5, " ".join([prose(rng, "en", 8)] * 40_000))], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in langid.predict(noise, model).collect()}
+    assert scores[1] < 0.7 < min(scores[2], scores[None], scores[5])
+    kept = langid.recognised(noise.withColumn("score", F.lit("clash")), model, 0.7).collect()
+    assert {2, None, 5} <= {r.doc_id for r in kept} and 1 not in {r.doc_id for r in kept} and kept[0].score == "clash"
     nothing = langid.fit(empty, PIECES)
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
 
@@ -91,9 +96,6 @@ def test_forward_sums_all_segmentations():
     for w, g in zip(words, got, strict=True):
         want = sum(np.prod([p[pieces.index(x) if x in pieces else -1] for x in s], axis=0) for s in segmentations("▁" + w, pieces))
         assert np.allclose(np.exp(g), want)
-    longer = langid.Lattice(pieces, langid.Params(window=3)).log_probs(["ababa", "c"], p)[0]
-    parts = [sum(np.prod([p[pieces.index(x) if x in pieces else -1] for x in s], axis=0) for s in segmentations(w, pieces)) for w in ("▁aba", "ba")]
-    assert np.allclose(np.exp(longer), parts[0] * parts[1])
     counts = np.zeros(len(pieces) + 1)
     lattice.expected("abab", p[:, 0].tolist(), counts, 2.0)
     weights = [(np.prod([p[pieces.index(x) if x in pieces else -1][0] for x in s]), s) for s in segmentations("▁abab", pieces)]
@@ -102,6 +104,34 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(counts[i], 2 * sum(w * s.count(x) for w, s in weights) / total)
 
 
+@pytest.mark.parametrize("n", [31, 32, 33, 64, 65, 200, 3000])
+def test_long_runs_are_summed_whole(n):
+    """Runs beyond a block against plain sums in logarithms, which know of no block."""
+    pieces = ["▁a", "▁", "a", "b", "ab", "ba", "aba", "bbab", "▁abb"]
+    rng, draw = np.random.default_rng(2), random.Random(n)
+    p = rng.random((len(pieces) + 1, 2)) / 1e4
+    word = "".join(draw.choice("abab" "c") for _ in range(n))
+    lattice, span = langid.Lattice(pieces, langid.Params()), "▁" + word
+    at = {x: i for i, x in enumerate(pieces)}
+    arcs = [(i, j, at.get(span[i:j], len(pieces))) for j in range(1, len(span) + 1) for i in range(max(0, j - 4), j) if span[i:j] in at or i == j - 1]
+    logs = np.log(p)
+    forward, backward = np.full((len(span) + 1, 2), -np.inf), np.full((len(span) + 1, 2), -np.inf)
+    forward[0], backward[-1] = 0, 0
+    for i, j, x in arcs:
+        forward[j] = np.logaddexp(forward[j], forward[i] + logs[x])
+    for i, j, x in reversed(arcs):
+        backward[i] = np.logaddexp(backward[i], backward[j] + logs[x])
+    assert np.allclose(lattice.log_probs([word, "ab"], p)[0], forward[-1]) and np.allclose(lattice.log_prob(span, p), forward[-1])
+    counts, want = np.zeros(len(p)), np.zeros(len(p))
+    lattice.expected(word, p[:, 1].tolist(), counts, 3.0)
+    many = np.zeros(len(p))
+    lattice.expected_many([word, word], p[:, 1], many, np.array([1.0, 2.0]))
+    assert np.allclose(many, counts)
+    for i, j, x in arcs:
+        want[x] += 3 * np.exp(forward[i, 1] + logs[x, 1] + backward[j, 1] - forward[-1, 1])
+    assert np.allclose(counts, want)
+
+
 def edit_distance_in(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
@@ -190,7 +220,7 @@ def test_near_duplicates(spark, docs, empty):
         drift[rng.randrange(len(drift))] = f"d{i}"
         rows.append((9100 + i, " ".join(drift)))
     df = spark.createDataFrame([(*r, "k", "m") for r in rows], "doc_id long, text string, key string, mark string")
-    for params in (minhash.Params(), minhash.Params(chunk=7)):
+    for params in (minhash.Params(), minhash.Params(chunk=7), minhash.Params(crowd=0, listed=50, chunk=1000, block_shingles=900)):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, params).collect()}
         assert got == near_truth(rows)
 
@@ -204,6 +234,49 @@ def test_near_duplicates_odd_rows(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def spied(monkeypatch):
+    """Rows of the tables that the operator writes, by tag."""
+    rows, plain = {}, minhash.written
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        rows.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    return rows
+
+
+@pytest.mark.parametrize("n", [1000, 2000])
+def test_common_passages_make_no_pairs(spark, monkeypatch, n):
+    """Pages of 80 shared and 40 own words: none linked, and what meets grows with the pages, not with their square."""
+    shared = " ".join(f"s{i}" for i in range(80))
+    df = spark.createDataFrame([(k, shared + "".join(f" p{k}x{i}" for i in range(40))) for k in range(n)], "doc_id long, text string")
+    rows = spied(monkeypatch)
+    got = minhash.near_duplicates(df)
+    assert got.where("kept").count() == n
+    assert max(rows["mixed"]) <= 24 * n and sum(rows["across"]) < n / 10 and sum(rows["sets"]) < n / 2 and rows["rare"][0] < 30 * n
+
+
+def test_many_near_copies_meet_in_proportion(spark, monkeypatch):
+    """2,000 near copies of one text in blocks of 50: each set is copied about twice, not once for each block."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(2000):
+        x = list(base)
+        x[rng.randrange(200)] = f"v{rng.randrange(10**9)}"
+        texts.append(" ".join(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, met = spied(monkeypatch), []
+    first, second = minhash.first_round, minhash.second_round
+    monkeypatch.setattr(minhash, "first_round", lambda d: met.append(first(d)) or met[-1])
+    monkeypatch.setattr(minhash, "second_round", lambda *a: met.append(second(*a)) or met[-1])
+    monkeypatch.setattr(minhash, "dropped", lambda *a: None)
+    got = minhash.near_duplicates(df, minhash.Params(chunk=50))
+    assert got.select("component_id").distinct().count() == 1 and sum(m.count() for m in met) < 3 * 2000 and rows["sets"] == [2000]
+
+
 @pytest.mark.parametrize("edges, want", [([], {}), ([(1, 1)], {}), ([(i, i + 1) for i in range(40)], {i: 0 for i in range(41)}), ([(5, 9), (9, 2), (7, 8), (8, 7)], {5: 2, 9: 2, 2: 2, 7: 7, 8: 7})])
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, "a long, b long")
