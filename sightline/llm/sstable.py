@@ -11,12 +11,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ FOOTER = struct.Struct("<5QI4s")
 ENTRY = struct.Struct("<HHI")
 RESTART = 16
 ROWS = 1_000  # documents whose ids are held at once
+FILE_BYTES = 256 << 20  # a file is closed beyond these bytes of blocks, or these keys
+FILE_KEYS = 4_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -46,7 +50,7 @@ class Writer:
         self.out, self.block_bytes, self.bits = out, block_bytes, bits
         self.at, self.entries, self.block, self.size, self.last = 0, 0, [], 0, b""
         self.index: list[bytes] = []
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
         self.first = b""
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -80,7 +84,7 @@ class Writer:
         index, k = b"".join(self.index), 7
         m = max(64, self.bits * self.entries)
         field = np.zeros((m + 7) // 8, np.uint8)
-        h = np.array(self.hashes, np.uint64)
+        h = np.frombuffer(self.hashes, np.uint64) if self.hashes else np.zeros(0, np.uint64)
         for i in range(k):
             bit = (h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1))) % np.uint64(len(field) * 8)
             np.bitwise_or.at(field, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
@@ -160,37 +164,48 @@ def _unpacked(value: bytes) -> bytes:
     return np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes() if value[0] == 2 else value[1:]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Encodes docs and writes one file a range of doc_id; returns the manifest (shard, path, first_id, last_id,
-    docs, tokens, bytes, start), start being the ids of all earlier files.
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES, file_keys: int = FILE_KEYS) -> DataFrame:
+    """Encodes docs and writes sorted files, one or more for each range of (doc_id, hash of text); returns the manifest
+    (shard, path, part, seq, first_id, last_id, docs, tokens, bytes, start), start being the ids of all earlier files.
 
-    Texts move once, to the range of their id; ids are made beside the writer. Each attempt of a task writes a file
-    of its own, and only those named in the manifest count, so retried or doubled tasks do no harm.
+    Texts move once, to their range; equal ids may lie in several ranges, and in several files that follow each other.
+    Ids are made beside the writer. A file ends at file_bytes of blocks or file_keys keys, so neither its index nor its
+    filter grows with the data. Each attempt of a task writes files of its own, and only those named in the manifest
+    count, so retried or doubled tasks do no harm.
     """
     spark = docs.sparkSession
     root = make_dir(spark, new_dir(spark, "sst"))
     end = int(end_id).to_bytes(4, "little")
+    names = ("part", "seq", "first_id", "last_id", "docs", "tokens", "bytes")
+    schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, first, last, tokens, path = Encoder.of(tokenizer), None, None, None, 0, ""
+        encode, part, seq = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        writer, row = None, {}
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([row | {"docs": writer.entries, "bytes": writer.close()}], schema)
+
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             for doc_id, found in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
+                if writer is not None and (writer.at >= file_bytes or writer.entries >= file_keys):
+                    yield closed()
+                    writer, seq = None, seq + 1
                 if writer is None:
-                    path = f"{root}/{uuid.uuid4().hex}.sst"
-                    writer, first = Writer(opened(path, "wb")), doc_id
+                    row = {"path": f"{root}/{uuid.uuid4().hex}.sst", "part": part, "seq": seq, "first_id": doc_id, "tokens": 0}
+                    writer = Writer(opened(row["path"], "wb"))
                 ids = found + end
                 writer.add(key_of(doc_id), _packed(ids))
-                last, tokens = doc_id, tokens + len(ids) // 4
+                row["last_id"] = doc_id
+                row["tokens"] += len(ids) // 4
         if writer is not None:
-            n, size = writer.entries, writer.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "first_id": first, "last_id": last, "docs": n, "tokens": tokens, "bytes": size}], schema)
+            yield closed()
 
-    schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "docs", "tokens", "bytes"))])
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = written(ranged.mapInArrow(run, "path string, first_id long, last_id long, docs long, tokens long, bytes long"), "sst-manifest")
-    line = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first())  # a row a file
+    ranged = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    files = written(ranged.mapInArrow(run, "path string, " + ", ".join(f"{c} long" for c in names)), "sst-manifest")
+    line = Window.orderBy("part", "seq")  # a row a file; ranges follow each other by number
     return files.select(
         (F.row_number().over(line) - 1).alias("shard"),
         "*",
@@ -237,7 +252,7 @@ def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[list[int]]
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes docs as sorted-string tables and reads them back: per row doc_id, start, n_tokens, ids_crc32.
 
-    Null text counts as empty. Repeated doc_ids are kept, in text order; null ids come first. Other columns are
+    Null text counts as empty. Repeated doc_ids are kept, in order of the text's hash; null ids come first. Other columns are
     ignored. An empty table writes no file and gives no rows.
     """
     return read_tokens(write_tokens(docs, tokenizer, end_id))

@@ -4,7 +4,7 @@ Both vocabularies part a text before they look pieces up: never inside a run of
 follows another character and where a run of letters ends. A text may be cut at such places, and the ids of the chunks
 join to the ids of the text. Chunks repeat far more often than texts, so each worker keeps the ids of those it has met
 (at most `KEEP`, then it starts anew). Words that are new are encoded by the library many at a time, and their ids are
-told apart by the tokens that begin or end a word. Texts with characters beyond Latin-1 or with other white space than
+told apart by the tokens that begin or end a word. A text with the literal of a special token goes to the library whole. Texts with characters beyond Latin-1 or with other white space than
 blanks and line feeds take plainer ways.
 """
 
@@ -29,7 +29,7 @@ OTHER_LATIN = bytes([9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0])
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, as the tokenizers library gives them without special tokens."""
+    """Texts to little-endian unsigned 32-bit ids, as the tokenizers library gives them for add_special_tokens=False."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,7 +42,7 @@ class Encoder:
         self.mark = np.zeros(max(vocabulary.values()) + 2, bool)  # tokens that end (else: begin) a word
         self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t["content"] for t in spec["added_tokens"]]  # found anywhere in a text, inside words too
         self.kept: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -64,7 +64,10 @@ class Encoder:
 
         Where no two white-space characters meet, a chunk is what stands between blanks. In the vocabulary that keeps
         white space it stands for itself after a blank, or, if it begins with a line feed, for itself alone; the first
-        chunk, which nothing precedes, is marked by a zero character."""
+        chunk, which nothing precedes, is marked by a zero character. Texts that hold a special token's literal stay
+        whole."""
+        if any(x in text for x in self.special):
+            return None
         try:
             latin = text.encode("latin-1")
         except UnicodeEncodeError:

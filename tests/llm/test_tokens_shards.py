@@ -20,32 +20,37 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 def truth(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in texts]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_kept_chunks_give_the_same_ids(path, texts):
     rng = random.Random(1)
-    odd = [t for t in texts if t is not None and len(t) < 10_000] + ["  a  b", "don't they've it's", "<|endoftext|> x<|startoftext|>", "word,,, next;:! a.b", "tail \n", "e\u0301, f", "\u200b a", "x\n\ny", "\n a", "é.\nÀ b"]
+    odd = [t for t in texts if t is not None and len(t) < 10_000] + ["  a  b", "don't they've it's", "<|endoftext|> x<|startoftext|>", "a<|endoftext|>b  <|EndOfText|> \n<|startoftext|>", "<|endoftext", "word,,, next;:! a.b", "tail \n", "e\u0301, f", "\u200b a", "x\n\ny", "\n a", "é.\nÀ b"]
     odd += ["".join(rng.choice("ab cD \n\t.,!'sé\u0301ßÀ1#日İ\x00\x1c\xa0 ") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
     encode = Encoder(path)
     assert encode.many(odd) == [x[:-1].tobytes() for x in truth(path, odd)]
     assert encode.many([]) == []
 
 
-def test_sstable_round_trip(spark, docs, empty):
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+@pytest.mark.parametrize("keys", [5, 10**6])
+def test_sstable_round_trip(spark, docs, empty, keys):
+    """Against the library's own ids; with 5 keys a file, equal ids and ranges run over several files."""
+    more = [(3, f"again {i}", None, None, 0) for i in range(20)] + [(None, None, None, None, 0), (40, "x <|endoftext|> y", None, None, 0)]
+    docs = docs.union(spark.createDataFrame(more, DOCS))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in rows)
     ids = truth(WORD, [t for *_, t in rows])
     at, want = 0, []
-    for (known, i, _), x in zip(rows, ids, strict=True):
+    for (known, i, *_), x in zip(rows, ids, strict=True):
         want.append((i if known else None, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     df = docs.withColumn("ids", F.lit(1)).repartition(3)
-    manifest = sstable.write_tokens(df, WORD)
+    manifest = sstable.write_tokens(df, WORD, file_keys=keys)
+    assert manifest.count() > (12 if keys == 5 else 0) and manifest.agg({"docs": "max"}).first()[0] <= keys
     assert [tuple(r) for r in sstable.read_tokens(manifest).orderBy("start").collect()] == want
     by = {}
-    for (known, i, _), x in zip(rows, ids, strict=True):
+    for (known, i, *_), x in zip(rows, ids, strict=True):
         if known:
             by.setdefault(i, []).append(x.tolist())
     assert sstable.lookup(manifest, [3, 33, 45, 4]) == {3: by[3], 33: by[33], 45: by[45], 4: []}
