@@ -74,6 +74,30 @@ def test_url_rules(spark, block):
     assert urlrules.judge(pages(spark, rows), rules.limit(0)).where("rule is not null").count() == 0
 
 
+def test_a_million_rules(spark):
+    """1,000,000 rules, 100,000 of them on one host, against a plain look-up of each prefix of each suffix."""
+    from pyspark.sql import functions as F
+
+    rules = spark.range(900_000).select(
+        F.concat(F.lit("h"), F.col("id") % 300_000, F.lit(".com")).alias("host"), F.concat(F.lit("/"), F.expr("id div 300000"), F.lit("/")).alias("path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict")
+    )
+    hot = spark.range(100_000).select(F.lit("hot.org").alias("host"), F.concat(F.lit("/a"), F.regexp_replace(F.col("id").cast("string"), "(.)", "$1/")).alias("path"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict"))
+    rules = rules.union(hot).union(spark.createDataFrame([("com", "/", "block"), ("org", "", "block")], rules.schema))
+    urls = spark.range(4000).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("http://www.h"), F.col("id") * 97 % 310_000, F.lit(".com/"), F.col("id") % 4, F.lit("/x")))
+        .otherwise(F.concat(F.lit("https://x.hot.org/a"), F.regexp_replace((F.col("id") * 31).cast("string"), "(.)", "$1/"), F.lit("7/7/7" + "z" * 3000))).alias("url"),
+    )
+    verdicts = {(r.host, r.path): r.verdict for r in rules.collect()}
+    got = urlrules.judge(urls, rules, block=1000).collect()
+    assert len(got) == 4000
+    for r in got:
+        labels = r.host.split(".")
+        best = max(((len(h) + n, len(h), h, r.path[:n]) for i in range(len(labels)) for h in [".".join(labels[i:])] for n in range(min(len(r.path), 40) + 1) if (h, r.path[:n]) in verdicts), default=None)
+        assert (r.rule, r.verdict) == ((best[2] + best[3], verdicts[best[2:]]) if best else (None, "allow"))
+    assert len({r.rule for r in got}) > 1000
+
+
 def brute(vectors, k, every):
     x = {i: np.floor(256 * np.array(v, np.float64)) for i, v in vectors}
     out = []
