@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import FULL, TAGS
+
+KEEP = 20_000  # sets of licence words whose anchors a task keeps
+#: A template counts where this share of its weight stands near its mandatory phrases.
+LEAST = 0.4
+#: Weight at which the score of a whole match comes to 1 - 1/e.
+WEIGHT = 12.0
+
 #: Bytes of a word: 0-9, a-z (A-Z count as these) and all above 7F; the rest parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -70,6 +79,7 @@ class Template:
     words: tuple[bytes, ...]
     keys: tuple[tuple[bytes, ...], ...]
     base: bool = False
+    without: tuple[bytes, ...] = ()  # phrases that rule the template out, with a blank at either end
 
     def place(self, key: int) -> int:
         """Where a mandatory phrase stands in the template."""
@@ -82,8 +92,13 @@ def _words(text: str) -> tuple[bytes, ...]:
 
 
 def templates() -> list[Template]:
+    """Base phrases, phrases and openings, full texts and notices, and tags."""
     out = [Template(label, _words(text), (_words(text),), True) for text, label in BASE]
-    return out + [Template(label, _words(text), tuple(map(_words, keys))) for text, label, keys in TEXTS]
+    out += [Template(label, _words(text), tuple(map(_words, keys))) for text, label, keys in TEXTS]
+    spaced = lambda t: b" " + b" ".join(_words(t)) + b" "
+    out += [Template(label, _words(text), tuple(map(_words, keys)), False, tuple(map(spaced, no))) for label, text, keys, no in FULL]
+    tags = [(f"SPDX-License-Identifier: {name}", label) for name, label in TAGS]
+    return out + [Template(label, _words(text), (_words(text),)) for text, label in tags]
 
 
 def blocks(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -128,49 +143,80 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[bytes, i
 
 
 class Index:
-    """Postings of the rarest words of the templates' mandatory phrases: word -> (template, phrase, place in it)."""
+    """Templates, the weights of their words, and postings: licence word -> (template, phrase, place in the phrase)."""
 
     def __init__(self, n: int, df: dict[bytes, int], rare: int = 2):
-        self.templates = templates()
+        self.templates, self.rare = templates(), rare
         self.idf = {w: math.log(1 + n / (1 + df.get(w, 0))) for t in self.templates for w in t.words}
+        self.vocabulary = frozenset(self.idf)
+        self.weight = [sum(self.idf[w] for w in t.words) for t in self.templates]
         self.postings: dict[bytes, list[tuple[int, int, int]]] = {}
-        self.needed: dict[tuple[int, int], int] = {}
         for t, template in enumerate(self.templates):
             for k, key in enumerate(template.keys):
-                # without its rarest words a phrase can't be there
-                anchors = sorted(range(len(key)), key=lambda i: (-self.idf[key[i]], i))[:rare]
-                self.needed[t, k] = len(anchors)
-                for i in anchors:
-                    self.postings.setdefault(key[i], []).append((t, k, i))
-        self.overlap = 2 * max(len(t.words) for t in self.templates)
+                for i, w in enumerate(key):
+                    self.postings.setdefault(w, []).append((t, k, i))
+        self.overlap = 3 * max(len(t.words) for t in self.templates)
+        self.kept: dict[frozenset[bytes], tuple[dict[bytes, list[tuple[int, int, int]]], dict[tuple[int, int], int]]] = {}
+
+    def anchors(self, held: frozenset[bytes]) -> tuple[dict[bytes, list[tuple[int, int, int]]], dict[tuple[int, int], int]]:
+        """For the licence words of a file: the postings to look up, and how many of them a phrase needs at one place.
+
+        Only templates all of whose phrases' words are in the file can count. The file's words are gone through by
+        falling weight; a word is looked up for the phrases that hold it and have fewer than `rare` words as yet."""
+        if held in self.kept:
+            return self.kept[held]
+        able = {t for t, template in enumerate(self.templates) if all(held.issuperset(key) for key in template.keys)}
+        wanted: dict[bytes, list[tuple[int, int, int]]] = {}
+        needed: dict[tuple[int, int], int] = {}
+        for w in sorted(held, key=lambda w: (-self.idf[w], w)):
+            for t, k, i in self.postings.get(w, ()):
+                if t in able and needed.get((t, k), 0) < self.rare:
+                    wanted.setdefault(w, []).append((t, k, i))
+                    needed[t, k] = needed.get((t, k), 0) + 1
+        if len(self.kept) >= KEEP:
+            self.kept.clear()
+        self.kept[held] = wanted, needed
+        return wanted, needed
 
     def phrases(self, words: list[bytes]) -> dict[int, dict[int, list[int]]]:
-        """template -> phrase -> places in words: the phrase's rare words agree on the place, and it stands there whole."""
+        """template -> phrase -> places in words: the file's rarest words of the phrase agree on the place, and it stands
+        there whole."""
+        held = self.vocabulary.intersection(words)
+        wanted, needed = self.anchors(held)
+        if not wanted:
+            return {}
         votes: dict[tuple[int, int, int], int] = {}
         for at, w in enumerate(words):
-            if w in self.postings:
-                for t, k, i in self.postings[w]:
+            if w in wanted:
+                for t, k, i in wanted[w]:
                     votes[t, k, at - i] = votes.get((t, k, at - i), 0) + 1
         found: dict[int, dict[int, list[int]]] = {}
-        for t, k, at in sorted(votes):
+        for (t, k, at), n in sorted(votes.items()):
             key = self.templates[t].keys[k]
-            if votes[t, k, at] == self.needed[t, k] and at >= 0 and tuple(words[at : at + len(key)]) == key:
+            if n == needed[t, k] and at >= 0 and tuple(words[at : at + len(key)]) == key:
                 found.setdefault(t, {}).setdefault(k, []).append(at)
         return found
 
-    def share(self, template: Template, hits: dict[int, list[int]], words: list[bytes]) -> float:
-        """Weight of the template's words near the best place at which all mandatory phrases stand about as far apart as
-        in the template; 0 if there is none."""
+    def share(self, t: int, hits: dict[int, list[int]], words: list[bytes]) -> float:
+        """Share of the template's weight that stands, word for word, near the best place at which all its mandatory
+        phrases stand about as far apart as in it; 0 if there is none."""
+        template = self.templates[t]
         if len(hits) < len(template.keys):
             return 0.0
         slack, best = len(template.words) // 2, 0.0
-        weight = {w: self.idf[w] for w in template.words}
         for at in hits[0]:
             start = at - template.place(0)
-            if all(any(abs(h - template.place(k) - start) <= slack for h in hits[k]) for k in hits):
-                near = set(words[max(0, start - slack) : start + len(template.words) + slack])
-                best = max(best, sum(x for w, x in weight.items() if w in near) / sum(weight.values()))
-        return best
+            if not all(any(abs(h - template.place(k) - start) <= slack for h in hits[k]) for k in hits):
+                continue
+            near = words[max(0, start - slack) : start + len(template.words) + slack]
+            if template.without and any(x in b" " + b" ".join(near) + b" " for x in template.without):
+                continue
+            left = Counter(near)
+            got = sum(min(n, left[w]) * self.idf[w] for w, n in Counter(template.words).items()) / self.weight[t]
+            best = max(best, got)
+            if got > 0.999:
+                break
+        return best if best >= LEAST else 0.0
 
     def scan(self, data: bytes) -> tuple[int, int, int | None, int | None, set[str], set[str], float]:
         """(words, base places, first, last, base labels, labels, score) of one text."""
@@ -187,22 +233,24 @@ class Index:
                         first = new[0] if first is None else min(first, new[0])
                         last = new[-1] if last is None else max(last, new[-1])
                         base.add(template.label)
-                        score = 1.0
+                        score = max(score, 1 - math.exp(-self.weight[t] / WEIGHT))
                     continue
-                share = self.share(template, hits, words)
+                share = self.share(t, hits, words)
                 if share > 0:
                     labels.add(template.label)
-                    score = max(score, share)
+                    score = max(score, share * (1 - math.exp(-share * self.weight[t] / WEIGHT)))
         return n, count, first, last, base, base | labels, score
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Pass 1 counts in how many documents each licence word occurs. Pass 2 looks up the rarest words of each mandatory
-    phrase, keeps places on which they agree, and verifies the phrase word by word; a template counts where all its
-    phrases stand about as far apart as in it. score is 1 where a base phrase stands, else the share of the best
-    template's weight (inverse document frequency) near that place, 0 with no label. Texts are read in parts of 1 MB.
+    Pass 1 counts in how many documents each licence word occurs. Pass 2 looks up each file's licence words of highest
+    inverse document frequency, keeps places on which the postings of a phrase agree, and verifies the phrase word by
+    word; a template counts where all its mandatory phrases stand about as far apart as in it, none that rules it out is
+    there, and LEAST of its weight stands near. score is the best, over labels, of that share times
+    1 - exp(-weight found / WEIGHT): a whole text is near 1, an altered one less, a bare mention by the rareness of its
+    words; 0 with no label. Texts are read in parts of 1 MB that overlap by more than any template.
 
     Null text is empty: no words, no labels (empty strings), null places. Repeated rows and null ids are carried
     along, other columns ignored. An empty table gives no rows.

@@ -47,6 +47,50 @@ def test_licences(spark, docs, empty):
     assert license.scan(empty).count() == 0
 
 
+def plain_scan(index, text):
+    """Labels and score by trying every place of every template."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    w, labels, score = [x.encode() for x in w], set(), 0.0
+    stands = lambda p: [j for j in range(len(w) - len(p) + 1) if tuple(w[j : j + len(p)]) == p]
+    for t in index.templates:
+        hits = [stands(k) for k in t.keys]
+        weight = sum(index.idf[x] for x in t.words)
+        for at in hits[0] if all(hits) else []:
+            start, slack = at - t.place(0), 0 if t.base else len(t.words) // 2
+            near = w[max(0, start - slack) : start + len(t.words) + slack]
+            fits = all(any(abs(h - t.place(k) - start) <= slack for h in hits[k]) for k in range(len(hits)))
+            if fits and not any(x in b" " + b" ".join(near) + b" " for x in t.without):
+                got = sum(min(near.count(x), t.words.count(x)) * index.idf[x] for x in set(t.words)) / weight
+                if got >= license.LEAST:
+                    labels.add(t.label)
+                    score = max(score, got * (1 - np.exp(-got * weight / license.WEIGHT)))
+    return ",".join(sorted(labels)), score
+
+
+def test_licence_texts(spark):
+    """Every public text whole, altered, truncated and mixed with another, by labels and score, against a plain search."""
+    rng = random.Random(9)
+    full = {label: text for label, text, *_ in license.FULL}
+    texts = []
+    for label, text in full.items():
+        w = text.split()
+        altered = [rng.choice(["xx", "yy"]) if rng.random() < 0.06 else x for x in w]
+        added = [y for x in w for y in ([x, "// *"] if rng.random() < 0.1 else [x])]
+        other = rng.choice(list(full.values())).split()
+        texts += [prose(rng, "en", 30) + " " + text, " ".join(altered), " ".join(w[: len(w) // 2]), " ".join(added), text + prose(rng, "de", 40) + " ".join(other), " ".join(x for pair in zip(w, other) for x in pair)]
+    texts += [f"// SPDX-License-Identifier: {name}" for name, _ in license.TAGS] + ["apache apache license license mit", "neither the name of BSD"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = license.Index(*license.frequencies(df))
+    got = {r.doc_id: (r.labels, r.score) for r in license.scan(df).collect()}
+    for i, text in enumerate(texts):
+        want = plain_scan(index, text)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9, text
+    for n, label in enumerate(full):
+        whole, altered = got[6 * n], got[6 * n + 1]
+        assert label in whole[0].split(",") and altered[1] <= whole[1] and whole[1] > 0.85
+    assert "bsd-2-clause" not in got[6 * list(full).index("bsd-3-clause")][0] and len({round(s, 3) for _, s in got.values()}) > 20
+
+
 def test_blocks_part_a_text_between_words():
     data = b"one two  three four five six seven"
     seen = {}
