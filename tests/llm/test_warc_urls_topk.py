@@ -122,4 +122,10 @@ def test_top_k(spark, seed, scale, rows, queries):
 def test_threshold_stops_early():
     x = np.array([[float(1000 - i), float(1000 - i)] for i in range(1000)], np.float32)
     lists = topk.Lists(np.arange(1000), x)
-    assert lists.search(-1, np.array([1.0, 1.0], np.float32), 2) == [(2000, 0), (1998, 1)]
+    assert lists.search(-1, np.array([1.0, 1.0], np.float32), 2) == [(2000, 0), (1998, 1)] and lists.looked < 100
+    assert lists.search(-1, np.array([1.0, 1.0], np.float32), 2, 3000) == [] and lists.search(-1, np.array([1.0, 1.0], np.float32), 3, 1998) == [(2000, 0), (1998, 1)]
+    rng = np.random.default_rng(1)
+    mixed = rng.normal(size=(2000, 16)) * rng.pareto(1.0, 2000)[:, None]  # few long vectors: norms end the search
+    lists = topk.Lists(np.arange(2000), np.floor(mixed * 8))
+    q = np.floor(rng.normal(size=16) * 8)
+    assert [i for _, i in lists.search(-1, q, 3)] == np.lexsort((np.arange(2000), -(lists.x @ q)))[:3].tolist() and lists.looked < 2000
