@@ -45,6 +45,33 @@ def flagged(ranked: DataFrame, params: Similar = Similar()) -> DataFrame:
     return ranked.withColumn("ambiguous", F.coalesce((first - second <= limit) & (first - F.col("similarity") <= limit), F.lit(False)))
 
 
+def with_travel(ranked: DataFrame, sightings: DataFrame, cameras: DataFrame, sessions: DataFrame, max_kmh: float = 120.0) -> DataFrame:
+    """Adds to ranked (query_id, vec_id, similarity, ...) how far apart the two sightings are: distance_km, elapsed_s,
+    plausible, plausibility, same_time_group; sightings have ids as query_id and vec_id, and camera_id and wall_us.
+
+    Only sightings at different cameras and times are judged; a place that isn't known is no distance away, as two
+    places are that nobody has measured. Sessions that aren't known are equal to each other."""
+    where = cameras.select("camera_id", "lat", "lon").join(sessions, "camera_id", "left")
+    s = sightings.select("id", "camera_id", "wall_us").join(F.broadcast(where), "camera_id", "left")
+    a, b = (s.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "camera_id", "wall_us", "lat", "lon", "time_group")]) for x in "ab")
+    out = ranked.join(a, F.col("query_id") == F.col("id_a")).join(b, F.col("vec_id") == F.col("id_b"))
+    out = out.withColumn("km", F.coalesce(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), F.lit(0.0)))
+    out = out.withColumn("secs", F.abs(F.col("wall_us_b") - F.col("wall_us_a")) / 1e6)
+    judged = (F.col("camera_id_a") != F.col("camera_id_b")) & (F.col("secs") > 0)
+    ok = ~judged | plausible(F.col("km"), F.col("secs"), max_kmh)
+    speed = F.format_string("implies %d km/h over %s km", F.floor(F.col("km") / (F.col("secs") / 3600) + 0.5).cast("long"), half_up(F.col("km"), 1).cast("decimal(20,1)").cast("string"))
+    far = F.concat(speed, F.format_string(" in %ds - not physically possible", F.floor(F.col("secs") + 0.5).cast("long")))
+    return out.select(
+        *ranked.columns,
+        F.col("camera_id_b").alias("camera_id"),
+        half_up(F.col("km"), 2).alias("distance_km"),
+        half_up(F.col("secs"), 1).alias("elapsed_s"),
+        ok.alias("plausible"),
+        F.when(~judged, "same camera").when(ok, speed).otherwise(far).alias("plausibility"),
+        F.col("time_group_a").eqNullSafe(F.col("time_group_b")).alias("same_time_group"),
+    )
+
+
 def minable(sightings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sightings that may take part in a journey: a session, a corroborated clock and a vector."""
     s = sightings.withColumn("t_us", scene_us(sightings)).join(sessions, "camera_id")

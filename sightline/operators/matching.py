@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_plate, grams
+from ..functions.text import fold_plate, grams, half_up
 from ..params import Match
 
 
@@ -44,7 +44,35 @@ def with_score(pairs: DataFrame, params: Match = Match()) -> DataFrame:
     out = pairs.withColumn("plate_score", plate_score(F.col("read_fold"), F.col("entry_fold")))
     out = out.withColumn("appearance_score", appearance_score(F.col("vehicle_class"), F.col("colour"), F.col("entry_class"), F.col("entry_colour")))
     out = out.withColumn("score", fused).withColumn("match_type", kind).withColumn("is_alert", F.col("score") >= params.alert_threshold)
-    return out.withColumn("reasons", F.struct(p.alias("plate"), a.alias("appearance"), note.alias("policy")))
+    # the verdict is taken on the exact score, which is shown at three places
+    out = out.withColumn("score", half_up(F.col("score"), 3))
+    why = F.struct(
+        F.struct(half_up(p, 3).alias("score"), plate_detail().alias("detail")).alias("plate"),
+        F.struct(half_up(a, 3).alias("score"), appearance_detail().alias("detail")).alias("appearance"),
+        note.alias("policy"),
+    )
+    return out.withColumn("reasons", why)
+
+
+def plate_detail() -> Column:
+    """Which of the rules of plate_score spoke."""
+    obs, tgt, p = F.col("read_fold"), F.col("entry_fold"), F.col("plate_score")
+    n, m = F.length(obs), F.length(tgt)
+    return (
+        F.when((n == 0) | (m == 0), "no plate read")
+        .when(obs == tgt, "the plates are equal")
+        .when((n >= 4) & F.contains(tgt, obs), F.concat(n, F.lit(" of "), m, F.lit(" characters read, all within the plate")))
+        .when(F.least(n, m) < 4, "too few characters to compare")
+        .when(p == 0, "too few characters agree")
+        .otherwise("characters agree place by place")
+    )
+
+
+def appearance_detail() -> Column:
+    """What was asked of class and colour, and what the sighting has of it."""
+    part = lambda name, want, got: F.when(F.col(want).isNotNull(), F.concat(F.lit(f"{name} "), F.when(F.col(want) == F.col(got), "agrees").otherwise("differs")))
+    both = F.concat_ws(", ", part("class", "entry_class", "vehicle_class"), part("colour", "entry_colour", "colour"))
+    return F.when(both == "", "nothing asked of the appearance").otherwise(both)
 
 
 def least_alerting_share(params: Match = Match()) -> float:
@@ -63,34 +91,44 @@ def unsafe_spans(params: Match = Match(), longest: int = 64) -> list[int]:
     return [n for n in range(params.min_chars, longest) if not gram_is_safe(n, params.gram, params)]
 
 
+SALTS = 16
+
+
+def salted(mark: str) -> Column:
+    return F.array(*[F.lit(f"{mark}{i}") for i in range(SALTS)])
+
+
 def candidates(reads: DataFrame, entries: DataFrame, params: Match = Match()) -> DataFrame:
     """Distinct pairs (id, entry_id, read_fold, entry_fold) that could alert; every pair left out cannot.
 
     reads (id, plate_text), entries (entry_id, plate). An equi-join on q-character windows, of the fallback size for
-    reads of a length at which the usual size proves nothing; short and unsafe entries hang on marks of their own.
+    reads of a length at which the usual size proves nothing; short and unsafe entries hang on marks of their own, which
+    every read carries: such entries stand under SALTS copies of their mark, of which a read carries one.
     """
     unsafe = unsafe_spans(params)
     n = F.length("fold")
     e = entries.select("entry_id", fold_plate(F.col("plate")).alias("fold"))
     marks = F.concat(
-        F.when(n < params.min_chars, F.array(F.lit("#short"))).otherwise(
+        F.when(n < params.min_chars, salted("#short")).otherwise(
             F.concat(
                 F.transform(grams(F.col("fold"), params.gram), lambda g: F.concat(F.lit("p:"), g)),
                 F.transform(grams(F.col("fold"), params.fallback_gram), lambda g: F.concat(F.lit("f:"), g)),
-                F.when(n.isin(unsafe), F.array(F.lit("#forced"))).otherwise(F.array().cast("array<string>")),
+                F.when(n.isin(unsafe), salted("#forced")).otherwise(F.array().cast("array<string>")),
             )
         )
     )
     e = e.select("entry_id", F.col("fold").alias("entry_fold"), F.explode(marks).alias("mark"))
     r = reads.select("id", fold_plate(F.col("plate_text")).alias("fold"))
+    salt = F.pmod(F.xxhash64("id", "fold"), F.lit(SALTS)).cast("string")
+    short, forced = F.concat(F.lit("#short"), salt), F.concat(F.lit("#forced"), salt)
     looks = (
-        F.when(n < params.min_chars, F.array(F.lit("#short")))
+        F.when(n < params.min_chars, F.array(short))
         .when(
             n.isin(unsafe),
-            F.concat(F.array(F.lit("#short")), F.transform(grams(F.col("fold"), params.fallback_gram), lambda g: F.concat(F.lit("f:"), g))),
+            F.concat(F.array(short), F.transform(grams(F.col("fold"), params.fallback_gram), lambda g: F.concat(F.lit("f:"), g))),
         )
         .otherwise(
-            F.concat(F.array(F.lit("#short"), F.lit("#forced")), F.transform(grams(F.col("fold"), params.gram), lambda g: F.concat(F.lit("p:"), g)))
+            F.concat(F.array(short, forced), F.transform(grams(F.col("fold"), params.gram), lambda g: F.concat(F.lit("p:"), g)))
         )
     )
     r = r.select("id", F.col("fold").alias("read_fold"), F.explode(looks).alias("mark"))

@@ -25,6 +25,13 @@ def clone_confidence(speed: Column, conf_a: Column, conf_b: Column, params: Clon
     return half_up(F.least(F.lit(params.max_confidence), strength * (0.5 + 0.5 * weakest)), 3)
 
 
+def newest(sightings: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """The newest `limit` rows, which is the scan's own bound, and whether there were more: one row more is asked for."""
+    page = sightings.orderBy(F.desc("wall_us"), F.desc("id")).limit(limit + 1)
+    truncated = page.count() > limit
+    return sightings.orderBy(F.desc("wall_us"), F.desc("id")).limit(limit), truncated
+
+
 def clones(sightings: DataFrame, cameras: DataFrame, sessions: DataFrame, params: Clone = Clone()) -> DataFrame:
     """Neighbouring sightings of one plate in one session that no vehicle could have made, strongest first by sort.
 

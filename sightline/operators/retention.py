@@ -13,10 +13,13 @@ def protected(alerts: DataFrame, zone_events: DataFrame) -> DataFrame:
 
 def running_total(df: DataFrame, value: str, order: list[str], buckets: int = 64) -> DataFrame:
     """Adds `before`, the sum of `value` over all earlier rows, without bringing all rows to one task: sums by range
-    of the first order column, then inside each range."""
-    low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
-    ranged = df.withColumn("_b", F.expr(f"({order[0]} - {low or 0}) div {width}"))
+    of the first order column, then inside each range. Ranges are cut at quantiles, so they hold about as many rows
+    each however the column clusters."""
+    cuts = sorted(set(df.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 0.25 / buckets)))  # `buckets` numbers
+    place = F.lit(0)
+    for cut in cuts:
+        place = place + (F.col(order[0]) > cut).cast("int")
+    ranged = df.withColumn("_b", F.coalesce(place, F.lit(-1)))
     line = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = ranged.groupBy("_b").agg(F.sum(value).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(line), F.lit(0)).alias("_start"))
     inner = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -37,10 +40,12 @@ def prune_files(files: DataFrame, now_us: int, max_bytes: int, max_age_s: int) -
 
 
 def prune_rows(rows: DataFrame, needed: DataFrame, now_us: int, cap: int, keep_s: int) -> DataFrame:
-    """Ids of the oldest rows over the cap that are old enough and that nothing needs."""
+    """Ids of the oldest rows over the cap that are old enough and that nothing needs. Their number grows with the table,
+    so they are told by their rank, not by a limit over all rows."""
     excess = max(0, rows.count() - cap)
     old = rows.where(F.col("wall_us") < now_us - keep_s * 1_000_000).join(needed.distinct(), "id", "left_anti")
-    return old.orderBy("wall_us", "id").limit(excess).select("id")
+    ranked = running_total(old.select("id", "wall_us", F.lit(1).cast("long").alias("one")), "one", ["wall_us", "id"])
+    return ranked.where(F.col("before") < excess).select("id")
 
 
 def purge_scene_times(rows: DataFrame) -> DataFrame:

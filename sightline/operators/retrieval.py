@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed, tokens, trigrams
+from ..functions.text import tokens, trigrams
 from ..params import Search
 
 # Words that identify nothing.
@@ -65,6 +65,20 @@ def idf(n: int, df: Column) -> Column:
     return F.log1p((F.lit(n) - df + 0.5) / (df + 0.5))
 
 
+def intent_words() -> list[str]:
+    """Words of the intents' keywords: they tell what is asked, not of what."""
+    return sorted({w for _, words in INTENTS for k in words for w in k.split()})
+
+
+def without_intent(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, its queries without the intent words that no document has."""
+    known = postings(docs).where(F.col("term").isin(intent_words())).select("term").distinct()
+    known = known.agg(F.collect_set("term").alias("known"))  # as many as there are intent words at most
+    words = F.filter(tokens(F.col("query")), lambda t: ~t.isin(intent_words()) | F.array_contains("known", t))
+    left = asked.join(F.broadcast(known)).withColumn("query", F.array_join(words, " "))
+    return left.select(*asked.columns)
+
+
 def rank(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> DataFrame:
     """docs (doc_id, text), asked (query_id, query) to rows (query_id, doc_id, score, matched, wanted): BM25 over the
     terms they share, the idf of the shared terms and of all distinct terms of the query."""
@@ -98,9 +112,9 @@ def similar_names(docs: DataFrame, asked: DataFrame, params: Search = Search())
 
 def resolve(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> DataFrame:
     """Rows (query_id, doc_id, score, how, place): BM25 hits that explain enough of the query, those named by their own
-    id first; for queries without such a hit, similar names. At most `limit` a query."""
-    from pyspark.sql import Window
-
+    id first; for queries without such a hit, similar names. At most `limit` a query. Intent words that no document has
+    don't count against what stands beside them."""
+    asked = without_intent(docs, asked)
     hits = rank(docs, asked, params).where((F.col("matched") >= params.evidence) & (F.col("matched") / F.col("wanted") >= params.coverage))
     own = docs.select("doc_id", tokens(F.col("doc_id").cast("string")).alias("own"))
     q = asked.select("query_id", content_tokens(F.col("query")).alias("q"))
@@ -111,7 +125,3 @@ def resolve(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> Dat
     order = Window.partitionBy("query_id").orderBy(F.desc("named"), F.desc(F.round("score", 9)), "doc_id")
     out = hits.unionByName(names).withColumn("place", F.row_number().over(order)).where(F.col("place") <= params.limit)
     return out.select("query_id", "doc_id", "score", "how", "place")
-
-
-def squeeze(c: Column) -> Column:
-    return squeezed(c)

@@ -9,15 +9,22 @@ from ..functions.text import half_up
 from ..params import Baseline
 
 
-def buckets(sightings: DataFrame, cameras: DataFrame, hours: int, hour_us: int = 3_600_000_000) -> DataFrame:
-    """Counts per camera and hour, empty hours included; cumulative_total is the running count of the camera.
-
-    Counts are made before the grid of cameras x hours, whose size no number of sightings changes."""
-    counted = sightings.groupBy("camera_id", F.expr(f"wall_us div {hour_us}").alias("bucket")).agg(F.count("*").alias("total"))
-    grid = cameras.select("camera_id").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))))
+def buckets(sightings: DataFrame, cameras: DataFrame, first: int | None = None, last: int | None = None, hour_us: int = 3_600_000_000) -> DataFrame:
+    """Counts per camera and hour from bucket `first` to `last`, empty hours included; cumulative_total is the running
+    count of the camera. Without these bounds, the hours are those from the first sighting to the last, by all cameras.
+
+    Counts are made before the grid of cameras x hours, whose size the number of sightings doesn't change."""
+    counted = sightings.groupBy("camera_id", F.floor(F.col("wall_us") / hour_us).alias("bucket")).agg(F.count("*").alias("total"))
+    span = sightings.agg(F.min("wall_us").alias("a"), F.max("wall_us").alias("b")).select(
+        F.lit(first).cast("long").alias("a") if first is not None else F.floor(F.col("a") / hour_us).alias("a"),
+        F.lit(last).cast("long").alias("b") if last is not None else F.floor(F.col("b") / hour_us).alias("b"),
+    )
+    a, b = span.first()
+    every = F.sequence(F.lit(a), F.lit(b)) if a is not None and b is not None and a <= b else F.array().cast("array<long>")
+    grid = cameras.select("camera_id").withColumn("bucket", F.explode(every))
     out = grid.join(counted, ["camera_id", "bucket"], "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
     w = Window.partitionBy("camera_id").orderBy("bucket")
-    return out.withColumn("cumulative_total", F.sum("total").over(w)).withColumn("hour", F.expr("cast(bucket % 24 as int)"))
+    return out.withColumn("cumulative_total", F.sum("total").over(w)).withColumn("hour", F.expr("cast(pmod(bucket, 24) as int)"))
 
 
 def deltas(counters: DataFrame, by: str = "camera_id", order: str = "bucket", value: str = "counter") -> DataFrame:

@@ -31,6 +31,6 @@ def query(sql: str | None = None, *ctes: str):
 
 
 def load() -> tuple[dict, dict]:
-    from . import console, evidence, live, movement, relational, text, vision  # noqa: F401
+    from . import console, evidence, facts, live, movement, relational, text, vision  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

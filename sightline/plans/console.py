@@ -11,12 +11,17 @@ from ..operators import registry, traffic
 from ..sources import domain as d
 from ..sources import sinks
 from . import query
-from .movement import ASSESS, BUCKETS, HOURS, NORMS, _buckets
+from .movement import ASSESS, BUCKETS, NORMS, _buckets
 from .relational import ALERTS, NOW_US, ZONE_EVENTS, alerts
 from .text import CAPTIONS, captions
 from .vision import FRAMES, ZONES, frames, zones
 
 
+def newest(buckets, hours):
+    """Rows of the last hours that there are; the last bucket is one number."""
+    return buckets.join(F.broadcast(buckets.agg(F.max("bucket").alias("last"))), F.col("bucket") > F.col("last") - hours).drop("last")
+
+
 @query(
     """select id, case when corroborated then 'scene ' || strftime(make_timestamp(scene_us + 1704067200000000), '%H:%M:%S') else 'T+' || (pts_ms // 1000)::varchar || 's' end as label from sightings""",
     d.SIGHTINGS,
@@ -68,12 +73,12 @@ def gap_zones(spark, sf_dir):
 
 @query(
     f"""with {NORMS} select b.camera_id, b.bucket, b.total, case when samples >= 5 then round(greatest(0, mean - 2 * greatest(stdev, 1)), 6) end as low, case when samples >= 5 then round(mean + 2 * greatest(stdev, 1), 6) end as high
-    from buckets b left join norms n on n.camera_id = b.camera_id and n.hour = b.hour where b.bucket >= {HOURS - 48}""",
+    from buckets b left join norms n on n.camera_id = b.camera_id and n.hour = b.hour where b.bucket > (select max(bucket) - 48 from buckets)""",
     d.SIGHTINGS, d.CAMERAS,
 )
 def band_series(spark, sf_dir):
     b = _buckets(spark, sf_dir)
-    out = b.where(f"bucket >= {HOURS - 48}").join(traffic.band(traffic.learn(b)), ["camera_id", "hour"], "left")
+    out = newest(b, 48).join(traffic.band(traffic.learn(b)), ["camera_id", "hour"], "left")
     return out.select("camera_id", "bucket", "total", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -82,10 +87,10 @@ def chart_summary(spark, sf_dir):
     return _buckets(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("buckets"), F.sum("total").alias("total"), F.max("total").alias("busiest"), F.count_if(F.col("total") == 0).alias("idle"))
 
 
-@query(f"with {ASSESS} select status, count(*) as n from judged where bucket >= {HOURS - 24} group by 1", d.SIGHTINGS, d.CAMERAS)
+@query(f"with {ASSESS} select status, count(*) as n from judged where bucket > (select max(bucket) - 24 from judged) group by 1", d.SIGHTINGS, d.CAMERAS)
 def status_counts(spark, sf_dir):
     b = _buckets(spark, sf_dir)
-    return traffic.assess(b.where(f"bucket >= {HOURS - 24}"), traffic.learn(b)).groupBy("status").agg(F.count("*").alias("n"))
+    return traffic.assess(newest(b, 24), traffic.learn(b)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(

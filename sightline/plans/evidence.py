@@ -57,6 +57,28 @@ def appearance_ambiguity_whole(spark, sf_dir):
     return journeys.flagged(_ranked(spark, sf_dir, WHOLE), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
 
 
+SIMILAR = f"""{_topk_sql(WHOLE)}, placed as (
+      select s.id, s.camera_id, s.wall_us, c.lat, c.lon, t.time_group from sightings s left join cameras c using (camera_id) left join sessions t using (camera_id)
+    ), far as (
+      select r.*, b.camera_id, coalesce({d.km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 0) as km, abs(b.wall_us - a.wall_us)::double / 1e6::double as secs, a.camera_id <> b.camera_id and b.wall_us <> a.wall_us as judged,
+        a.time_group is not distinct from b.time_group as same_time_group
+      from ranked r join placed a on a.id = query_id join placed b on b.id = r.vec_id
+    ), ok as (select *, not judged or km / (secs / 3600.0::double) <= 120 as plausible from far)"""
+SPEED = "'implies ' || floor(km / (secs / 3600) + 0.5::double)::bigint || ' km/h over ' || ((floor(km * 10 + 0.5::double) / 10)::decimal(20, 1))::varchar || ' km'"
+
+
+@query(
+    f"""with {SIMILAR} select query_id, vec_id, place, round(similarity, 4) as similarity, camera_id, floor(km * 100 + 0.5::double) / 100 as distance_km, floor(secs * 10 + 0.5::double) / 10 as elapsed_s, plausible,
+      case when not judged then 'same camera' when plausible then {SPEED} else {SPEED} || ' in ' || floor(secs + 0.5::double)::bigint || 's - not physically possible' end as plausibility, same_time_group from ok""",
+    d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS,
+)
+def similar_vehicles(spark, sf_dir):
+    """The most alike of each asked sighting's vector, with what distance and time allow; vectors are those of the
+    sightings of their id."""
+    ranked = _ranked(spark, sf_dir, WHOLE).withColumn("similarity", F.round("similarity", 4))
+    return journeys.with_travel(ranked, d.sightings(spark, sf_dir), d.cameras(spark), d.sessions(spark))
+
+
 ATTRS = "attrs as (select vec_id, case vec_id % 4 when 0 then 'suv' when 1 then 'bus' when 2 then 'unknown' end as body, case vec_id % 3 when 0 then 'red' when 1 then 'blue' end as hue from embeddings)"
 
 

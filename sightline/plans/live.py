@@ -9,6 +9,7 @@ from ..sources import domain as d
 from ..sources.files import replay
 from ..streaming import live
 from . import query
+from .movement import CONSENSUS
 
 
 def _stream(spark, sf_dir):
@@ -36,9 +37,15 @@ def stream_session_visits(spark, sf_dir):
     return live.run_to_end(live.visits(_stream(spark, sf_dir)), "visits")
 
 
-@query()
+@query(CONSENSUS, d.SIGHTINGS)
 def stream_vote(spark, sf_dir):
-    s = d.sightings(spark, sf_dir).select("id", "plate_text")
+    s = d.sightings(spark, sf_dir).select("id", "plate_text", "plate_conf")
     reads = _stream(spark, sf_dir).join(s.where("plate_text is not null"), F.col("event_id") == F.col("id"))
-    reads = reads.select("camera_id", "track_id", F.col("id").alias("seq"), clean_plate(F.col("plate_text")).alias("text"))
-    return live.run_to_end(live.voted(reads), "votes")
+    reads = reads.select("camera_id", "track_id", F.col("id").alias("seq"), clean_plate(F.col("plate_text")).alias("text"), F.coalesce("plate_conf", F.lit(0.5)).alias("conf"))
+    return newest_verdicts(live.run_to_end(live.voted(reads), "votes"))
+
+
+def newest_verdicts(votes):
+    """A track's verdict is that of its newest read."""
+    out = votes.groupBy("camera_id", "track_id").agg(F.max_by(F.struct("plate", "confidence", "voters"), "newest_seq").alias("v"))
+    return out.select("camera_id", "track_id", "v.plate", F.round("v.confidence", 6).alias("confidence"), F.col("v.voters").cast("long").alias("voters"))

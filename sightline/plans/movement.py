@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_plate, grams, half_up
@@ -9,13 +10,11 @@ from ..operators import matching, movement, traffic, votes
 from ..sources import domain as d
 from . import query
 
-HOURS = 30 * 24
 CLONE_SQL = f"""
 select s.*, {d.fold_sql('plate_text')} as fold, case when corroborated then scene_us end as t_us from sightings s"""
 
 
-@query(
-    f"""with x as ({CLONE_SQL}), y as (
+CLONES = f"""with x as ({CLONE_SQL}), y as (
       select x.*, t.time_group, c.lat, c.lon from x join sessions t using (camera_id) join cameras c using (camera_id) where length(fold) >= 6 and t_us is not null
     ), z as (
       select *, lag(id) over w as id_a, lag(camera_id) over w as camera_a, lag(plate_text) over w as read_a, lag(plate_conf) over w as conf_a,
@@ -30,14 +29,33 @@ select s.*, {d.fold_sql('plate_text')} as fold, case when corroborated then scen
     )
     select case when upper(read_a) = upper(plate_text) then upper(plate_text) else upper(read_a) || ' / ' || upper(plate_text) end as plate,
       time_group, id_a, id as id_b, camera_a, camera_id as camera_b, round(km, 6) as km, elapsed_s, round(kmh, 6) as kmh, conf3 as confidence
-    from r where conf3 >= 0.6::double""",
-    d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS,
-)
+    from r where conf3 >= 0.6::double"""
+
+
+@query(CLONES, d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS)
 def clone_pairs(spark, sf_dir):
     found = movement.clones(d.sightings(spark, sf_dir), d.cameras(spark), d.sessions(spark))
     return found.drop("reason").withColumns({"km": F.round("km", 6), "kmh": F.round("kmh", 6)})
 
 
+SCAN = 2_000
+SCANNED = f"(select * from sightings where plate_text is not null order by wall_us desc, id desc limit {SCAN})"
+
+
+@query(
+    f"""select *, (select count(*) > {SCAN} from sightings where plate_text is not null) as truncated, (row_number() over (order by confidence desc, id_a, id_b))::int as place
+    from ({CLONES.replace("from sightings s", f"from {SCANNED} s")}) as found""",
+    d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS,
+)
+def clone_scan(spark, sf_dir):
+    """Findings among the newest reads, the most certain first, and whether the scan's bound left reads out."""
+    rows, truncated = movement.newest(d.sightings(spark, sf_dir).where("plate_text is not null"), SCAN)
+    found = movement.clones(rows, d.cameras(spark), d.sessions(spark)).drop("reason")
+    found = found.withColumns({"km": F.round("km", 6), "kmh": F.round("kmh", 6), "truncated": F.lit(truncated)})
+    order = Window.orderBy(F.desc("confidence"), "id_a", "id_b")  # of at most SCAN rows
+    return found.withColumn("place", F.row_number().over(order))
+
+
 @query(f"select id, plate_text, {d.fold_sql('plate_text')} as folded from sightings", d.SIGHTINGS)
 def plate_fold(spark, sf_dir):
     return d.sightings(spark, sf_dir).select("id", "plate_text", fold_plate(F.col("plate_text")).alias("folded"))
@@ -66,8 +84,11 @@ CANDIDATES = f"""r as (select id, {d.fold_sql('plate_text')} as f from sightings
 
 @query(f"with {CANDIDATES} select id, count(*) as entries, min(entry_id) as first_entry from pairs group by id", d.SIGHTINGS, d.WATCHLIST)
 def watchlist_candidates(spark, sf_dir):
-    pairs = matching.candidates(d.sightings(spark, sf_dir), d.watchlist(spark, sf_dir))
-    return pairs.groupBy("id").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_entry"))
+    s = d.sightings(spark, sf_dir).select("id", fold_plate(F.col("plate_text")).alias("fold"))
+    reads = s.select(F.col("fold").alias("id"), F.col("fold").alias("plate_text")).distinct()  # plates repeat: each once
+    pairs = matching.candidates(reads, d.watchlist(spark, sf_dir))
+    found = pairs.groupBy(F.col("id").alias("fold")).agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_entry"))
+    return s.join(found, "fold").select("id", "entries", "first_entry")
 
 
 SCORED = f"""r as (select id, camera_id, wall_us, vehicle_class, colour, {d.fold_sql('plate_text')} as f from sightings), w as (select *, {d.fold_sql('plate')} as wf from watchlist),
@@ -83,7 +104,7 @@ SCORED = f"""r as (select id, camera_id, wall_us, vehicle_class, colour, {d.fold
     ), scored as (
       select *, case when p >= 0.999::double then greatest(0.6::double * p + 0.4::double * a, 0.95::double) else 0.6::double * p + 0.4::double * a end as score,
         case when p >= 0.999::double then 'exact' when a = 0 then 'partial' else 'fused' end as match_type from k
-    ), hits as (select * from scored where score >= 0.55::double)"""
+    ), hits as (select * replace (floor(score * 1000 + 0.5::double) / 1000 as score) from scored where score >= 0.55::double)"""
 
 
 @query(
@@ -140,7 +161,7 @@ def appearance_track(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count("*").alias("hops"), F.round(F.coalesce(F.sum("leg_km"), F.lit(0.0)), 6).alias("total_km"))
 
 
-BUCKETS = f"""grid as (select camera_id, b as bucket from cameras, unnest(range({HOURS})) as g(b)), cnt as (
+BUCKETS = """grid as (select camera_id, b as bucket from cameras, unnest(generate_series((select min(wall_us) // 3600000000 from sightings), (select max(wall_us) // 3600000000 from sightings))) as g(b)), cnt as (
       select camera_id, wall_us // 3600000000 as bucket, count(*) as total from sightings group by all
     ), buckets as (
       select camera_id, bucket, coalesce(total, 0) as total, (bucket % 24)::int as hour, (sum(coalesce(total, 0)) over (partition by camera_id order by bucket))::bigint as cumulative_total
@@ -149,7 +170,7 @@ BUCKETS = f"""grid as (select camera_id, b as bucket from cameras, unnest(range(
 
 
 def _buckets(spark, sf_dir):
-    return traffic.buckets(d.sightings(spark, sf_dir), d.cameras(spark), HOURS)
+    return traffic.buckets(d.sightings(spark, sf_dir), d.cameras(spark))
 
 
 @query(f"with {BUCKETS} select camera_id, bucket, total, hour, cumulative_total from buckets", d.SIGHTINGS, d.CAMERAS)
@@ -229,8 +250,7 @@ def _reads(spark, sf_dir):
     return s.select("camera_id", "track_id", "plate_text", F.col("id").alias("seq"), F.coalesce("plate_conf", F.lit(0.5)).alias("conf"))
 
 
-@query(
-    f"""with {READS}, lens as (select camera_id, track_id, length(text) as n, count(*) as k, sum(conf) as weight, min(seq) as first from reads group by all),
+CONSENSUS = f"""with {READS}, lens as (select camera_id, track_id, length(text) as n, count(*) as k, sum(conf) as weight, min(seq) as first from reads group by all),
     best as (select *, sum(k) over (partition by camera_id, track_id) as reads_n from lens qualify row_number() over (partition by camera_id, track_id order by k desc, weight desc, first) = 1),
     single as (select camera_id, track_id, text, conf from reads qualify row_number() over (partition by camera_id, track_id order by conf desc, seq) = 1),
     cells as (select r.camera_id, r.track_id, r.seq, r.conf, i as pos, substr(r.text, i::int, 1) as ch from reads r join best b using (camera_id, track_id), unnest(generate_series(1, b.n)) as g(i) where length(r.text) = b.n and b.k >= 2),
@@ -238,9 +258,10 @@ def _reads(spark, sf_dir):
     places as (select *, sum(weight) over (partition by camera_id, track_id, pos) as total from grp qualify row_number() over (partition by camera_id, track_id, pos order by weight desc, first) = 1),
     voted as (select camera_id, track_id, string_agg(ch, '' order by pos) as text, avg(weight / total) as share from places group by all)
     select camera_id, track_id, coalesce(v.text, s.text) as plate, round(coalesce(v.share, s.conf), 6) as confidence, case when v.text is not null then b.k else 1 end as voters
-    from best b join single s using (camera_id, track_id) left join voted v using (camera_id, track_id)""",
-    d.SIGHTINGS,
-)
+    from best b join single s using (camera_id, track_id) left join voted v using (camera_id, track_id)"""
+
+
+@query(CONSENSUS, d.SIGHTINGS)
 def plate_consensus(spark, sf_dir):
     out = votes.consensus(_reads(spark, sf_dir), ["camera_id", "track_id"])
     return out.withColumn("confidence", F.round("confidence", 6))

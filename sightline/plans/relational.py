@@ -88,7 +88,8 @@ def last_seen(spark, sf_dir):
 def alert_list(spark, sf_dir):
     page = alerts(spark, sf_dir).orderBy(F.desc("wall_us"), F.desc("alert_id")).limit(50)
     s = d.sightings(spark, sf_dir).select(F.col("id").alias("detection_id"), F.col("plate_text").alias("observed"))
-    out = s.join(F.broadcast(page), "detection_id", "right").join(F.broadcast(d.cameras(spark).select("camera_id", F.col("name").alias("camera_name"))), "camera_id", "left")
+    seen = s.join(F.broadcast(page.select("detection_id").distinct()), "detection_id")  # 50 ids at most
+    out = page.join(F.broadcast(seen), "detection_id", "left").join(F.broadcast(d.cameras(spark).select("camera_id", F.col("name").alias("camera_name"))), "camera_id", "left")
     return out.select("alert_id", "detection_id", "plate", F.round("score", 6).alias("score"), "severity", "acknowledged", "camera_name", "observed")
 
 

@@ -187,8 +187,16 @@ def trigram_fallback(spark, sf_dir):
     return retrieval.similar_names(entities(spark, sf_dir), asked(spark)).withColumn("score", F.round("score", 6))
 
 
+INTENT = ", ".join(f"'{w}'" for w in retrieval.intent_words())
+HEARD = f"""heard as (
+      select query_id, coalesce(list_aggregate(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: t not in ({INTENT}) or list_contains(known, t)), 'string_agg', ' '), '') as query from asked, (select coalesce(list(term), []) as known from df)
+    )"""
+RANKED_HEARD = RANKED[RANKED.index("q as (") :].replace("from asked", "from heard")  # the same rules on what is left of the queries
+NAMES_HEARD = NAMES.replace("from asked", "from heard")
+
+
 @query(
-    f"""with {RANKED}, {NAMES}, hits as (
+    f"""with {ENTITIES}, {ASKED_SQL}, {HEARD}, {RANKED_HEARD}, {NAMES_HEARD}, hits as (
       select r.query_id, r.doc_id, score, len(list_intersect(list_distinct(regexp_extract_all(lower(r.doc_id), '[a-z0-9]+')), terms)) = len(list_distinct(regexp_extract_all(lower(r.doc_id), '[a-z0-9]+'))) as named, 'bm25' as how
       from ranked r join (select query_id, list(term) as terms from q group by 1) using (query_id) where matched >= 1 and matched / wanted >= 0.5::double
     ), every as (select * from hits union all select query_id, doc_id, score, false, 'trigram' from named where query_id not in (select query_id from hits))

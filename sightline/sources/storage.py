@@ -12,6 +12,8 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path under spark.checkpoint.dir; under a temporary folder where that is unset (one machine, tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sightline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sightline/{tag}-{uuid.uuid4().hex}"

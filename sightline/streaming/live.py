@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import matching
-from ..params import Match, Vote
+from ..params import CONFUSED, FOLDED, Match, Vote
 from ..sources.storage import shared_path
 
 
-def run_to_end(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote; state and offsets are in the shared folder,
-    so a restart goes on where it stopped."""
+def run_to_end(stream: DataFrame, tag: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it has written. Rows, state and offsets are in the
+    folder `at`: a later call with the same folder goes on where the last one stopped, with its state, and returns the
+    rows of both. Without `at` a new folder of the shared one is taken."""
     spark = stream.sparkSession
-    out = shared_path(spark, tag)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{tag}-state")).trigger(availableNow=True).start()
+    root = at or shared_path(spark, tag)
+    out = f"{root}/rows"
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -37,21 +39,49 @@ def visits(sightings: DataFrame, gap: str = "6 hours", late: str = "10 minutes")
     return out.select("camera_id", "track_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-def live_alerts(sightings: DataFrame, watchlist: Callable[[], DataFrame], path: str, params: Match = Match(), interval: str = "1 second"):
-    """Starts a query that scores each micro-batch against the watchlist as it is then, and appends the alerts. A batch
-    that is tried again writes to the same place, so it counts once."""
+def live_alerts(sightings: DataFrame, watchlist: Callable[[], DataFrame], path: str, params: Match = Match(), interval: str | None = "1 second"):
+    """Starts a query that scores each micro-batch against the watchlist as it is then, and appends the alerts, reasons
+    and all, to path/rows; its offsets are in path/state, so that a restart goes on. A batch that is tried again writes
+    to the same place, so it counts once. Without an interval it ends with what is there now."""
 
     def score(batch: DataFrame, number: int) -> None:
-        found = matching.alerts(batch, watchlist(), params).drop("reasons")
-        found.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    spark = sightings.sparkSession
-    return sightings.writeStream.foreachBatch(score).option("checkpointLocation", shared_path(spark, "alerts-state")).trigger(processingTime=interval).start()
+        found = matching.alerts(batch, watchlist(), params)
+        found.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/rows")
+
+    when = {"processingTime": interval} if interval else {"availableNow": True}
+    return sightings.writeStream.foreachBatch(score).option("checkpointLocation", f"{path}/state").trigger(**when).start()
+
+
+FOLD = str.maketrans(CONFUSED, FOLDED)
+
+
+def vote(reads: list[tuple[int, str, float]], min_voters: int) -> tuple[str, float, int]:
+    """Plate, confidence and voters of one track's held reads (seq, text, conf) in order: the rules of
+    operators.votes.consensus for the few reads that a state holds."""
+    lengths: dict[int, list[tuple[int, str, float]]] = {}
+    for read in reads:
+        lengths.setdefault(len(read[1]), []).append(read)
+    cohort = max(lengths.values(), key=lambda c: (len(c), sum(conf for *_, conf in c), -c[0][0]))
+    if len(cohort) < min_voters:
+        _, text, conf = max(reads, key=lambda r: (r[2], -r[0]))
+        return text, conf, 1
+    plate, share = "", 0.0
+    for i in range(len(cohort[0][1])):
+        groups: dict[str, list[tuple[float, int, str]]] = {}
+        for seq, text, conf in cohort:
+            groups.setdefault(text[i].translate(FOLD), []).append((conf, -seq, text[i]))
+        weight = {ch: sum(g[0] for g in members) for ch, members in groups.items()}
+        best = max(groups, key=lambda ch: (weight[ch], max(g[1] for g in groups[ch])))
+        plate += max(groups[best])[2]
+        share += weight[best] / total if (total := sum(weight.values())) > 0 else 0.0
+    return plate, share / len(plate), len(cohort)
 
 
 def voted(reads: DataFrame, params: Vote = Vote(), idle_ms: int | None = None) -> DataFrame:
-    """Keyed state per camera and track: the newest reads, and after each batch their number and the longest text that
-    most of them have. With idle_ms, tracks that fall silent are dropped; a run to the end of what is there needs none."""
+    """Keyed state per camera and track over reads (camera_id, track_id, seq, text, conf): the newest reads, and after
+    each batch their consensus: plate, confidence, voters, reads held and the newest seq. The row of the largest
+    newest_seq is a track's verdict. With idle_ms, tracks that fall silent are dropped; a run to the end of what is
+    there needs none."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,23 +89,17 @@ def voted(reads: DataFrame, params: Vote = Vote(), idle_ms: int | None = None) -
             return
         held = list(zip(*state.get, strict=True)) if state.exists else []
         for b in batches:
-            held += [(int(r.seq), r.text) for r in b.itertuples() if len(r.text) >= params.min_chars]
-        held = sorted(held)[-params.max_reads :]
-        state.update(([s for s, _ in held], [t for _, t in held]))
+            held += [(int(r.seq), r.text, float(r.conf)) for r in b.itertuples() if len(r.text) >= params.min_chars]
+            held = sorted(held)[-params.max_reads :]
+        state.update(tuple([r[i] for r in held] for i in range(3)))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         if held:
-            texts = [t for _, t in held]
-            best = max(dict.fromkeys(texts), key=lambda t: (texts.count(t), len(t)))
-            yield pd.DataFrame({"camera_id": [key[0]], "track_id": [key[1]], "plate": [best], "reads": [len(held)]})
+            plate, conf, voters = vote(held, params.min_voters)
+            yield pd.DataFrame({"camera_id": [key[0]], "track_id": [key[1]], "plate": [plate], "confidence": [conf], "voters": [voters], "reads": [len(held)], "newest_seq": [held[-1][0]]})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return reads.groupBy("camera_id", "track_id").applyInPandasWithState(
-        step, "camera_id string, track_id long, plate string, reads int", "seqs array<long>, texts array<string>", "append", timeout
-    )
-
-
-def session_ready(spark: SparkSession) -> SparkSession:
-    """State in RocksDB, so that it may outgrow memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return spark
+        step, "camera_id string, track_id long, plate string, confidence double, voters int, reads int, newest_seq long",
+        "seqs array<long>, texts array<string>, confs array<double>", "append", timeout,
+    )
