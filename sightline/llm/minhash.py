@@ -160,11 +160,41 @@ def _confirmed(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[other], "b": ids[label[other]]})
 
 
+SIEVE = 1 << 25  # bits, whatever the data
+
+
+def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, text) whose doc_id may be among wanted(head): all that are, and few others while there are
+    well below SIEVE of them. A bitmap of fixed size goes to the tasks, so that the rest needn't be shuffled."""
+    spark = docs.sparkSession
+
+    def place(ids: pa.Array) -> np.ndarray:
+        return (_mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(SIEVE)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = place(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bit"])
+
+    marked = wanted.select("head").mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
+    got, field = marked.toPandas(), np.zeros(SIEVE >> 6, np.int64)  # SIEVE / 64 numbers at most
+    field[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(field)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = held.value
+        for batch in batches:
+            at = place(batch.column(0))
+            yield batch.filter(pa.array((field[at >> 6] >> (at & 63)) & 1 == 1))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def sets_of(docs: DataFrame, heads: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """Rows (id, c, shingles) for the classes wanted (id, c): their full sets, once each."""
-    wanted = wanted.join(heads.select("id", "head", "mark"), "id")
-    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = texts.join(wanted, F.col("doc_id") == F.col("head")).select("id", "c", "mark", "text")
+    wanted = written(wanted.join(heads.select("id", "head", "mark"), "id"), "wanted")
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = sieved(texts, wanted).join(wanted, F.col("doc_id") == F.col("head")).select("id", "c", "mark", "text")
     return rows.mapInArrow(lambda batches: _sets(batches, p), "id long, c long, shingles array<long>").dropDuplicates(["id"])
 
 
