@@ -194,7 +194,9 @@ def sets_of(docs: DataFrame, heads: DataFrame, wanted: DataFrame, p: Params) ->
     """Rows (id, c, shingles) for the classes wanted (id, c): their full sets, once each."""
     wanted = written(wanted.join(heads.select("id", "head", "mark"), "id"), "wanted")
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = sieved(texts, wanted).join(wanted, F.col("doc_id") == F.col("head")).select("id", "c", "mark", "text")
+    # written, so that no task runs two Python workers, one to sift and one to make sets
+    sifted = written(sieved(texts, wanted), "sifted")
+    rows = sifted.join(wanted, F.col("doc_id") == F.col("head")).select("id", "c", "mark", "text")
     return rows.mapInArrow(lambda batches: _sets(batches, p), "id long, c long, shingles array<long>").dropDuplicates(["id"])
 
 
