@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
 
+#: Edges that a task holds at once while it makes stars of them, whatever the data.
+HELD = 1 << 20
+
+
+def stars_of(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges but the smallest of its component, and that smallest."""
+    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = at[: len(hi)], at[len(hi) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    leaf = root != np.arange(len(nodes))
+    return nodes[leaf], nodes[root[leaf]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        hi, lo = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars_of(hi, lo)], names=["hi", "lo"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
 def settled(edges: DataFrame) -> bool:
     """Whether edges(hi, lo), lo < hi, are stars already: each hi has one lo and is the lo of none. A round leaves such
     edges as they are, so this one count, combined before its shuffle, takes the place of a last round."""
@@ -20,15 +61,16 @@ def settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows (id, component) for every node that has an edge to another: component is its smallest reachable id.
 
-    Edges hold non-null longs; loops and repeated edges change nothing. Every round is a few joins over the edges
+    Edges hold non-null longs; loops and repeated edges change nothing. First each task turns the edges that it reads,
+    HELD at a time, into stars of the same components, before anything is shuffled. Every round is a few joins over the edges
     that are left, its minima are combined before the shuffle, and its result is written to the shared folder.
     Rounds grow with the logarithm of the longest path; edges that are stars already need none. An empty edge table
     gives no rows.
     """
     spark = edges.sparkSession
-    now = written(
-        edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "cc"
-    )
+    raw = written(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo"), "cc")
+    now = written(raw.mapInArrow(_contracted, "hi long, lo long"), "cc")
+    dropped(spark, raw)
     for _ in range(max_rounds):
         if settled(now):
             break

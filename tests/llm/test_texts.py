@@ -325,3 +325,25 @@ def test_many_near_copies_meet_in_proportion(spark, monkeypatch):
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.id: r.component for r in components.connected_components(df).collect()} == want
+
+
+def test_components_of_contracted_edges(spark, monkeypatch):
+    """Stars, paths and random edges over many partitions, three edges held at once, against one union of all."""
+    monkeypatch.setattr(components, "HELD", 3)
+    rng = random.Random(11)
+    edges = [(1000, i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2060)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(220)]
+    rng.shuffle(edges)
+    hi, lo = np.array([max(e) for e in edges]), np.array([min(e) for e in edges])
+    node, least = components.stars_of(hi, lo)
+    want = dict(zip(node.tolist(), least.tolist(), strict=True))
+    root = {n: n for e in edges for n in e}
+    for _ in range(len(root)):
+        before = dict(root)
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    assert want == {n: r for n, r in root.items() if n != r}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.id: r.component for r in components.connected_components(df).collect()}
+    assert got == {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
