@@ -14,6 +14,9 @@ from .common import dropped, written
 
 #: Edges that a task holds at once while it makes stars of them, whatever the data.
 HELD = 1 << 20
+#: Nodes of most edges that are sent to all tasks: 2 * HUBS rows of two longs at most, whatever the data.
+HUBS = 1 << 16
+LEAST_HUB = 1000
 
 
 def stars_of(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +52,31 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def settled(edges: DataFrame) -> bool:
+def degrees_of(edges: DataFrame) -> tuple[bool, int | None]:
     """Whether edges(hi, lo), lo < hi, are stars already: each hi has one lo and is the lo of none. A round leaves such
-    edges as they are, so this one count, combined before its shuffle, takes the place of a last round."""
+    edges as they are, so this one count, combined before its shuffle, takes the place of a last round. Then a bound
+    on the edges of a node that meet in one task, if a node has more of them: at most 2 * HUBS nodes do."""
     ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     ends = ends.union(edges.select("lo", F.lit(0), F.lit(1)))
-    degrees = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return degrees.where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0] == 0
+    degrees = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"), F.count("*").alias("n"))
+    found = degrees.agg(
+        F.count(F.when(F.expr("up > 1 or (up = 1 and down = 1)"), 1)).alias("open"),
+        F.sum("n").alias("ends"),
+        F.max("n").alias("most"),
+    ).first()
+    limit = max(LEAST_HUB, (found.ends or 0) // (2 * HUBS))
+    return found.open == 0, limit if (found.most or 0) > limit else None
+
+
+def with_least(edges: DataFrame, key: str, least: DataFrame, limit: int | None) -> DataFrame:
+    """edges with m of least(key, m, n). Keys of more than `limit` edges, which are few, go to the tasks that hold their
+    edges instead of these edges all to one task."""
+    if limit is None:
+        return edges.join(least.drop("n"), key)
+    hubs = least.where(F.col("n") > limit).select(key, F.col("m").alias("hub"))
+    dealt = edges.join(F.broadcast(hubs), key, "left")
+    rest = dealt.where("hub is null").drop("hub").join(least.where(F.col("n") <= limit).drop("n"), key)
+    return rest.unionByName(dealt.where("hub is not null").withColumnRenamed("hub", "m"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -72,15 +93,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = written(raw.mapInArrow(_contracted, "hi long, lo long"), "cc")
     dropped(spark, raw)
     for _ in range(max_rounds):
-        if settled(now):
+        done, limit = degrees_of(now)
+        if done:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        under = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(under, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both.where("v > u"), "u", least, limit).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        if limit:
+            large = written(large, "cc")
+        under = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, "hi", under, limit).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars = written(small.union(under.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
-        dropped(spark, now)
+        dropped(spark, now, *([large] if limit else []))
         now = stars
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license, minhash, packing, sharding, sstable, topk, urlrules, warc
+from . import decontam, langid, license, minhash, packing, sharding, simhash, sstable, topk, urlrules, warc
 from .common import table
 
 # Host and path rules of op9.
@@ -64,6 +64,10 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_license_index": op2_license_index,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_url_rule_sweep": op9_url_rule_sweep,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
+    "op11_simhash_pigeonring": op11_simhash_pigeonring,
 }
 
 ORACLE_SQL = {
