@@ -64,19 +64,24 @@ def degrees_of(edges: DataFrame) -> tuple[bool, int | None]:
         F.sum("n").alias("ends"),
         F.max("n").alias("most"),
     ).first()
-    limit = max(LEAST_HUB, (found.ends or 0) // (2 * HUBS))
-    return found.open == 0, limit if (found.most or 0) > limit else None
+    return found.open == 0, hub_limit(found.ends or 0, found.most or 0)
+
+
+def hub_limit(rows: int, most: int) -> int | None:
+    """The rows of a key above which it is a hub, if the key of most rows is one: 2 * HUBS keys can be at most."""
+    limit = max(LEAST_HUB, rows // (2 * HUBS))
+    return limit if most > limit else None
 
 
 def with_least(edges: DataFrame, key: str, least: DataFrame, limit: int | None) -> DataFrame:
-    """edges with m of least(key, m, n). Keys of more than `limit` edges, which are few, go to the tasks that hold their
-    edges instead of these edges all to one task."""
+    """edges with m of least(key, m, n), n the edges of the key. Keys of more than `limit` edges, which are few, go to the
+    tasks that hold their edges instead of these edges all to one task."""
     if limit is None:
         return edges.join(least.drop("n"), key)
-    hubs = least.where(F.col("n") > limit).select(key, F.col("m").alias("hub"))
+    hubs = least.where(F.col("n") > limit).select(key, F.col("m").alias("hub"), F.lit(True).alias("known"))
     dealt = edges.join(F.broadcast(hubs), key, "left")
-    rest = dealt.where("hub is null").drop("hub").join(least.where(F.col("n") <= limit).drop("n"), key)
-    return rest.unionByName(dealt.where("hub is not null").withColumnRenamed("hub", "m"))
+    rest = dealt.where("known is null").drop("hub", "known").join(least.where(F.col("n") <= limit).drop("n"), key)
+    return rest.unionByName(dealt.where("known").drop("known").withColumnRenamed("hub", "m"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, text_bytes, written
-from .components import connected_components
+from .components import connected_components, hub_limit, with_least
 
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 PIECE = 1 << 20  # bytes of a text whose words are held at once
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = written(fingerprints(docs, params), "fingerprints")
-    heads = written(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    heads = written(rows.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "heads")
     edges = links(heads.select("fp"), params)
     # rows that repeat a doc_id with other texts
     twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most")
@@ -200,8 +200,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     found = written(connected_components(edges.unionByName(same)), "simhash-components")
     least = found.join(heads, found["id"] == heads["fp"]).groupBy("component").agg(F.min("head").alias("least"))
     places = found.join(least, "component").select(F.col("id").alias("fp"), "least")
-    whole = heads.join(places, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
-    out = rows.join(whole, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    out = written(out, "simhash")
-    dropped(spark, rows, heads, edges, found)
+    whole = written(heads.join(places, "fp", "left").select("fp", F.coalesce("least", "head").alias("m"), "n"), "simhash-classes")
+    size = heads.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    out = with_least(rows, "fp", whole, hub_limit(size.rows or 0, size.most or 0))  # copies of one text may be a third of all
+    out = written(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("m").alias("component_id")), "simhash")
+    dropped(spark, rows, heads, edges, found, whole)
     return out

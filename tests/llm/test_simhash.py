@@ -65,6 +65,13 @@ def test_as_the_plain_rule(docs):
     assert found(simhash.near_duplicates(docs)) == plain(rows)
 
 
+def test_many_copies(spark, monkeypatch):
+    """Fingerprints of more rows than the limit, with and without a doc_id, beside others."""
+    monkeypatch.setattr(components, "LEAST_HUB", 5)
+    rows = [(i, "one text of many copies") for i in range(30, 60)] + [(None, "a second one")] * 20 + [(7, None), (8, ""), (9, "alone here now")]
+    assert found(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
 def test_query_on_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert found(queries.QUERIES["op11_simhash_pigeonring"](spark, SF)) == plain(rows)
