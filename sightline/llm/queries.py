@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license, minhash, packing, sharding, simhash, sstable, topk, urlrules, warc
+from . import decontam, langid, license, merkle, minhash, packing, sharding, simhash, sstable, topk, urlrules, warc
 from .common import table
 
 # Host and path rules of op9.
@@ -68,6 +68,13 @@ def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = {"text": F.replace("text", F.lit("\n"), F.lit(""))}
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.verified(docs, "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], cut, tampered)
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_license_index": op2_license_index,
@@ -80,6 +87,7 @@ QUERIES = {
     "op9_url_rule_sweep": op9_url_rule_sweep,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
     "op11_simhash_pigeonring": op11_simhash_pigeonring,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -134,4 +142,47 @@ ORACLE_SQL = {
           select doc_id, doc_id from s union select e.b, reach.r from reach join both_ways e on e.a = reach.doc_id
         )
         select doc_id, any_value(len(s.s)) as n_shingles, min(r) as component_id, min(r) = doc_id as kept from reach join s using (doc_id) group by doc_id""",
+    "op12_merkle_manifest": r"""
+        with recursive crc(i, k, c) as (
+          select i, 0, i from range(256) t(i) union all
+          select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8
+        ), codes as (select list(c order by i) as t from crc where k = 8),
+        d as (
+          select doc_id, source, lang, n_chars, text, xor(4294967295, list_reduce(list_prepend(4294967295,
+            list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint)),
+            lambda a, b: xor(a >> 8, codes.t[1 + (xor(a, b) & 255)]))) % 2 = 0 as tampered from documents, codes
+        ), f as (
+          select doc_id, source, text, replace(text, chr(10), '') as cut, tampered, concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+            coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) as head from d
+        ), l as (
+          select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+            case when tampered then sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) end as other from f
+        ), leaves as (
+          select doc_id, dense_rank() over (order by source is not null, encode(source)) - 1 as tree,
+            row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, leaf, coalesce(other, leaf) as shown from l
+        ), nodes(tree, level, idx, digest, n) as (
+          select tree, 0, idx, leaf, count(*) over (partition by tree) from leaves union all
+          select tree, level + 1, idx // 3, sha256(string_agg(digest, '' order by idx)), (n + 2) // 3 from nodes where n > 1 group by tree, level, idx // 3, n
+        ), crown(level, idx, digest, n) as (
+          select 0, tree, digest, count(*) over () from nodes where n = 1 union all
+          select level + 1, idx // 3, sha256(string_agg(digest, '' order by idx)), (n + 2) // 3 from crown where n > 1 group by level, idx // 3, n
+        ), steps as (
+          select tree, level, idx, list(idx order by idx) over w as places, list(digest order by idx) over w as run from nodes where n > 1 window w as (partition by tree, level, idx // 3)
+        ), crown_steps as (
+          select level, idx, list(idx order by idx) over w as places, list(digest order by idx) over w as run from crown where n > 1 window w as (partition by level, idx // 3)
+        ), around as (
+          select tree, level, idx, array_to_string(list_filter(run, lambda x, i: places[i] < idx), '') as before, array_to_string(list_filter(run, lambda x, i: places[i] > idx), '') as after from steps
+        ), crown_around as (
+          select level, idx, array_to_string(list_filter(run, lambda x, i: places[i] < idx), '') as before, array_to_string(list_filter(run, lambda x, i: places[i] > idx), '') as after from crown_steps
+        ), way(id, tree, level, idx, h, proof) as (
+          select tree * 1000000000 + idx, tree, 0, idx, shown, '' from leaves union all
+          select id, tree, level + 1, idx // 3, sha256(before || h || after), proof || before || after from way join around using (tree, level, idx)
+        ), done as (select id, tree, arg_max(h, level) as h, arg_max(proof, level) as proof from way group by id, tree),
+        rise(id, level, idx, h, proof) as (
+          select id, 0, tree, h, proof from done union all
+          select id, level + 1, idx // 3, sha256(before || h || after), proof || before || after from rise join crown_around using (level, idx)
+        ), last as (select id, arg_max(h, level) as folded_root, sha256(arg_max(proof, level)) as proof_sha256 from rise group by id),
+        numbered as (select tree * 1000000000 + idx as id, * from leaves)
+        select doc_id, leaf, s.digest as subroot, r.digest as root, proof_sha256, folded_root, folded_root = r.digest as verified
+        from numbered join last using (id) join (select tree, digest from nodes where n = 1) s using (tree), (select digest from crown where n = 1) r""",
 }
