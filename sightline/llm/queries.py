@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license, merkle, minhash, packing, sharding, simhash, sstable, topk, urlrules, warc
+from . import decontam, langid, license, merkle, minhash, packing, sharding, simhash, sstable, topk, urlrules, variants, warc
 from .common import table
 
 # Host and path rules of op9.
@@ -75,6 +75,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(docs, "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], cut, tampered)
 
 
+def op13_edit_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_license_index": op2_license_index,
@@ -88,6 +92,7 @@ QUERIES = {
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
     "op11_simhash_pigeonring": op11_simhash_pigeonring,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_edit_neighbourhoods": op13_edit_neighbourhoods,
 }
 
 ORACLE_SQL = {
@@ -185,4 +190,36 @@ ORACLE_SQL = {
         numbered as (select tree * 1000000000 + idx as id, * from leaves)
         select doc_id, leaf, s.digest as subroot, r.digest as root, proof_sha256, folded_root, folded_root = r.digest as verified
         from numbered join last using (id) join (select tree, digest from nodes where n = 1) s using (tree), (select digest from crown where n = 1) r""",
+    "op13_edit_neighbourhoods": r"""
+        with recursive crc(i, k, c) as (
+          select i, 0, i from range(256) t(i) union all
+          select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8
+        ), codes as (select list(c order by i) as t from crc where k = 8),
+        runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+        low as (
+          select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs where length(run) >= 7 group by all
+        ), points as (
+          select doc_id, run, n, list_transform(range(1, length(s) + 1), lambda i: unicode(substr(s, i::int, 1))::bigint) as p
+          from (select *, coalesce(doc_id::varchar, '') || ':' || run as s from low)
+        ), hashed as (
+          select run, n, xor(4294967295, list_reduce(list_prepend(4294967295,
+            flatten(list_transform(p, lambda c: case when c < 128 then [c] else [192 | (c >> 6), 128 | (c & 63)] end))),
+            lambda a, b: xor(a >> 8, codes.t[1 + (xor(a, b) & 255)]))) as h from points, codes
+        ), kept as (
+          select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed
+        ), v as (select word, sum(n)::bigint as n from kept where length(word) >= 7 group by word having sum(n) >= 2),
+        cut as (select distinct word, left(word, i::int - 1) || substr(word, i::int + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from v)),
+        holes as (select word, left(word, i::int - 1) || '.' || substr(word, i::int + 1) as hole from (select word, unnest(range(1, length(word) + 1)) as i from v)),
+        near as (
+          select a.word, b.word as near from holes a join holes b on a.hole = b.hole and a.word <> b.word
+          union select cut.word, v.word from cut join v on v.word = rest
+          union select v.word, cut.word from cut join v on v.word = rest
+        ), best as (
+          select near.word, count(*) as n_near, first(near.near order by v.n desc, near.near) as form, max(v.n) as form_n from near join v on v.word = near.near group by near.word
+        ), forms as (
+          select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 10 * v.n then form end as form, case when form_n >= 10 * v.n then form_n end as form_n from v left join best using (word)
+        ), follow(word, root, step) as (
+          select word, word, 0 from forms union all select f.word, g.form, step + 1 from follow f join forms g on g.word = f.root where g.form is not null
+        )
+        select word, n, n_near, form, form_n, root from forms join (select word, arg_max(root, step) as root from follow group by word) using (word)""",
 }
