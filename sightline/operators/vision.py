@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.geo import in_polygon, iou, segments_cross, side_of
-from ..functions.vector import dot
 from ..params import Clock, Dark, Frame, Track
 from .folds import Spaced, streamed
 
@@ -86,25 +83,31 @@ def track_shape(points: DataFrame, by: list[str], order: list[str], params: Trac
     return ends.withColumn("direction", F.when(~still, way))
 
 
-def zone_hits(points: DataFrame, zones: DataFrame, width: int, height: int, by: list[str], order: list[str]) -> DataFrame:
-    """One row for each zone and track that breaks the zone's rule, at its first sighting that does.
+def zone_tests(points: DataFrame, zones: DataFrame, width: int, height: int) -> DataFrame:
+    """Rows (zone_id, side and the columns of points) for each zone whose rule a point breaks.
 
-    points (by.., camera_id, vehicle_class, cx, cy, pts_ms), zones (zone_id, camera_id, rule, points array<struct<x,y>>,
-    classes, dwell_s). Intrusion: in the polygon. Loitering: in it, the track's time so far at least dwell_s. Crossing:
-    the last step cuts the line. Zones are a small dimension; geometry is expressions.
+    points (camera_id, vehicle_class, cx, cy, pts_ms, px, py of the track's centre before, since when it is there),
+    zones (zone_id, camera_id, rule, points array<struct<x,y>>, classes, dwell_s). Intrusion: in the polygon. Loitering:
+    in it, the track's time so far at least dwell_s. Crossing: the last step cuts the line. Zones are a small dimension;
+    geometry is expressions.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    p = points.withColumns({"px": F.lag("cx").over(w), "py": F.lag("cy").over(w), "since": F.min("pts_ms").over(w)})
     z = zones.withColumn("points", F.transform("points", lambda q: F.struct((q["x"] * width).alias("x"), (q["y"] * height).alias("y"))))
-    j = p.join(F.broadcast(z), "camera_id").where((F.size("classes") == 0) | F.array_contains("classes", F.col("vehicle_class")))
+    j = points.join(F.broadcast(z), "camera_id").where((F.size("classes") == 0) | F.array_contains("classes", F.col("vehicle_class")))
     inside = in_polygon(F.col("cx"), F.col("cy"), F.col("points"))
     a, b = (F.get("points", F.lit(0))["x"], F.get("points", F.lit(0))["y"]), (F.get("points", F.lit(1))["x"], F.get("points", F.lit(1))["y"])
     crossed = F.coalesce(segments_cross((F.col("px"), F.col("py")), (F.col("cx"), F.col("cy")), a, b), F.lit(False))
     stayed = (F.col("pts_ms") - F.col("since")) / 1000.0 >= F.col("dwell_s")
     hit = F.when(F.col("rule") == "intrusion", inside).when(F.col("rule") == "loitering", inside & stayed).when(F.col("rule") == "crossing", crossed)
-    j = j.where(hit).withColumn("side", F.when(F.col("rule") == "crossing", side_of(a, b, (F.col("cx"), F.col("cy")))))
+    return j.where(hit).withColumn("side", F.when(F.col("rule") == "crossing", side_of(a, b, (F.col("cx"), F.col("cy")))))
+
+
+def zone_hits(points: DataFrame, zones: DataFrame, width: int, height: int, by: list[str], order: list[str]) -> DataFrame:
+    """One row for each zone and track that breaks the zone's rule, at its first sighting that does; see zone_tests.
+    points has the columns of `by` and `order` too."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    p = points.withColumns({"px": F.lag("cx").over(w), "py": F.lag("cy").over(w), "since": F.min("pts_ms").over(w)})
     first = Window.partitionBy("zone_id", *by).orderBy(*order)
-    return j.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    return zone_tests(p, zones, width, height).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
 def overlaps(boxes: DataFrame, least: float = Track.base_iou) -> DataFrame:
@@ -113,80 +116,3 @@ def overlaps(boxes: DataFrame, least: float = Track.base_iou) -> DataFrame:
     j = a.join(b, (F.col("a.camera_id") == F.col("b.camera_id")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.id") < F.col("b.id")))
     side = lambda t: [F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")]
     return j.withColumn("iou", iou(side("a"), side("b"))).where(F.col("iou") >= least).select(F.col("a.camera_id").alias("camera_id"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "iou")
-
-
-def _box_iou(a: list, b: list) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    area = lambda r: max(0, r[2] - r[0]) * max(0, r[3] - r[1])
-    return w * h / (area(a) + area(b) - w * h)
-
-
-def step_tracks(tracks: list[dict], found: list[dict], pts_ms: float, next_id: int, params: Track) -> tuple[list[dict], list[int], int]:
-    """One frame: live tracks and the frame's finds to tracks, the find's track ids and the next free id.
-
-    A find goes to the live track of its class with most overlap, enough for the gap, or else likeness; if another find
-    of the frame has that track, it begins a new one."""
-    tracks = [t for t in tracks if (pts_ms - t["last"]) / 1000 <= params.timeout_s]
-    tracks = sorted(tracks, key=lambda t: t["last"])[max(0, len(tracks) - params.max_tracks) :] if len(tracks) > params.max_tracks else tracks
-    claimed: set[int] = set()
-    ids = []
-    for d in found:
-        best, best_score = None, 0.0
-        for t in tracks:
-            if t["vehicle_class"] != d["vehicle_class"]:
-                continue
-            overlap = _box_iou(t["box"], d["box"])
-            score = overlap if overlap >= params.base_iou / (1 + max(0.0, (pts_ms - t["last"]) / 1000)) else 0.0
-            if score == 0.0 and t.get("embedding") is not None and d.get("embedding") is not None:
-                likeness = float(np.dot(t["embedding"], d["embedding"]))
-                score = 0.5 * likeness if likeness >= params.appearance_rescue else 0.0
-            if score > best_score:
-                best, best_score = t, score
-        if best is None or best["id"] in claimed:
-            best = {"id": next_id, "vehicle_class": d["vehicle_class"], "embedding": None}
-            next_id += 1
-            tracks.append(best)
-        best.update(box=d["box"], last=pts_ms)
-        if d.get("embedding") is not None:
-            best["embedding"] = d["embedding"]
-        claimed.add(best["id"])
-        ids.append(best["id"])
-    return tracks, ids, next_id
-
-
-class Tracking:
-    """Tracks of one camera and epoch: live tracks and the rows of the frame being read."""
-
-    def __init__(self, params: Track):
-        self.params, self.tracks, self.next_id = params, [], 1
-        self.frame: list[dict] = []
-
-    def row(self, row: dict) -> list[tuple]:
-        done = self.end(row) if self.frame and self.frame[0]["pts_ms"] != row["pts_ms"] else []
-        self.frame.append(row)
-        return done
-
-    def end(self, last: dict) -> list[tuple]:
-        found = [
-            {"vehicle_class": r["vehicle_class"], "box": [r[c] for c in ("x1", "y1", "x2", "y2")], "embedding": None if r["embedding"] is None else np.asarray(r["embedding"])}
-            for r in self.frame
-        ]
-        self.tracks, ids, self.next_id = step_tracks(self.tracks, found, float(self.frame[0]["pts_ms"]), self.next_id, self.params)
-        out = [(r["id"], r["camera_id"], r["epoch"], track) for r, track in zip(self.frame, ids, strict=True)]
-        self.frame = []
-        return out
-
-
-def tracked(detections: DataFrame, params: Track = Track()) -> DataFrame:
-    """Detections (id, camera_id, epoch, pts_ms, vehicle_class, x1..y2, embedding) with a track id, numbered in each
-    camera and epoch, whose frames follow one another in stream time, then id. Rows stream in that order; live tracks
-    and one frame are held."""
-    columns = ["id", "camera_id", "epoch", "pts_ms", "vehicle_class", "x1", "y1", "x2", "y2", "embedding"]
-    schema = StructType.fromDDL("id long, camera_id string, epoch long, track long")
-    return streamed(detections.select(*columns), ["camera_id", "epoch"], ["pts_ms", "id"], lambda: Tracking(params), schema)
-
-
-def likeness(a: Column, b: Column) -> Column:
-    return dot(a, b)

@@ -90,12 +90,26 @@ class Clock:
     agree_s: float = 2.5
     live_tolerance_ms: int = 2000
     index_tolerance_ms: int = 250
+    live_attempts: int = 4
+    index_attempts: int = 30
+    reanchor_s: float = 900.0
+    retry_ms: int = 20_000
+    pending_retry_ms: int = 1_000
 
 
 @dataclass(frozen=True)
 class Dark:
     luma: float = 18.0
     streak: int = 60
+    recheck: int = 300
+
+
+@dataclass(frozen=True)
+class Tier:
+    slots: int = 3
+    hold_us: int = 10_000_000
+    wide_ms: int = 1_000
+    close_ms: int = 200
 
 
 @dataclass(frozen=True)

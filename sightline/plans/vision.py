@@ -203,9 +203,3 @@ def zone_crossing(spark, sf_dir):
 def iou_pairs(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("frame", F.expr("hour div 24"))
     return vision.overlaps(f).withColumn("iou", F.round("iou", 6))
-
-
-@query()
-def track_update(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("pts_ms", F.expr("pts_ms div 60000 * 1000")).withColumn("epoch", F.col("hour"))
-    return vision.tracked(f.withColumn("embedding", F.lit(None).cast("array<double>")))

@@ -14,14 +14,24 @@ from ..params import CONFUSED, FOLDED, Match, Vote
 from ..sources.storage import shared_path
 
 
-def run_to_end(stream: DataFrame, tag: str, mode: str = "append", at: str | None = None) -> DataFrame:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, tag: str, mode: str = "append", at: str | None = None, keyed: bool = False) -> DataFrame:
     """Runs a stream over all that is there now and returns what it has written. Rows, state and offsets are in the
     folder `at`: a later call with the same folder goes on where the last one stopped, with its state, and returns the
-    rows of both. Without `at` a new folder of the shared one is taken."""
+    rows of both. Without `at` a new folder of the shared one is taken. Streams of streaming.keyed need keyed=True,
+    which keeps their state in RocksDB."""
     spark = stream.sparkSession
     root = at or shared_path(spark, tag)
-    out = f"{root}/rows"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    out, store = f"{root}/rows", spark.conf.get(STORE)
+    if keyed:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, store)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -103,3 +113,27 @@ def voted(reads: DataFrame, params: Vote = Vote(), idle_ms: int | None = None) -
         step, "camera_id string, track_id long, plate string, confidence double, voters int, reads int, newest_seq long",
         "seqs array<long>, texts array<string>, confs array<double>", "append", timeout,
     )
+
+
+def enriched(sightings: DataFrame, described: DataFrame, within: str = "1 hour", bound_s: float = 3.0, late: str = "10 minutes") -> DataFrame:
+    """Sightings (id, camera_id, ts) with the description of each (id, made_ts) that arrives, by a join of two streams:
+    id, camera_id, delay_s and whether it came later than bound_s after its sighting. None within `within` is dropped;
+    what waits for its partner is in state until the watermarks pass that."""
+    a = sightings.withWatermark("ts", late)
+    b = described.withWatermark("made_ts", late).withColumnRenamed("id", "of")
+    met = a.join(b, F.expr(f"of = id and made_ts >= ts and made_ts <= ts + interval {within}"))
+    delay = (F.unix_micros("made_ts") - F.unix_micros("ts")) / 1_000_000
+    return met.select("id", "camera_id", F.floor(delay).alias("delay_s"), (delay > bound_s).alias("late"))
+
+
+def in_slices(rows: DataFrame, at: str, cuts: list, run: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What `run(stream, folder)` gives for rows that come in one after another: those before the first cut of the column
+    `at`, then those before the next, and at last the rest. The stream is stopped and started again between slices."""
+    spark = rows.sparkSession
+    root, out = shared_path(spark, "slices"), None
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if lo is None else rows.where(F.col(at) >= F.lit(lo))
+        part = part if hi is None else part.where(F.col(at) < F.lit(hi))
+        part.write.mode("append").parquet(f"{root}/in")
+        out = run(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/run")
+    return out

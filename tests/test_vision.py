@@ -10,35 +10,11 @@ from sightline.functions import captions
 from sightline.functions.overlay import parsed_seconds
 from sightline.functions.vector import dot
 from sightline.operators import journeys, movement, registry, retention, retrieval, vision
-from sightline.params import Journey, Track
+from sightline.params import Journey
 from sightline.sources import domain, files, sinks
 
 from .conftest import SF
 
-BOX = "id long, camera_id string, epoch long, pts_ms long, vehicle_class string, x1 long, y1 long, x2 long, y2 long, embedding array<double>"
-
-
-def tracks(spark, *boxes):
-    """(time in ms, class, x, vector) each; boxes are 100 x 100."""
-    data = [(i, "c", 0, t, k, x, 0, x + 100, 100, v) for i, (t, k, x, v) in enumerate(boxes)]
-    return [r.track for r in vision.tracked(spark.createDataFrame(data, BOX)).orderBy("id").collect()]
-
-
-def test_tracks(spark):
-    assert tracks(spark, (0, "car", 0, None), (1000, "car", 20, None), (2000, "car", 40, None)) == [1, 1, 1]
-    assert tracks(spark, (0, "car", 0, None), (1000, "bus", 0, None)) == [1, 2]
-    assert tracks(spark, (0, "car", 0, [1.0, 0.0]), (1000, "car", 900, [1.0, 0.0])) == [1, 1]
-    assert tracks(spark, (0, "car", 0, None), (1000, "car", 900, None)) == [1, 2]
-    assert tracks(spark, (0, "car", 0, None), (7000, "car", 0, None)) == [1, 2]
-    assert tracks(spark, (0, "car", 0, None), (1000, "car", 5, None), (1000, "car", 10, None)) == [1, 1, 2]
-
-
-def test_track_cap():
-    live = [{"id": i, "vehicle_class": "car", "box": [0, 0, 1, 1], "last": float(i), "embedding": None} for i in range(5)]
-    left, ids, _ = vision.step_tracks(live, [], 5.0, 6, Track(max_tracks=3))
-    assert [t["id"] for t in left] == [2, 3, 4] and ids == []
-
-
 @pytest.mark.parametrize(
     "text, want",
     [
@@ -205,12 +181,3 @@ def test_route_of_a_hot_plate(spark):
     r, hops = found.first(), movement.route_hops(*plain)
     assert (r.hops, r.impossible, r.duration_s) == (n, 0, (n - 1) * 180.0)
     assert hops.count() == n and abs(hops.agg(F.sum("leg_km")).first()[0] - r.total_km) < 1e-3
-
-
-def test_tracks_stream(spark):
-    """Epochs of a camera stay apart, and no group is gathered whole."""
-    data = [(e * 1000 + t, "c", e, t * 1000, "car", 0, 0, 100, 100, None) for e in range(40) for t in range(50)]
-    found = vision.tracked(spark.createDataFrame(data, BOX))
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
-    assert found.count() == 2000 and found.where("track <> 1").count() == 0
