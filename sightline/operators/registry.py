@@ -133,6 +133,45 @@ def zone_errors(zones: DataFrame, cameras: DataFrame) -> DataFrame:
     return zones.join(F.broadcast(known), "camera_id", "left").withColumn("error", error).drop("known")
 
 
+# What a new camera has where its payload doesn't say.
+CREATE_DEFAULTS = {"capability": "vehicle", "department": "Home Department", "enabled": True}
+
+
+def merge_present(old: DataFrame, patches: DataFrame, key: str, order: str, defaults: dict | None = None) -> DataFrame:
+    """old after patches(key, order, present array<string>, and columns of old): a column that a patch names in `present`
+    takes its value, null too; one that it doesn't name stays, or takes its default in a row that is new.
+
+    Patches of one key are merged first, each column from the last patch that names it, in one aggregation that is
+    combined before its shuffle; then both sides meet on the key. A name in `present` that old lacks changes nothing.
+    """
+    defaults, columns = defaults or {}, [c for c in old.columns if c != key]
+    named = lambda c: F.array_contains("present", c)
+    last = patches.groupBy(key).agg(*[F.max_by(F.when(named(c), F.struct(F.col(c).alias("v"))), F.when(named(c), F.col(order))).alias(f"_{c}") for c in columns if c in patches.columns])
+    both = old.withColumn("_old", F.lit(True)).join(last, key, "full")
+
+    def value(c: str) -> Column:
+        kept = F.coalesce(F.when(F.col("_old"), F.col(c)), F.when(F.col("_old").isNull(), F.lit(defaults.get(c)))).cast(old.schema[c].dataType)
+        return (F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(kept) if f"_{c}" in both.columns else kept).alias(c)
+
+    return both.select(key, *map(value, columns))
+
+
+def own_feeds(requests: DataFrame) -> DataFrame:
+    """Patches for merge_present of requests(path, camera_id, name, city, district, lat, lon, capability, seq) to take a
+    local recording for a camera: what is missing gets the names of own footage, and its plates can be read."""
+    base = F.element_at(F.split("path", "/"), -1)
+    own = requests.where("path is not null and path <> ''").select(
+        F.coalesce("camera_id", F.concat(F.lit("own"), F.lpad((F.crc32("path") % 1000).cast("string"), 3, "0"))).alias("camera_id"),
+        F.coalesce("name", F.concat(F.lit("Own feed - "), base)).alias("name"),
+        F.coalesce("city", F.lit("Participant footage")).alias("city"),
+        F.coalesce("district", F.lit("Own feed")).alias("district"),
+        F.lit("Participant").alias("department"), "lat", "lon",
+        F.coalesce("capability", F.lit("anpr")).alias("capability"), F.lit("ok").alias("health"), F.col("path").alias("rtsp_url"), "seq",
+    )
+    said = [c for c in own.columns if c not in ("camera_id", "seq")]
+    return own.withColumn("present", F.array(*map(F.lit, said)))
+
+
 def first_source(roster: DataFrame, sources: list[tuple[str, DataFrame]], key: str, value: str, default: str, rest: str) -> DataFrame:
     """The value of the first source that has the key, and that source's name."""
     out = roster

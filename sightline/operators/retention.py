@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,41 @@ def prune_rows(rows: DataFrame, needed: DataFrame, now_us: int, cap: int, keep_s
 
 def purge_scene_times(rows: DataFrame) -> DataFrame:
     return rows.withColumn("scene_us", F.when(F.coalesce("corroborated", F.lit(False)), F.col("scene_us")))
+
+
+def with_figures(rows: DataFrame, path: str, figures: dict[str, Column]) -> dict[str, int]:
+    """Writes rows to path and returns figures (aggregates of rows) taken while they are written, in the same pass."""
+    told = Observation()
+    rows.observe(told, *[v.alias(k) for k, v in figures.items()]).write.parquet(path)
+    return dict(told.get)
+
+
+def purged(rows: DataFrame, path: str) -> dict[str, int]:
+    """purge_scene_times of rows, written to path; how many rows there are, had a scene time before and have one after."""
+    held = F.col("scene_us").isNotNull()
+    kept = held & F.coalesce("corroborated", F.lit(False))
+    after = rows.withColumn("_had", held).withColumn("scene_us", F.when(kept, F.col("scene_us")))
+    told = {"rows": F.count(F.lit(1)), "clocked_before": F.count_if("_had"), "clocked_after": F.count_if(F.col("scene_us").isNotNull())}
+    return with_figures(after, path, told)
+
+
+def pruned_files(files: DataFrame, path: str, now_us: int, max_bytes: int, max_age_s: int) -> dict[str, int]:
+    """prune_files, its verdicts written to path; files and bytes before and after, and what the open ones hold."""
+    judged = prune_files(files, now_us, max_bytes, max_age_s)
+    stays = F.col("verdict").isin("kept", "protected")
+    sum_of = lambda c: F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0))
+    told = {
+        "files_before": F.count(F.lit(1)), "bytes_before": sum_of(F.lit(True)), "files_after": F.count_if(stays), "bytes_after": sum_of(stays),
+        "files_protected": F.count_if(F.col("verdict") == "protected"), "files_expired": F.count_if(F.col("verdict") == "expired"), "files_over_budget": F.count_if(F.col("verdict") == "budget"),
+    }
+    return with_figures(judged, path, told)
+
+
+def pruned_rows(rows: DataFrame, needed: DataFrame, path: str, now_us: int, cap: int, keep_s: int) -> dict[str, int]:
+    """rows without those of prune_rows, written to path; how many there were and are."""
+    gone = prune_rows(rows, needed, now_us, cap, keep_s).withColumn("_gone", F.lit(True))
+    marked = rows.join(gone, "id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    told = {"rows_before": F.count(F.lit(1)), "rows_after": F.count_if(~F.col("_gone"))}
+    watch = Observation()
+    marked.observe(watch, *[v.alias(k) for k, v in told.items()]).where("not _gone").drop("_gone").write.parquet(path)
+    return dict(watch.get)

@@ -18,6 +18,22 @@ def epochs(frames: DataFrame, by: str = "camera_id", order: str = "seq", pts: st
     return marked.withColumn("epoch", F.sum(F.col("cut").cast("long")).over(w))
 
 
+def epochs_in_parts(frames: DataFrame, part: str, by: str = "camera_id", order: str = "seq", pts: str = "pts_ms", tolerance_ms: int = Clock.live_tolerance_ms) -> DataFrame:
+    """epochs, where no task holds more than one part of a camera, such as its day: all rows of a part come before those
+    of a larger one. What parts hand on is a row each: their first and last stream time and the cuts inside them."""
+    w = Window.partitionBy(by, part).orderBy(order)
+    before = F.lag(pts).over(w)
+    marked = frames.withColumns({"_inner": F.coalesce(F.col(pts) + tolerance_ms < before, F.lit(False)), "_first": F.row_number().over(w) == 1})
+    ends = marked.groupBy(by, part).agg(F.min_by(pts, order).alias("_a"), F.max_by(pts, order).alias("_b"), F.count_if("_inner").alias("_cuts"))
+    line = Window.partitionBy(by).orderBy(part)  # a row a part
+    edge = F.coalesce(F.col("_a") + tolerance_ms < F.lag("_b").over(line), F.lit(False))
+    ends = ends.withColumn("_edge", edge)
+    earlier = F.sum(F.col("_cuts") + F.col("_edge").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(by, part, "_edge", (F.coalesce(earlier, F.lit(0)) + F.col("_edge").cast("long")).alias("_base"))
+    out = marked.join(ends, [by, part]).withColumn("cut", F.col("_inner") | (F.col("_first") & F.col("_edge")))
+    return out.withColumn("epoch", F.col("_base") + F.sum(F.col("_inner").cast("long")).over(w)).select(*frames.columns, "cut", "epoch")
+
+
 def loop_length(frames_with_epochs: DataFrame, by: str = "camera_id") -> DataFrame:
     """Longest stream time of the first complete epoch, one that a cut began and a cut ended; null without one."""
     e = frames_with_epochs.groupBy(by, "epoch").agg(F.max("pts_ms").alias("longest"))
@@ -61,6 +77,25 @@ def dark_streaks(frames: DataFrame, by: str = "camera_id", order: str = "seq", p
     return runs.where(F.col("frames") >= params.streak).drop("island")
 
 
+def dark_streaks_in_parts(frames: DataFrame, part: str, by: str = "camera_id", order: str = "seq", params: Dark = Dark()) -> DataFrame:
+    """dark_streaks, where no task holds more than one part of a camera; see epochs_in_parts. Runs are found inside the
+    parts; those that touch the edge of one, two a part at most, are then sewn to those of the next."""
+    w = Window.partitionBy(by, part).orderBy(order)
+    dark = (F.col("luma") < params.luma) & (F.col("found") == 0)
+    f = frames.withColumn("dark", dark).withColumn("island", F.sum((~dark).cast("long")).over(w))
+    sizes = f.groupBy(by, part).agg(F.count_if(~F.col("dark")).alias("breaks"))
+    sizes = sizes.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(part)))  # a row a part
+    runs = f.where("dark").groupBy(by, part, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"))
+    runs = runs.join(sizes, [by, part]).withColumns({"opens": F.col("island") == 0, "stays": F.col("island") == F.col("breaks")})
+    inner = runs.where("not opens and not stays").select(by, "first", "last", "frames")
+    line = Window.partitionBy(by).orderBy("first")
+    goes_on = F.coalesce(F.col("opens") & F.lag("stays").over(line) & (F.lag("nth").over(line) + 1 == F.col("nth")), F.lit(False))
+    edges = runs.where("opens or stays").withColumn("fresh", ~goes_on)
+    edges = edges.withColumn("run", F.sum(F.col("fresh").cast("long")).over(line))
+    sewn = edges.groupBy(by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("frames").alias("frames"))
+    return inner.unionByName(sewn.drop("run")).where(F.col("frames") >= params.streak)
+
+
 def top_of_frame(detections: DataFrame, params: Frame = Frame()) -> DataFrame:
     """Detections worth an embedding (tall enough, largest first) or a plate read (taller, tallest first)."""
     h, area = F.col("y2") - F.col("y1"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))

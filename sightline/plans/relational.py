@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import masked, redact_url
 from ..operators import matching, registry, retention
 from ..sources import domain as d
+from ..sources.storage import shared_path
 from . import query
 from .movement import SCORED
 
@@ -390,3 +391,65 @@ def camera_facts(spark, sf_dir):
     z = zone_events(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("zone_events"))
     out = d.cameras(spark).select("camera_id").join(s, "camera_id", "left").join(a, "camera_id", "left").join(z, "camera_id", "left")
     return out.fillna(0, ["detections", "alerts", "zone_events"]).select("camera_id", "detections", "alerts", "zone_events", "last_us")
+
+
+# -- rosters by payloads that say which columns they bring: suppliers take two payloads each, every third is new
+
+PATCHES = """old as (
+      select s_suppkey, s_name, s_nationkey, s_acctbal, 'manual' as origin from supplier where s_suppkey % 3 <> 0
+    ), patches as (
+      select s_suppkey, k, case when (s_suppkey + k) % 4 <> 0 then s_name || '-' || k end as s_name, case when s_suppkey % 5 <> k then s_nationkey + 100 * k end as s_nationkey, s_acctbal * k as s_acctbal,
+        (s_suppkey + k) % 3 <> 1 as has_name, (s_suppkey * k) % 4 < 2 as has_nation, s_suppkey % 7 = k as has_acctbal
+      from supplier, range(1, 3) t(k) where s_suppkey % 2 = 0
+    )"""
+
+
+@query(
+    f"""with {PATCHES}, n as (
+      select s_suppkey, bool_or(has_name) as a, arg_max(struct_pack(v := s_name), k) filter (has_name) as name, bool_or(has_nation) as b, arg_max(struct_pack(v := s_nationkey), k) filter (has_nation) as nation,
+        bool_or(has_acctbal) as c, arg_max(struct_pack(v := s_acctbal), k) filter (has_acctbal) as acctbal from patches group by s_suppkey)
+    select s_suppkey, case when a then name.v else old.s_name end as s_name, case when b then nation.v else old.s_nationkey end as s_nationkey,
+      case when c then acctbal.v when old.s_suppkey is null then 0 else old.s_acctbal end as s_acctbal, case when old.s_suppkey is null then 'payload' else origin end as origin
+    from old full join n using (s_suppkey)"""
+)
+def roster_patch(spark, sf_dir):
+    s = d.raw(spark, sf_dir, "supplier")
+    old = s.where("s_suppkey % 3 <> 0").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", F.lit("manual").alias("origin"))
+    both = s.where("s_suppkey % 2 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    patches = both.selectExpr(
+        "s_suppkey", "k", "case when (s_suppkey + k) % 4 <> 0 then concat(s_name, '-', k) end as s_name", "case when s_suppkey % 5 <> k then s_nationkey + 100 * k end as s_nationkey", "s_acctbal * k as s_acctbal",
+        "filter(array(case when (s_suppkey + k) % 3 <> 1 then 's_name' end, case when (s_suppkey * k) % 4 < 2 then 's_nationkey' end, case when s_suppkey % 7 = k then 's_acctbal' end, 'unknown'), x -> x is not null) as present",
+    )
+    return registry.merge_present(old, patches, "s_suppkey", "k", {"s_acctbal": 0.0, "origin": "payload"})
+
+
+def _told(spark, tables: dict[str, dict]):
+    return spark.createDataFrame([(t, k, int(v)) for t, figures in tables.items() for k, v in figures.items()], "step string, figure string, n long")
+
+
+@query(
+    f"""with {FILES}, {ALERTS}, f as (select *, ({NOW_US} - mtime_us)::double / 1e6::double > 604800 as old from files), l as (
+      select *, sum(bytes) over (order by mtime_us, id) - bytes as before, sum(bytes) over () as total from f where not open and not old
+    ), j as (
+      select f.id, f.bytes, case when f.open then 'protected' when f.old then 'expired' when l.total + k.b - l.before > 500000 then 'budget' else 'kept' end as verdict
+      from f cross join (select coalesce(sum(bytes), 0) as b from f where open) k left join l using (id)
+    ), gone as (select id from sightings where wall_us < {NOW_US - DAY_US} and id not in (select detection_id from alerts) order by wall_us, id limit (select greatest(0, count(*) - 600) from sightings))
+    select 'purge' as step, unnest(['rows', 'clocked_before', 'clocked_after']) as figure, unnest([count(*), count(scene_us), count_if(corroborated and scene_us is not null)])::bigint as n from sightings
+    union all select 'evidence', unnest(['files_before', 'bytes_before', 'files_after', 'bytes_after', 'files_protected', 'files_expired', 'files_over_budget']),
+      unnest([count(*), sum(bytes), count_if(verdict in ('kept', 'protected')), coalesce(sum(bytes) filter (verdict in ('kept', 'protected')), 0), count_if(verdict = 'protected'), count_if(verdict = 'expired'), count_if(verdict = 'budget')])::bigint from j
+    union all select 'rows', unnest(['rows_before', 'rows_after']), unnest([count(*), count(*) - (select count(*) from gone)])::bigint from sightings""",
+    d.SIGHTINGS, d.WATCHLIST,
+)
+def retention_figures(spark, sf_dir):
+    """What the purge and the two prunes change, counted while they run."""
+    at = shared_path(spark, "figures")
+    s = d.sightings(spark, sf_dir)
+    needed = alerts(spark, sf_dir).select(F.col("detection_id").alias("id"))
+    return _told(
+        spark,
+        {
+            "purge": retention.purged(s, f"{at}/purge"),
+            "evidence": retention.pruned_files(files(spark, sf_dir), f"{at}/evidence", NOW_US, 500_000, 7 * 86400),
+            "rows": retention.pruned_rows(s, needed, f"{at}/rows", NOW_US, 600, 86400),
+        },
+    )

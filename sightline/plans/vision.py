@@ -27,7 +27,8 @@ EPOCHS = """cuts as (select *, coalesce(pts_ms + 2000 < lag(pts_ms) over (partit
 
 @query(f"with {FRAMES}, {EPOCHS} select id, camera_id, cut, epoch from epochs", d.SIGHTINGS)
 def loop_epochs(spark, sf_dir):
-    return vision.epochs(frames(spark, sf_dir)).select("id", "camera_id", "cut", "epoch")
+    days = frames(spark, sf_dir).withColumn("day", F.expr("hour div 24"))
+    return vision.epochs_in_parts(days, "day").select("id", "camera_id", "cut", "epoch")
 
 
 @query(
@@ -99,8 +100,10 @@ def clock_corroborate(spark, sf_dir):
     d.SIGHTINGS,
 )
 def dark_streaks(spark, sf_dir):
-    f = d.sightings(spark, sf_dir).selectExpr("camera_id", "id as seq", "case when id % 400 < 300 then 10 else 60 end as luma", "case when id % 97 = 0 then 1 else 0 end as found")
-    return vision.dark_streaks(f, params=Dark(streak=5))
+    f = d.sightings(spark, sf_dir).selectExpr(
+        "camera_id", "id as seq", "case when id % 400 < 300 then 10 else 60 end as luma", "case when id % 97 = 0 then 1 else 0 end as found", "wall_us div 86400000000 as day"
+    )
+    return vision.dark_streaks_in_parts(f, "day", params=Dark(streak=5))
 
 
 @query(
