@@ -97,11 +97,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = 8192, que
     through one block of candidates first; the k-th score found there is its floor in the others, where no row below it
     is kept and a search ends as soon as the bound is. Inside a block the threshold is exact, so nothing is lost.
 
-    Vectors that are null or hold null or non-finite components, and null ids, take no part. Vectors meet those of
+    Vectors that are null or hold null or non-finite components, and null ids, take no part; nor do vectors with a
+    component so large that a score with their like might not fit a long (about 1.5e6 with 64 dimensions). Vectors meet those of
     equal length only. A repeated vec_id is one query (its smallest vector), and each of its rows a candidate for
     others; its rows are dealt over the blocks by their vectors. Ties go to the smaller vec_id. Fewer than k others: all of them. Empty table: no rows.
     """
-    fine = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    fits = "x is not null and not isnan(x) and (abs(double(x)) * 256 + 1) * sqrt(double(size(embedding))) < sqrt(9.2e18D)"
+    fine = f"vec_id is not null and embedding is not null and forall(embedding, x -> {fits})"
     v = vectors.where(fine).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     many = v.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     d, b = -(-many.n // rows) or 1, -(-many.q // queries) or 1

@@ -129,3 +129,15 @@ def test_threshold_stops_early():
     lists = topk.Lists(np.arange(2000), np.floor(mixed * 8))
     q = np.floor(rng.normal(size=16) * 8)
     assert [i for _, i in lists.search(-1, q, 3)] == np.lexsort((np.arange(2000), -(lists.x @ q)))[:3].tolist() and lists.looked < 2000
+
+
+def test_large_components(spark):
+    """Exact as long as every score fits a long; beyond, and up to the largest doubles, rows take no part."""
+    rows = [(0, [5e6, -3.25]), (50, [-5e6, 5e6]), (1, [8e6, 2.5]), (2, [1e20, 0.0]), (3, [1e307, 1.0]), (100, [-1.7e308, 1.0]), (4, [1.0, 1.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    x = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows if i in (0, 50, 1, 4)}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
