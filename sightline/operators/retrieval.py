@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, trigrams
 from ..params import Search
+from ..sources.storage import stored
 
 # Words that identify nothing.
 STOP_WORDS = [
@@ -94,9 +97,10 @@ def rank(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> DataFr
     return hits.join(wanted, "query_id")
 
 
-def similar_names(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> DataFrame:
+def similar_names(docs: DataFrame, asked: DataFrame, params: Search = Search(), pool: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, doc_id, score): the share of the trigrams of the query, or of a word of it that no document has,
-    that stand in the document; equi-join on trigrams, only shares of trigram_share and more."""
+    that stand in the document, one of the pool if that is given; equi-join on trigrams, only shares of trigram_share
+    and more."""
     terms = postings(docs).select("term").distinct()
     q = asked.select("query_id", content_tokens(F.col("query")).alias("t"))
     whole = q.select("query_id", F.array_join("t", "").alias("piece"))
@@ -104,24 +108,70 @@ def similar_names(docs: DataFrame, asked: DataFrame, params: Search = Search())
     pieces = whole.union(words).distinct().where(F.length("piece") >= params.trigram_chars)
     grams = pieces.select("query_id", "piece", F.explode(F.array_distinct(trigrams(F.col("piece")))).alias("gram"))
     sizes = grams.groupBy("query_id", "piece").agg(F.count("*").alias("n"))
-    names = docs.select("doc_id", F.explode(trigrams(F.col("text"))).alias("gram"))
+    names = (docs if pool is None else pool).select("doc_id", F.explode(trigrams(F.col("text"))).alias("gram"))
     hits = grams.join(names, "gram").groupBy("query_id", "piece", "doc_id").agg(F.count("*").alias("k")).join(sizes, ["query_id", "piece"])
     best = hits.groupBy("query_id", "doc_id").agg(F.max(F.col("k") / F.col("n")).alias("score"))
     return best.where(F.col("score") >= params.trigram_share)
 
 
-def resolve(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> DataFrame:
+def resolve(docs: DataFrame, asked: DataFrame, params: Search = Search(), kind: str | None = None) -> DataFrame:
     """Rows (query_id, doc_id, score, how, place): BM25 hits that explain enough of the query, those named by their own
     id first; for queries without such a hit, similar names. At most `limit` a query. Intent words that no document has
-    don't count against what stands beside them."""
-    asked = without_intent(docs, asked)
+    don't count against what stands beside them. With a kind, only documents of that kind are found; what words weigh
+    is still that of all."""
+    asked, pool = without_intent(docs, asked), docs if kind is None else docs.where(F.col("kind") == kind)
     hits = rank(docs, asked, params).where((F.col("matched") >= params.evidence) & (F.col("matched") / F.col("wanted") >= params.coverage))
-    own = docs.select("doc_id", tokens(F.col("doc_id").cast("string")).alias("own"))
+    own = pool.select("doc_id", tokens(F.col("doc_id").cast("string")).alias("own"))
     q = asked.select("query_id", content_tokens(F.col("query")).alias("q"))
     hits = hits.join(own, "doc_id").join(q, "query_id")
     hits = hits.withColumn("named", (F.size("own") > 0) & (F.size(F.array_except("own", "q")) == 0)).select("query_id", "doc_id", "score", "named", F.lit("bm25").alias("how"))
     none = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    names = similar_names(docs, none, params).select("query_id", "doc_id", "score", F.lit(False).alias("named"), F.lit("trigram").alias("how"))
+    names = similar_names(docs, none, params, pool).select("query_id", "doc_id", "score", F.lit(False).alias("named"), F.lit("trigram").alias("how"))
     order = Window.partitionBy("query_id").orderBy(F.desc("named"), F.desc(F.round("score", 9)), "doc_id")
     out = hits.unionByName(names).withColumn("place", F.row_number().over(order)).where(F.col("place") <= params.limit)
     return out.select("query_id", "doc_id", "score", "how", "place")
+
+
+#: Intents that are answered for one entity alone if the question names one.
+SCOPABLE = ["camera_health", "coverage"]
+#: A runner-up with this share of the best score makes a mention ambiguous.
+SCOPE_MARGIN = 0.9
+LOOKUP = r"(?i)^\s*(search|look\s*(up|for)|lookup)\b(\s+for)?[:\s]*"
+
+
+def lookup_text(question: Column) -> Column:
+    """What a lookup asks for, without the words that ask."""
+    left = F.trim(F.regexp_replace(question, LOOKUP, ""))
+    return F.when(left == "", question).otherwise(left)
+
+
+def decided(docs: DataFrame, asked: DataFrame, params: Search = Search()) -> DataFrame:
+    """docs (doc_id, kind, text), asked (query_id, query) to rows (query_id, intent, action, doc_id): how a question is
+    to be answered, and of what.
+
+    scoped: it has an intent of SCOPABLE and names one camera, else one zone, ahead of the runner-up by the margin.
+    search: a lookup, or no intent at all, and something is found, the best of it told. broad: the intent's answer for
+    all. nothing: a lookup that finds nothing. decline: no intent and nothing found. A blank question has the intent
+    help. Each question is looked up in the kinds that it needs only.
+    """
+    docs, a = stored(docs, "docs"), stored(asked.withColumn("intent", intent(F.col("query"))), "asked")
+    scopable = a.where(F.col("intent").isin(SCOPABLE)).select("query_id", "query")
+    two = replace(params, limit=2)
+    cameras = stored(resolve(docs, scopable, two, "camera"), "cameras")
+    rest = stored(scopable.join(cameras, "query_id", "left_anti"), "rest")
+    found = cameras.unionByName(stored(resolve(docs, rest, two, "zone"), "zones"))
+    place = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    best = found.groupBy("query_id").agg(place(1, "doc_id").alias("doc"), place(1, "score").alias("best"), place(2, "score").alias("second"))
+    scoped = best.where(F.col("second").isNull() | (F.round("second", 9) < F.round(SCOPE_MARGIN * F.col("best"), 9))).select("query_id", F.col("doc").alias("scoped"))
+    free = a.where(F.col("intent").isNull() | (F.col("intent") == "search"))
+    free = free.select("query_id", F.when(F.col("intent") == "search", lookup_text(F.col("query"))).otherwise(F.col("query")).alias("query"))
+    hit = stored(resolve(docs, free, replace(params, limit=1)), "hits").select("query_id", F.col("doc_id").alias("hit"))
+    told = a.join(scoped, "query_id", "left").join(hit, "query_id", "left")
+    action = (
+        F.when(F.col("scoped").isNotNull(), "scoped")
+        .when(F.col("hit").isNotNull(), "search")
+        .when(F.col("intent") == "search", "nothing")
+        .when(F.col("intent").isNull(), "decline")
+        .otherwise("broad")
+    )
+    return told.select("query_id", "intent", action.alias("action"), F.coalesce("scoped", "hit").alias("doc_id"))

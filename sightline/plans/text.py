@@ -218,3 +218,47 @@ QUESTIONS = "questions as (select conv_id, turn, text, lower(trim(text)) as q fr
 def intent_route(spark, sf_dir):
     c = d.raw(spark, sf_dir, "conversations")
     return c.groupBy(retrieval.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
+
+
+# -- how questions are answered: each fifth supplier is asked after in one of ten ways; suppliers are cameras, parts zones
+
+TO_ASK = """questions as (
+      select s_suppkey as query_id, case s_suppkey // 5 % 10 when 0 then 'is ' || s_name || ' down' when 1 then 'camera health for ' || n_name when 2 then s_name when 3 then 'look up ' || s_name
+        when 4 then 'weather tomorrow' when 5 then 'coverage in ' || n_name || ' of ' || s_name when 6 then 'search for zebra crossings' when 7 then 'status of the system' when 8 then 'any health of part-' || s_suppkey else '' end as text
+      from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 5 = 0
+    ), routed as (select *, trim(lower(text)) as q from questions)"""
+
+
+def to_ask(spark, sf_dir):
+    s = d.raw(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").join(F.broadcast(d.raw(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.selectExpr(
+        "s_suppkey as query_id",
+        "case s_suppkey div 5 % 10 when 0 then concat('is ', s_name, ' down') when 1 then concat('camera health for ', n_name) when 2 then s_name when 3 then concat('look up ', s_name)"
+        " when 4 then 'weather tomorrow' when 5 then concat('coverage in ', n_name, ' of ', s_name) when 6 then 'search for zebra crossings' when 7 then 'status of the system'"
+        " when 8 then concat('any health of part-', s_suppkey) else '' end as query",
+    )
+
+
+@query(
+    f"""with {ENTITIES}, {TO_ASK}, told as (select query_id, text, {_intent_sql()} as intent from routed),
+    asked as (select query_id, case when intent = 'search' and trim(regexp_replace(text, '^\\s*(search|look\\s*(up|for)|lookup)\\b(\\s+for)?[:\\s]*', '', 'i')) <> ''
+        then trim(regexp_replace(text, '^\\s*(search|look\\s*(up|for)|lookup)\\b(\\s+for)?[:\\s]*', '', 'i')) else text end as query from told),
+    {HEARD}, {RANKED_HEARD}, {NAMES_HEARD}, kinds as (select doc_id, case when starts_with(doc_id, 'supplier-') then 'camera' else 'zone' end as kind from entities),
+    pools as (select doc_id, kind as pool from kinds union all select doc_id, 'any' from kinds),
+    hits as (
+      select pool, r.query_id, r.doc_id, score, len(list_intersect(list_distinct(regexp_extract_all(lower(r.doc_id), '[a-z0-9]+')), terms)) = len(list_distinct(regexp_extract_all(lower(r.doc_id), '[a-z0-9]+'))) as named
+      from ranked r join pools using (doc_id) join (select query_id, list(term) as terms from q group by 1) using (query_id) where matched >= 1 and matched / wanted >= 0.5::double
+    ), every as (
+      select * from hits union all
+      select pool, n.query_id, n.doc_id, score, false from named n join pools p using (doc_id) where (pool, n.query_id) not in (select pool, query_id from hits)
+    ), placed as (select *, row_number() over (partition by pool, query_id order by named desc, round(score, 9) desc, doc_id) as place from every),
+    best as (select pool, query_id, max(doc_id) filter (place = 1) as doc, max(score) filter (place = 1) as score, max(score) filter (place = 2) as second from placed group by all),
+    picked as (select t.query_id, t.intent, c.doc as camera, coalesce(c.doc, z.doc) as doc, case when c.doc is not null then c.score else z.score end as score, case when c.doc is not null then c.second else z.second end as second, a.doc as hit
+      from told t left join best c on c.pool = 'camera' and c.query_id = t.query_id left join best z on z.pool = 'zone' and z.query_id = t.query_id left join best a on a.pool = 'any' and a.query_id = t.query_id),
+    judged as (select *, intent in ('camera_health', 'coverage') and doc is not null and (second is null or round(second, 9) < round(0.9::double * score, 9)) as ok from picked)
+    select query_id, intent, case when ok then 'scoped' when (intent is null or intent = 'search') and hit is not null then 'search' when intent = 'search' then 'nothing' when intent is null then 'decline' else 'broad' end as action,
+      case when ok then doc when intent is null or intent = 'search' then hit end as doc_id from judged"""
+)
+def question_scope(spark, sf_dir):
+    docs = entities(spark, sf_dir).withColumn("kind", F.when(F.startswith("doc_id", F.lit("supplier-")), "camera").otherwise("zone"))
+    return retrieval.decided(docs, to_ask(spark, sf_dir))

@@ -82,3 +82,20 @@ def test_intent_words_do_not_count_against_a_mention(spark):
     asked = ["is GJ-JUN-004 down", "camera health GJ-JUN-004", "what is the status of GJ-JUN-004", "is the junagadh bypass camera down", "camera health for rajkot ring road", "coverage in surat"]
     found = retrieval.resolve(docs, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")).where("place = 1").collect()
     assert {r.query_id: r.doc_id for r in found} == {0: "GJ-JUN-004", 1: "GJ-JUN-004", 2: "GJ-JUN-004", 3: "GJ-JUN-004", 4: "GJ-RAJ-002", 5: "GJ-SUR-009"}
+
+
+def test_scope_search_and_decline(spark):
+    """A mention ahead of its runner-up is answered alone, an ambiguous one is not; no intent is searched or declined."""
+    docs = [("GJ-JUN-004", "camera", "GJ-JUN-004 Junagadh bypass"), ("GJ-RAJ-002", "camera", "GJ-RAJ-002 Rajkot ring road"), ("GJ-SUR-009", "camera", "GJ-SUR-009 Surat station"),
+            *[(f"GJ-AHM-{i:03}", "camera", f"GJ-AHM-{i:03} Ahmedabad junction") for i in range(5)], ("z1", "zone", "forecourt no parking"), ("z2", "zone", "Surat station steps")]
+    asked = {
+        "is GJ-JUN-004 down": ("camera_health", "scoped", "GJ-JUN-004"), "camera health for rajkot ring road": ("camera_health", "scoped", "GJ-RAJ-002"),
+        "coverage in surat": ("coverage", "scoped", "GJ-SUR-009"), "is the Ahmedabad camera down": ("camera_health", "broad", None), "is the forecourt camera faulty": ("camera_health", "scoped", "z1"),
+        "which cameras are down?": ("camera_health", "broad", None), "look up the junagad": ("search", "search", "GJ-JUN-004"), "search for xyzzy": ("search", "nothing", None),
+        "junagadh": (None, "search", "GJ-JUN-004"), "banana": (None, "decline", None), "what is the weather in tomorrow": (None, "decline", None), "": ("help", "broad", None),
+        "show me the alerts": ("alerts", "broad", None), "where has GJ01AB1234 been seen?": ("find_plate", "broad", None), "find cloned plates": ("cloned_plates", "broad", None),
+    }
+    df = spark.createDataFrame(docs, "doc_id string, kind string, text string")
+    found = retrieval.decided(df, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
+    got = {r.query_id: (r.intent, r.action, r.doc_id) for r in found.collect()}
+    assert {q: got[i] for i, q in enumerate(asked)} == asked
