@@ -171,7 +171,8 @@ def links(points: DataFrame, p: Params = Params()) -> DataFrame:
         edges = written(halfway(crowd, p), "halfway")
         found = keys.join(crowded, ["start", "key"], "left_anti")
         dropped(spark, crowd)
-    pairs = asked.withColumnRenamed("fp", "x").join(found.withColumnRenamed("fp", "y"), ["start", "key"])
+    # sorted and merged: Spark takes exploded rows for as few as the fingerprints, and would send them to all tasks
+    pairs = asked.withColumnRenamed("fp", "x").hint("merge").join(found.withColumnRenamed("fp", "y"), ["start", "key"])
     pairs = pairs.where((F.col("turned") | (F.col("x") < F.col("y"))) & in_budget(p))
     met = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     out = written(met if edges is None else met.unionByName(edges), "simhash-links")
