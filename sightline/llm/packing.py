@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import Encoder
-
-
-ROWS = 1_000  # documents whose ids are held at once
+from .tokens import Encoder, sliced
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -24,7 +21,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, total = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for batch in sliced(batches):
             before, ids = [], []
             for found in encode.many(batch.column(1).to_pylist()):
                 ids.append(found + end)

@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import make_dir, new_dir, opened, written
-from .tokens import Encoder
+from .tokens import Encoder, sliced
 
 MAGIC = b"SLT1"
 FOOTER = struct.Struct("<5QI4s")
 ENTRY = struct.Struct("<HHI")
 RESTART = 16
-ROWS = 1_000  # documents whose ids are held at once
 FILE_BYTES = 256 << 20  # a file is closed beyond these bytes of blocks, or these keys
 FILE_KEYS = 4_000_000
 
@@ -186,7 +185,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: i
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([row | {"docs": writer.entries, "bytes": writer.close()}], schema)
 
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for batch in sliced(batches):
             for doc_id, found in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
                 if writer is not None and (writer.at >= file_bytes or writer.entries >= file_keys):
                     yield closed()

@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sightline.llm import packing, sharding, sstable
+from sightline.llm import packing, sharding, sstable, tokens
 from sightline.llm.tokens import Encoder
 
 from .conftest import DOCS, prose
@@ -33,6 +34,24 @@ def test_kept_chunks_give_the_same_ids(path, texts):
     assert encode.many([]) == []
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_two_generations_of_chunks(path, monkeypatch):
+    """Younger chunks turn old every few parts; bars, digits, empty texts and blanks at both ends give the same ids."""
+    monkeypatch.setattr(tokens, "KEEP", 12)
+    monkeypatch.setattr(tokens, "PART_CHARS", 60)
+    rng, encode = random.Random(2), Encoder(path)
+    texts = ["", " ", "the a1 b-2 x|y 3.14 | a1", "the\nend, of it! a1 x|y", "the  two  blanks", " the end ", "it's |", "ÀÉ ÿ1 the", "λόγος the 1", "a\tb the"] * 3
+    texts += ["".join(rng.choice("ab1|-.' ") for _ in range(rng.randint(1, 30))) for _ in range(800)]
+    assert encode.many(texts) == [x[:-1].tobytes() for x in truth(path, texts)]
+    assert len(encode.kept) + len(encode.old) < 100
+
+
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aa", None, "b" * 50, "", "cc", "é"])], names=["k", "text"])
+    got = [b.column(0).to_pylist() for b in tokens.sliced(iter([batch, batch.slice(0, 0)]), 1, 5)]
+    assert got == [[0, 1], [2], [3, 4, 5]]
+
+
 @pytest.mark.parametrize("keys", [5, 10**6])
 def test_sstable_round_trip(spark, docs, empty, keys):
     """Against the library's own ids; with 5 keys a file, equal ids and ranges run over several files."""
