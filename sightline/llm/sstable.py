@@ -31,6 +31,7 @@ ENTRY = struct.Struct("<HHI")
 RESTART = 16
 FILE_BYTES = 256 << 20  # a file is closed beyond these bytes of blocks, or these keys
 FILE_KEYS = 4_000_000
+RANGE_BYTES = 2 << 30  # a range, which one task sorts and encodes, has about these bytes of text at most
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -163,11 +164,12 @@ def _unpacked(value: bytes) -> bytes:
     return np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes() if value[0] == 2 else value[1:]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES, file_keys: int = FILE_KEYS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES, file_keys: int = FILE_KEYS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Encodes docs and writes sorted files, one or more for each range of (doc_id, hash of text); returns the manifest
     (shard, path, part, seq, first_id, last_id, docs, tokens, bytes, start), start being the ids of all earlier files.
 
-    Texts move once, to their range; equal ids may lie in several ranges, and in several files that follow each other.
+    Texts move once, to their range; there are as many ranges as range_bytes of text ask for, or as shuffles have
+    partitions, if that is more; equal ids may lie in several ranges, and in several files that follow each other.
     Ids are made beside the writer. A file ends at file_bytes of blocks or file_keys keys, so neither its index nor its
     filter grows with the data. Each attempt of a task writes files of its own, and only those named in the manifest
     count, so retried or doubled tasks do no harm.
@@ -201,7 +203,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: i
             yield closed()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     ranged = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     files = written(ranged.mapInArrow(run, "path string, " + ", ".join(f"{c} long" for c in names)), "sst-manifest")
     line = Window.orderBy("part", "seq")  # a row a file; ranges follow each other by number

@@ -76,6 +76,15 @@ def test_sstable_round_trip(spark, docs, empty, keys):
     assert sstable.token_table(empty, WORD).count() == 0
 
 
+def test_sstable_ranges_by_bytes(spark):
+    """More ranges than shuffles have partitions where the texts' bytes ask for them; the rows stay the same."""
+    docs = spark.createDataFrame([(i, f"text {i} " + "w " * 40, None, None, 0) for i in range(200)], DOCS)
+    many = sstable.write_tokens(docs, WORD, range_bytes=400)
+    assert many.select("part").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [sorted(map(tuple, sstable.read_tokens(m).collect())) for m in (many, sstable.write_tokens(docs, WORD))]
+    assert rows[0] == rows[1]
+
+
 class Closing(io.BytesIO):
     def close(self):
         pass
