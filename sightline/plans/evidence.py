@@ -24,22 +24,17 @@ def _ranked(spark, sf_dir, every):
     return journeys.similar(g, g.where(F.col("vec_id") % every == 0), LOOSE)
 
 
-#: The first three searches ask with every 50th row, those named `_whole` with all that the rule for searches asks for.
-SOME, WHOLE = 50, 20
+#: Searches ask with every row whose id this divides, against all rows.
+ASKED = 20
 
 
 def _topk(every: int) -> str:
     return f"with {_topk_sql(every)} select query_id, vec_id, round(similarity, 6) as similarity, place from ranked"
 
 
-@query(_topk(SOME))
+@query(_topk(ASKED))
 def appearance_topk(spark, sf_dir):
-    return _ranked(spark, sf_dir, SOME).withColumn("similarity", F.round("similarity", 6))
-
-
-@query(_topk(WHOLE))
-def appearance_topk_whole(spark, sf_dir):
-    return _ranked(spark, sf_dir, WHOLE).withColumn("similarity", F.round("similarity", 6))
+    return _ranked(spark, sf_dir, ASKED).withColumn("similarity", F.round("similarity", 6))
 
 
 def _ambiguity(every: int) -> str:
@@ -47,17 +42,12 @@ def _ambiguity(every: int) -> str:
     select query_id, vec_id, place, coalesce(first - second <= 0.020000001::double and first - similarity <= 0.020000001::double, false) as ambiguous from f"""
 
 
-@query(_ambiguity(SOME))
+@query(_ambiguity(ASKED))
 def appearance_ambiguity(spark, sf_dir):
-    return journeys.flagged(_ranked(spark, sf_dir, SOME), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
-
+    return journeys.flagged(_ranked(spark, sf_dir, ASKED), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
 
-@query(_ambiguity(WHOLE))
-def appearance_ambiguity_whole(spark, sf_dir):
-    return journeys.flagged(_ranked(spark, sf_dir, WHOLE), LOOSE).select("query_id", "vec_id", "place", "ambiguous")
 
-
-SIMILAR = f"""{_topk_sql(WHOLE)}, placed as (
+SIMILAR = f"""{_topk_sql(ASKED)}, placed as (
       select s.id, s.camera_id, s.wall_us, c.lat, c.lon, t.time_group from sightings s left join cameras c using (camera_id) left join sessions t using (camera_id)
     ), far as (
       select r.*, b.camera_id, coalesce({d.km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 0) as km, abs(b.wall_us - a.wall_us)::double / 1e6::double as secs, a.camera_id <> b.camera_id and b.wall_us <> a.wall_us as judged,
@@ -75,7 +65,7 @@ SPEED = "'implies ' || floor(km / (secs / 3600) + 0.5::double)::bigint || ' km/h
 def similar_vehicles(spark, sf_dir):
     """The most alike of each asked sighting's vector, with what distance and time allow; vectors are those of the
     sightings of their id."""
-    ranked = _ranked(spark, sf_dir, WHOLE).withColumn("similarity", F.round("similarity", 4))
+    ranked = _ranked(spark, sf_dir, ASKED).withColumn("similarity", F.round("similarity", 4))
     return journeys.with_travel(ranked, d.sightings(spark, sf_dir), d.cameras(spark), d.sessions(spark))
 
 
@@ -98,14 +88,9 @@ def _adjusted(spark, sf_dir, every):
     return r.select("query_id", "vec_id", "delta", shown.alias("presented"))
 
 
-@query(_adjust_sql(SOME))
+@query(_adjust_sql(ASKED))
 def attribute_adjust(spark, sf_dir):
-    return _adjusted(spark, sf_dir, SOME)
-
-
-@query(_adjust_sql(WHOLE))
-def attribute_adjust_whole(spark, sf_dir):
-    return _adjusted(spark, sf_dir, WHOLE)
+    return _adjusted(spark, sf_dir, ASKED)
 
 
 #: Two of three sightings carry the vector of their event; the rest have none.
@@ -129,9 +114,6 @@ def journey_exclusions(spark, sf_dir):
     return journeys.exclusions(seen(spark, sf_dir))
 
 
-STEP = Journey(max_gap_s=120.0, min_similarity=0.84)
-
-
 def _steps_sql(gap_us: int) -> str:
     return f"""with {WITH_VECTORS}, m as (select s.*, t.time_group, c.lat, c.lon from seen s join sessions t using (camera_id) join cameras c using (camera_id) where corroborated and v is not null),
     p as (
@@ -146,14 +128,8 @@ def _steps(spark, sf_dir, params):
     return out.withColumns({"km": F.round("km", 6), "similarity": F.round("similarity", 6)})
 
 
-@query(_steps_sql(120_000_000), d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS)
-def journey_candidates(spark, sf_dir):
-    """Steps of two minutes at most; `journey_candidates_whole` has those of the reference's whole gap."""
-    return _steps(spark, sf_dir, STEP)
-
-
 @query(_steps_sql(1_800_000_000), d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS)
-def journey_candidates_whole(spark, sf_dir):
+def journey_candidates(spark, sf_dir):
     return _steps(spark, sf_dir, Journey())
 
 

@@ -132,12 +132,12 @@ def test_steps_of_the_whole_gap(spark):
     v = [1.0, 0.0]
     s = spark.createDataFrame([(1, "cam04", "g", 0, v), (2, "cam14", "g", 1_500_000_000, v), (3, "cam04", "g", 3_360_000_000, v)], "id long, camera_id string, time_group string, t_us long, v array<double>")
     assert [(r.id_a, r.id_b) for r in journeys.steps(s, domain.cameras(spark)).collect()] == [(1, 2)]
-    assert plans.load()[0]["journey_candidates_whole"](spark, SF).where("seconds > 120").count() > 0
+    assert plans.load()[0]["journey_candidates"](spark, SF).where("seconds > 120").count() > 0
 
 
 def test_searches_ask_the_whole_set(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id")
-    found = plans.load()[0]["appearance_topk_whole"](spark, SF)
+    found = plans.load()[0]["appearance_topk"](spark, SF)
     assert {r.query_id for r in found.where("query_id % 100 <> 0").select("query_id").distinct().collect()} & {r.vec_id for r in e.collect()}
 
 
