@@ -19,6 +19,7 @@ BODY = [
     ("coach", "bus"), ("minibus", "bus"), ("bus", "bus"), ("motorcycle", "motorcycle"), ("motorbike", "motorcycle"),
     ("scooter", "motorcycle"), ("moped", "motorcycle"),
 ]
+# Colours, parts, negations and limits of captions, up to CAP.
 COLOURS = [
     ("white", "white"), ("off-white", "white"), ("cream", "white"), ("silver", "silver"), ("grey", "silver"), ("gray", "silver"),
     ("black", "black"), ("dark grey", "black"), ("dark gray", "black"), ("red", "red"), ("maroon", "red"), ("crimson", "red"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import Clock
 
+# Patterns and digit layouts of overlay clocks.
 DMY = r"(\d{2})[-/](\d{2})[-/](\d{4})\D{0,4}(\d{2}):?(\d{2}):?(\d{2})"
 YMD = r"(\d{4})[-/](\d{2})[-/](\d{2})\D{0,4}(\d{2}):?(\d{2}):?(\d{2})"
 #: Start and length of day, month, year, hour, minute and second in a run of so many digits.

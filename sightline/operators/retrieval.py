@@ -32,6 +32,7 @@ INTENTS = [
     ("coverage", ["coverage", "map", "location", "city", "where are"]),
     ("help", ["help", "what can you", "commands", "hello", "hi"]),
 ]
+# Fixed value: the pattern of a registration.
 REGISTRATION = r"(?i)\b[A-Z]{2}\s?\d{1,2}\s?[A-Z]{0,3}\s?\d{3,4}\b"
 
 

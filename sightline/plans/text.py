@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import captions as cap
-from ..functions.overlay import parsed_seconds, plausible_year
+from ..functions.overlay import DMY, YMD, parsed_seconds, plausible_year
 from ..operators import retrieval
 from ..sources import domain as d
 from . import query
@@ -32,8 +32,6 @@ def overlays(spark, sf_dir):
     return e.select("id", text.alias("text"))
 
 
-DMY = r"(\d{2})[-/](\d{2})[-/](\d{4})\D{0,4}(\d{2}):?(\d{2}):?(\d{2})"
-YMD = r"(\d{4})[-/](\d{2})[-/](\d{2})\D{0,4}(\d{2}):?(\d{2}):?(\d{2})"
 PARSE = rf"""{OVERLAYS}, c as (select id, upper(trim(text)) as s from overlays), p as (
       select id, s, case when regexp_matches(s, '{DMY}') then regexp_extract(s, '{DMY}', ['d', 'm', 'y', 'h', 'i', 's'])
         when regexp_matches(s, '{YMD}') then (select struct_pack(d := x.d, m := x.m, y := x.y, h := x.h, i := x.i, s := x.s) from (select regexp_extract(s, '{YMD}', ['y', 'm', 'd', 'h', 'i', 's']) as x))
