@@ -18,16 +18,28 @@ PERMISSIONS = [
 ]
 
 
+URLS = ["rtsp_url", "hls_url"]
+
+
 def payload_error() -> Column:
-    """The first rule that a roster row breaks, null if none."""
+    """The first rule that a roster row breaks, null if none. Texts are trimmed first; an empty url is none; a size may
+    be missing, but not other than whole."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    urls = [text(c) for c in URLS]
+    none, wrong = F.lit(True), F.lit(False)
+    for u in urls:
+        none, wrong = none & (u == ""), wrong | ((u != "") & ~u.rlike(f"^({'|'.join(SCHEMES)})://"))
+    whole = lambda c: F.col(c).isNull() | text(c).rlike(r"^[+-]?\d+$")
     return (
-        F.when(~F.coalesce(F.col("camera_id"), F.lit("")).rlike(r"^[A-Za-z0-9_-]{2,32}$"), "id")
-        .when(F.coalesce(F.col("name"), F.lit("")) == "", "name")
+        F.when(~text("camera_id").rlike(r"^[A-Za-z0-9_-]{2,32}$"), "id")
+        .when(text("name") == "", "name")
         .when(~F.col("lat").between(-90, 90), "lat")
         .when(~F.col("lon").between(-180, 180), "lon")
-        .when(F.col("url").isNull(), "url")
-        .when(~F.col("url").rlike(f"^({'|'.join(SCHEMES)})://"), "scheme")
+        .when(none, "url")
+        .when(wrong, "scheme")
         .when(~F.col("capability").isin(CAPABILITIES), "capability")
+        .when(~whole("width"), "width")
+        .when(~whole("height"), "height")
     )
 
 
@@ -42,14 +54,15 @@ def import_counts(rows: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def onboard(old: DataFrame, probe: DataFrame, surveyed: list[str]) -> DataFrame:
+def onboard(old: DataFrame, probe: DataFrame, surveyed: DataFrame) -> DataFrame:
     """Roster after a probe: what it measured replaces the old value, what it lacks stays; cameras of a survey read
     plates unless degraded; new cameras start unknown."""
-    o, p = old.alias("o"), probe.alias("p")
-    both = o.join(p, F.col("o.camera_id") == F.col("p.camera_id"), "full")
-    key = F.coalesce("o.camera_id", "p.camera_id")
-    capability = F.when(F.col("o.camera_id").isNull(), "unknown").when((F.col("o.capability") != "degraded") & key.isin(surveyed), "anpr").otherwise(F.col("o.capability"))
-    return both.select(key.alias("camera_id"), F.coalesce("p.codec", "o.codec").alias("codec"), F.coalesce("p.width", "o.width").alias("width"), capability.alias("capability"))
+    named = surveyed.select("camera_id").distinct().withColumn("_surveyed", F.lit(True))
+    kept = old.join(named, "camera_id", "left")
+    measured = probe.select("camera_id", *[F.col(c).alias(f"_{c}") for c in ("codec", "width")])
+    both = kept.withColumn("_old", F.lit(True)).join(measured, "camera_id", "full")
+    capability = F.when(F.col("_old").isNull(), "unknown").when((F.col("capability") != "degraded") & F.col("_surveyed"), "anpr").otherwise(F.col("capability"))
+    return both.select("camera_id", F.coalesce("_codec", "codec").alias("codec"), F.coalesce("_width", "width").alias("width"), capability.alias("capability"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -90,18 +103,24 @@ def frame_state() -> Column:
 
 
 def gaps(cameras: DataFrame) -> DataFrame:
-    """Members and shares by capability, by city and overall, in one pass of grouping sets."""
+    """Counts and shares by capability, by city and overall, in one pass of grouping sets; `gap_members` has the cameras."""
     share = lambda c: F.floor(1000.0 * F.count_if(c) / F.greatest(F.count("*"), F.lit(1)) + 0.5) / 10
     by_cap, by_city = F.grouping("capability") == 0, F.grouping("city") == 0
-    out = cameras.groupingSets([["capability"], ["city"], []], "capability", "city").agg(
+    out = cameras.withColumn("city", F.coalesce("city", F.lit("unknown"))).groupingSets([["capability"], ["city"], []], "capability", "city").agg(
         F.when(by_cap, "capability").when(by_city, "city").otherwise("all").alias("kind"),
-        F.when(by_cap, F.col("capability")).when(by_city, F.coalesce("city", F.lit("unknown"))).alias("value"),
+        F.when(by_cap, F.col("capability")).when(by_city, F.col("city")).alias("value"),
         F.count("*").alias("n"),
-        F.array_join(F.sort_array(F.collect_list("camera_id")), ",").alias("members"),
         share(F.col("capability") == "anpr").alias("anpr_pct"),
         share(F.col("capability") != "degraded").alias("usable_pct"),
     )
-    return out.select("kind", "value", "n", "members", "anpr_pct", "usable_pct")
+    return out.select("kind", "value", "n", "anpr_pct", "usable_pct")
+
+
+def gap_members(cameras: DataFrame) -> DataFrame:
+    """The cameras of each capability and of each city, one row each, so that no list grows with the roster."""
+    groups = {"capability": F.col("capability"), "city": F.coalesce("city", F.lit("unknown"))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in groups.items()]))
+    return cameras.select("camera_id", each.alias("g")).select("g.kind", "g.value", "camera_id")
 
 
 def merge_feeds(history: DataFrame, live: DataFrame, key: str, order: str, limit: int) -> DataFrame:
@@ -120,6 +139,29 @@ def permissions(roles: DataFrame) -> DataFrame:
     return out.select("event_type", "role", "permission", F.coalesce("has", F.lit(False)).alias("allowed"))
 
 
+# Who a caller without a key is, by mode.
+NOBODY = {"open": ("anonymous", "admin", "open-mode"), "enforced": ("anonymous", "viewer", "anon")}
+
+
+def principals(requests: DataFrame, keys: DataFrame, mode: str) -> DataFrame:
+    """requests(key) with name, role and fingerprint of the caller, all null where refused; keys(key, name, role).
+
+    open (there are no keys): all are admins, whatever they present. enforced: an empty key reads, a known key has its
+    role, an unknown one is refused. unreadable (keys there, but broken): all are refused.
+    """
+    said = ("name", "role", "fingerprint")
+    if mode == "unreadable":
+        return requests.select("*", *[F.lit(None).cast("string").alias(c) for c in said])
+    if mode == "open":
+        return requests.select("*", *[F.lit(v).alias(c) for c, v in zip(said, NOBODY["open"], strict=True)])
+    if mode != "enforced":
+        raise ValueError(f"unknown mode of access: {mode}")
+    empty = F.coalesce("key", F.lit("")) == ""
+    held = keys.select("key", F.col("name").alias("_name"), F.col("role").alias("_role"), F.substring(F.sha2("key", 256), 1, 12).alias("_fingerprint"))
+    out = requests.join(held, "key", "left")
+    return out.select(*requests.columns, *[F.when(empty, v).otherwise(F.col(f"_{c}")).alias(c) for c, v in zip(said, NOBODY["enforced"], strict=True)])
+
+
 def zone_errors(zones: DataFrame, cameras: DataFrame) -> DataFrame:
     """zones (zone_id, camera_id, rule, points) with the first rule that each breaks, null if none."""
     known = cameras.select("camera_id").withColumn("known", F.lit(True))
@@ -130,7 +172,7 @@ def zone_errors(zones: DataFrame, cameras: DataFrame) -> DataFrame:
         .when(out_of_range, "range")
         .when(F.col("known").isNull(), "camera")
     )
-    return zones.join(F.broadcast(known), "camera_id", "left").withColumn("error", error).drop("known")
+    return zones.join(known, "camera_id", "left").withColumn("error", error).drop("known")
 
 
 # What a new camera has where its payload doesn't say.

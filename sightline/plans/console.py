@@ -14,7 +14,7 @@ from . import query
 from .movement import ASSESS, BUCKETS, NORMS, _buckets
 from .relational import ALERTS, NOW_US, ZONE_EVENTS, alerts
 from .text import CAPTIONS, captions
-from .vision import FRAMES, ZONES, frames, zones
+from .vision import FRAMES, frames
 
 
 def newest(buckets, hours):
@@ -32,18 +32,6 @@ def time_label(spark, sf_dir):
     return d.sightings(spark, sf_dir).select("id", label.alias("label"))
 
 
-@query(
-    f"""with {ZONES}, made as (select zone_id, rule, case when length(zone_id) % 2 = 0 then points[1:2] else points end as points, case when ends_with(camera_id, '7') then 'cam99' else camera_id end as camera_id from zones)
-    select zone_id, case when rule not in ('intrusion', 'crossing', 'loitering') then 'rule' when len(points) < case when rule = 'crossing' then 2 else 3 end then 'points'
-      when len(list_filter(points, lambda p: p.x not between 0 and 1 or p.y not between 0 and 1)) > 0 then 'range' when camera_id not in (select camera_id from cameras) then 'camera' end as error from made""",
-    d.CAMERAS,
-)
-def zone_validate(spark, sf_dir):
-    z = zones(spark).withColumn("points", F.expr("case when length(zone_id) % 2 = 0 then slice(points, 1, 2) else points end"))
-    z = z.withColumn("camera_id", F.when(F.col("camera_id").endswith("7"), "cam99").otherwise(F.col("camera_id")))
-    return registry.zone_errors(z, d.cameras(spark)).select("zone_id", "error")
-
-
 @query(
     """select c.camera_id, c.name, case when capability = 'degraded' then 'degraded' when not live then 'not-started' when not connected or stale_s is null or stale_s > 30 then 'offline' when stale_s > 5 or dark then 'degraded' else 'online' end as state,
       s.last_us, dark as is_dark from cameras c left join (select camera_id, max(wall_us) as last_us from sightings where user_id % 2 = 0 group by 1) s using (camera_id)""",
@@ -54,23 +42,6 @@ def roster_health(spark, sf_dir):
     return d.cameras(spark).join(last, "camera_id", "left").select("camera_id", "name", registry.health().alias("state"), "last_us", F.col("dark").alias("is_dark"))
 
 
-@query(
-    """select camera_id, coalesce(r.state, b.state, 'unknown') as state, case when r.state is not null then 'rich' when b.state is not null then 'basic' else 'roster' end as source from cameras
-      left join (select camera_id, 'online' as state from cameras where substr(camera_id, 4, 2)::int % 3 = 0) r using (camera_id) left join (select camera_id, 'offline' as state from cameras where substr(camera_id, 4, 2)::int % 2 = 0) b using (camera_id)""",
-    d.CAMERAS,
-)
-def roster_fallback(spark, sf_dir):
-    c = d.cameras(spark).select("camera_id", F.expr("cast(substr(camera_id, 4, 2) as int)").alias("k"))
-    rich = c.where("k % 3 = 0").select("camera_id", F.lit("online").alias("state"))
-    basic = c.where("k % 2 = 0").select("camera_id", F.lit("offline").alias("state"))
-    return registry.first_source(c.select("camera_id"), [("rich", rich), ("basic", basic)], "camera_id", "state", "unknown", "roster")
-
-
-@query("select camera_id, lat, lon, city from cameras where capability = 'degraded' and lat is not null and lon is not null", d.CAMERAS)
-def gap_zones(spark, sf_dir):
-    return d.cameras(spark).where("capability = 'degraded' and lat is not null and lon is not null").select("camera_id", "lat", "lon", "city")
-
-
 @query(
     f"""with {NORMS} select b.camera_id, b.bucket, b.total, case when samples >= 5 then round(greatest(0, mean - 2 * greatest(stdev, 1)), 6) end as low, case when samples >= 5 then round(mean + 2 * greatest(stdev, 1), 6) end as high
     from buckets b left join norms n on n.camera_id = b.camera_id and n.hour = b.hour where b.bucket > (select max(bucket) - 48 from buckets)""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import masked, redact_url
+from ..functions.text import masked
 from ..operators import matching, registry, retention
 from ..sources import domain as d
 from ..sources.storage import shared_path
@@ -117,54 +117,6 @@ def zone_event_totals(spark, sf_dir):
     return zone_events(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("n"), F.count_if(~F.col("acknowledged")).alias("open"), F.max("wall_us").alias("newest_us"))
 
 
-GAP = """select case when grouping(capability) = 0 then 'capability' when grouping(city) = 0 then 'city' else 'all' end as kind,
-      case when grouping(capability) = 0 then capability when grouping(city) = 0 then coalesce(city, 'unknown') end as value, count(*) as n,
-      string_agg(camera_id, ',' order by camera_id) as members,
-      floor(1000.0::double * count_if(capability = 'anpr') / greatest(count(*), 1) + 0.5::double) / 10::double as anpr_pct,
-      floor(1000.0::double * count_if(capability <> 'degraded') / greatest(count(*), 1) + 0.5::double) / 10::double as usable_pct
-    from cameras group by grouping sets ((capability), (city), ())"""
-
-
-@query(GAP, d.CAMERAS)
-def gap_analysis(spark, sf_dir):
-    return registry.gaps(d.cameras(spark))
-
-
-@query("select coalesce(city, 'unknown') as city, count(*) as n from cameras group by 1 order by n desc, city limit 8", d.CAMERAS)
-def coverage(spark, sf_dir):
-    return d.cameras(spark).groupBy(F.coalesce("city", F.lit("unknown")).alias("city")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "city").limit(8)
-
-
-@query(
-    """select camera_id, case when capability = 'degraded' then 'degraded' when not live then 'not-started' when not connected or stale_s is null or stale_s > 30 then 'offline'
-      when stale_s > 5 or dark then 'degraded' else 'online' end as state from cameras""",
-    d.CAMERAS,
-)
-def health_state(spark, sf_dir):
-    return d.cameras(spark).select("camera_id", registry.health().alias("state"))
-
-
-@query(
-    """select camera_id, case when not live then 'not-started' when not connected then 'offline' when stale_s > 5 or substr(camera_id, 4, 2)::int % 6 > 3 then 'degraded' else 'online' end as state from cameras""",
-    d.CAMERAS,
-)
-def health_state_basic(spark, sf_dir):
-    return d.cameras(spark).select("camera_id", registry.basic_health(F.expr("cast(substr(camera_id, 4, 2) as int) % 6")).alias("state"))
-
-
-@query(
-    "select camera_id, case when not has_frame then 'down' when mean_luma < 28 then 'black' when mean_luma > 235 then 'overexposed' when banding > 40 then 'corrupt' else 'usable' end as state from cameras",
-    d.CAMERAS,
-)
-def frame_state(spark, sf_dir):
-    return d.cameras(spark).select("camera_id", registry.frame_state().alias("state"))
-
-
-@query("select camera_id, regexp_replace(rtsp_url, '^([A-Za-z][\\w+.\\-]*://)[^/]*@', '\\1') as url, substr(sha256(rtsp_url), 1, 12) as fingerprint from cameras", d.CAMERAS)
-def url_redact(spark, sf_dir):
-    return d.cameras(spark).select("camera_id", redact_url(F.col("rtsp_url")).alias("url"), F.substring(F.sha2("rtsp_url", 256), 1, 12).alias("fingerprint"))
-
-
 @query("select n_nationkey as key, case when length(n_name) < 4 then n_name else substr(n_name, 1, 2) || '…' || right(n_name, 2) end as shown from nation")
 def secret_mask(spark, sf_dir):
     return d.raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), masked(F.col("n_name")).alias("shown"))
@@ -173,8 +125,10 @@ def secret_mask(spark, sf_dir):
 PAYLOADS = """payloads as (
       select s_suppkey as row_id, case s_suppkey % 9 when 0 then '' when 1 then 'x' else 'S-' || s_suppkey end as camera_id, case when s_suppkey % 7 <> 0 then s_name end as name,
         (s_suppkey % 200 - 95)::double as lat, (s_suppkey * 3 % 400 - 190)::double as lon,
-        case s_suppkey % 5 when 0 then null when 1 then 'ftp://h/' || s_suppkey else 'rtsp://h/' || s_suppkey end as url,
-        case s_suppkey % 8 when 3 then 'magic' else 'anpr' end as capability from supplier
+        case s_suppkey % 5 when 0 then null when 1 then 'ftp://h/' || s_suppkey else ' rtsp://h/' || s_suppkey end as rtsp_url,
+        case s_suppkey % 6 when 0 then 'https://h/' || s_suppkey when 1 then '' when 2 then 'h/' || s_suppkey end as hls_url,
+        case s_suppkey % 8 when 3 then 'magic' when 4 then null else 'anpr' end as capability,
+        case s_suppkey % 10 when 3 then '12.5' when 4 then '' when 5 then null else ' 640' end as width, case s_suppkey % 12 when 7 then 'tall' else s_suppkey::varchar end as height from supplier
     )"""
 
 
@@ -185,13 +139,17 @@ def payloads(spark, sf_dir):
         "case when s_suppkey % 7 <> 0 then s_name end as name",
         "cast(s_suppkey % 200 - 95 as double) as lat",
         "cast(s_suppkey * 3 % 400 - 190 as double) as lon",
-        "case s_suppkey % 5 when 0 then null when 1 then concat('ftp://h/', s_suppkey) else concat('rtsp://h/', s_suppkey) end as url",
-        "case s_suppkey % 8 when 3 then 'magic' else 'anpr' end as capability",
+        "case s_suppkey % 5 when 0 then null when 1 then concat('ftp://h/', s_suppkey) else concat(' rtsp://h/', s_suppkey) end as rtsp_url",
+        "case s_suppkey % 6 when 0 then concat('https://h/', s_suppkey) when 1 then '' when 2 then concat('h/', s_suppkey) end as hls_url",
+        "case s_suppkey % 8 when 3 then 'magic' when 4 then null else 'anpr' end as capability",
+        "case s_suppkey % 10 when 3 then '12.5' when 4 then '' when 5 then null else ' 640' end as width",
+        "case s_suppkey % 12 when 7 then 'tall' else cast(s_suppkey as string) end as height",
     )
 
 
 ERROR = """case when not regexp_full_match(camera_id, '[A-Za-z0-9_-]{2,32}') then 'id' when name is null or name = '' then 'name' when not lat between -90 and 90 then 'lat' when not lon between -180 and 180 then 'lon'
-      when url is null then 'url' when not regexp_matches(url, '^(rtsp|rtsps|http|https)://') then 'scheme' when capability not in ('anpr', 'vehicle', 'person', 'degraded', 'unknown') then 'capability' end"""
+      when coalesce(rtsp_url, '') = '' and coalesce(hls_url, '') = '' then 'url' when len(list_filter([trim(rtsp_url), trim(hls_url)], lambda u: u <> '' and not regexp_matches(u, '^(rtsp|rtsps|http|https)://'))) > 0 then 'scheme'
+      when capability not in ('anpr', 'vehicle', 'person', 'degraded', 'unknown') then 'capability' when not regexp_full_match(trim(width), '[+-]?[0-9]+') then 'width' when not regexp_full_match(trim(height), '[+-]?[0-9]+') then 'height' end"""
 
 
 @query(f"with {PAYLOADS} select row_id, {ERROR} as error from payloads")
@@ -207,19 +165,6 @@ def bulk_quarantine(spark, sf_dir):
     return registry.import_counts(payloads(spark, sf_dir), known)
 
 
-@query(
-    """with probe as (select 'cam' || lpad(i::varchar, 2, '0') as camera_id, case when i % 4 <> 0 then 'h264' end as codec, case when i % 3 <> 0 then i * 10 end as width from range(5, 41) t(i))
-    select camera_id, coalesce(p.codec, 'hevc') as codec, coalesce(p.width, case when c.camera_id is not null then 640 end)::bigint as width,
-      case when c.camera_id is null then 'unknown' when c.capability <> 'degraded' and camera_id in ('cam06', 'cam10') then 'anpr' else c.capability end as capability
-    from cameras c full join probe p using (camera_id)""",
-    d.CAMERAS,
-)
-def onboard_upsert(spark, sf_dir):
-    probe = spark.range(5, 41).selectExpr("concat('cam', lpad(cast(id as string), 2, '0')) as camera_id", "case when id % 4 <> 0 then 'h264' end as codec", "case when id % 3 <> 0 then id * 10 end as width")
-    old = d.cameras(spark).select("camera_id", F.lit("hevc").alias("codec"), F.lit(640).cast("long").alias("width"), "capability")
-    return registry.onboard(old, probe, surveyed=["cam06", "cam10"]).withColumn("codec", F.coalesce("codec", F.lit("hevc")))
-
-
 @query("select camera_id, exists (select 1 from sightings s where s.camera_id = c.camera_id and s.user_id % 11 = 0) as refused from cameras c", d.SIGHTINGS, d.CAMERAS)
 def guarded_delete(spark, sf_dir):
     used = d.sightings(spark, sf_dir).where("user_id % 11 = 0").select("camera_id").distinct().withColumn("refused", F.lit(True))

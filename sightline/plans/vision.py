@@ -140,15 +140,19 @@ def track_dwell(spark, sf_dir):
 
 
 # A triangle, a rectangle and a line on each camera, moved by its number.
-ZONES = """n as (select camera_id, substr(camera_id, 4, 2)::int as k from cameras), zones as (
+ZONES_OF = """zones as (
       select camera_id || '-in' as zone_id, camera_id, 'intrusion' as rule, [{x: 0.1 + k / 100.0, y: 0.1}, {x: 0.9, y: 0.2}, {x: 0.5, y: 0.9}] as points, [] as classes, 30.0 as dwell_s from n
       union all select camera_id || '-loiter', camera_id, 'loitering', [{x: 0.2, y: 0.2}, {x: 0.8, y: 0.2}, {x: 0.8, y: 0.8}, {x: 0.2, y: 0.8 - k / 200.0}], ['car', 'bus'], 60.0 from n
       union all select camera_id || '-line', camera_id, 'crossing', [{x: 0.5, y: 0.0}, {x: 0.5 + k / 100.0, y: 1.0}], [], 30.0 from n
     )"""
+ZONES = f"n as (select camera_id, substr(camera_id, 4, 2)::int as k from cameras), {ZONES_OF}"
 
 
 def zones(spark):
-    n = d.cameras(spark).selectExpr("camera_id", "cast(substr(camera_id, 4, 2) as int) as k")
+    return zones_of(d.cameras(spark).selectExpr("camera_id", "cast(substr(camera_id, 4, 2) as int) as k"))
+
+
+def zones_of(n):
     point = lambda x, y: f"struct(cast({x} as double) as x, cast({y} as double) as y)"
     none, some = "cast(array() as array<string>)", "array('car', 'bus')"
     a = n.selectExpr("concat(camera_id, '-in') as zone_id", "camera_id", "'intrusion' as rule", f"array({point('0.1D + k / 100D', 0.1)}, {point(0.9, 0.2)}, {point(0.5, 0.9)}) as points", f"{none} as classes", "30D as dwell_s")

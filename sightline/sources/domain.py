@@ -147,6 +147,49 @@ CAMERAS = f"""places(camera_id, lat, lon, city, district) as (
 )"""
 
 
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera for each supplier, in its nation, with the columns of `cameras`, its number and how often it came back.
+    This roster grows with the scale; states follow from the number and from the cents of the balance."""
+    nations = raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
+    s = raw(spark, sf_dir, "supplier").join(nations, "s_nationkey", "left").withColumn("n", F.col("s_suppkey"))
+    s = s.withColumn("cents", F.round(F.abs("s_acctbal") * 100).cast("long"))
+    return s.selectExpr(
+        "n as number",
+        "concat('S-', n) as camera_id",
+        "s_name as name",
+        "case when n % 19 <> 4 then 8D + s_nationkey + (n % 100) / 100D end as lat",
+        "case when n % 23 <> 5 then 60D + s_nationkey + (n * 7 % 100) / 100D end as lon",
+        "case when n % 13 <> 0 then nation end as city",
+        "nation as district",
+        "case when n % 6 = 0 then 'anpr' when n % 5 = 0 then 'degraded' when n % 11 = 0 then 'person' when n % 17 = 0 then 'unknown' else 'vehicle' end as capability",
+        "cast(cents % 256 as double) as mean_luma",
+        "cast(cents % 50 as double) as banding",
+        "n % 29 <> 3 as has_frame",
+        "n % 8 <> 1 as connected",
+        "case when n % 10 <> 3 then cast(cents % 40 as double) end as stale_s",
+        "n % 9 = 4 as dark",
+        "n % 14 <> 5 as live",
+        "cents % 6 as reconnects",
+        "case n % 5 when 0 then concat('media/', s_name, '@', n, '.mp4') when 1 then concat('http://h', n, '/a@b') when 2 then concat('rtsps://user', n, '@h', n, '/stream') when 3 then null"
+        " else concat('rtsp://user:', cents, '@h', n, '/stream') end as rtsp_url",
+    )
+
+
+ROSTER = """suppliers as (
+  select s_suppkey as n, s_name, s_nationkey, n_name as nation, round(abs(s_acctbal) * 100)::bigint as cents from supplier left join nation on n_nationkey = s_nationkey
+), roster as (
+  select n as number, 'S-' || n as camera_id, s_name as name,
+    case when n % 19 <> 4 then 8.0::double + s_nationkey + (n % 100)::double / 100 end as lat, case when n % 23 <> 5 then 60.0::double + s_nationkey + (n * 7 % 100)::double / 100 end as lon,
+    case when n % 13 <> 0 then nation end as city, nation as district,
+    case when n % 6 = 0 then 'anpr' when n % 5 = 0 then 'degraded' when n % 11 = 0 then 'person' when n % 17 = 0 then 'unknown' else 'vehicle' end as capability,
+    (cents % 256)::double as mean_luma, (cents % 50)::double as banding, n % 29 <> 3 as has_frame, n % 8 <> 1 as connected,
+    case when n % 10 <> 3 then (cents % 40)::double end as stale_s, n % 9 = 4 as dark, n % 14 <> 5 as live, cents % 6 as reconnects,
+    case n % 5 when 0 then 'media/' || s_name || '@' || n || '.mp4' when 1 then 'http://h' || n || '/a@b' when 2 then 'rtsps://user' || n || '@h' || n || '/stream' when 3 then null
+      else 'rtsp://user:' || cents || '@h' || n || '/stream' end as rtsp_url
+  from suppliers
+)"""
+
+
 def sessions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, g) for g, cs in SESSIONS.items() for c in cs], "camera_id string, time_group string")
 
