@@ -143,3 +143,15 @@ class Retention:
 class Notify:
     min_severity: str = "high"
     cooldown_s: int = 300
+
+
+@dataclass(frozen=True)
+class Report:
+    hours: int = 24
+    plates: int = 200
+    alerts: int = 100
+    zone_events: int = 100
+
+    @property
+    def limits(self) -> dict[str, int]:
+        return {"Plates": self.plates, "Alerts": self.alerts, "Zone events": self.zone_events}

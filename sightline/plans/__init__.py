@@ -31,6 +31,6 @@ def query(sql: str | None = None, *ctes: str):
 
 
 def load() -> tuple[dict, dict]:
-    from . import camera, console, evidence, facts, live, movement, relational, roster, text, vision  # noqa: F401
+    from . import camera, console, evidence, facts, live, movement, relational, report, roster, text, vision  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

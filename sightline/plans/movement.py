@@ -146,6 +146,17 @@ def route_chain(spark, sf_dir):
     return r.select("plate", "hops", "unclocked", "other_session", "impossible", F.round("total_km", 6).alias("total_km"), "duration_s")
 
 
+@query(
+    f"""select *, (select count(*) > {SCAN} from sightings where plate_text is not null) as truncated from ({ROUTE_SQL.replace("from sightings s", f"from {SCANNED} s")}) as found""",
+    d.SIGHTINGS, d.CAMERAS, d.TIME_GROUPS, d.WATCHLIST,
+)
+def route_scan(spark, sf_dir):
+    """Routes among the newest reads, and whether the scan's bound left reads out."""
+    rows, truncated = movement.newest(d.sightings(spark, sf_dir).where("plate_text is not null"), SCAN)
+    r = movement.routes(rows, d.cameras(spark), d.sessions(spark), d.watchlist(spark, sf_dir))
+    return r.select("plate", "hops", "unclocked", "other_session", "impossible", F.round("total_km", 6).alias("total_km"), "duration_s", F.lit(truncated).alias("truncated"))
+
+
 @query(
     f"""with s as (
       select user_id, id, t_us, {d.km_sql('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as km

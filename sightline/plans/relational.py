@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import masked
@@ -281,21 +280,6 @@ def report_summary(spark, sf_dir):
     )
 
 
-@query(
-    """with page as (select *, row_number() over (order by wall_us, id) as rn from sightings) select rn::int as line, case when rn <= 200 then id::varchar else 'truncated' end as id,
-      case when rn <= 200 then camera_id else '' end as camera_id, case when rn <= 200 then coalesce(plate_text, '') else '' end as plate_text from page where rn <= 201""",
-    d.SIGHTINGS,
-)
-def csv_export_shape(spark, sf_dir):
-    first = d.sightings(spark, sf_dir).orderBy("wall_us", "id").limit(201)
-    page = first.withColumn("line", F.row_number().over(Window.orderBy("wall_us", "id")))
-    keep = F.col("line") <= 200
-    return page.select(
-        "line", F.when(keep, F.col("id").cast("string")).otherwise("truncated").alias("id"), F.when(keep, F.col("camera_id")).otherwise("").alias("camera_id"),
-        F.when(keep, F.coalesce("plate_text", F.lit(""))).otherwise("").alias("plate_text"),
-    )
-
-
 @query(
     """with m as (select user_id, sum(value) * 1000 as bytes, count(*) as records, (max(epoch_us(ts)) - min(epoch_us(ts)))::double / 1e6::double as s from events group by 1)
     select user_id, round(bytes * 8 / s / 1e6::double, 9) as mbit_s, round(bytes / 1e6::double / s * 3600, 6) as mb_h, round(bytes / (records * 316), 6) as reduction from m where s > 0"""

@@ -29,6 +29,12 @@ def export_csv(rows: DataFrame, path: str, order: list[str], limit: int) -> bool
     return more
 
 
+def export_lines(lines: DataFrame, path: str) -> None:
+    """Writes the lines of `report.export_page` in order, with a header, nulls as empty text; a bounded file by contract."""
+    page = lines.repartition(1).sortWithinPartitions("line").drop("line")
+    page.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
 def notices(alerts: DataFrame, params: Notify = Notify()) -> DataFrame:
     """Alerts severe enough to be told, with subject and body; cool them down before or after."""
     least = {"low": 0, "medium": 1, "high": 2, "critical": 3}.get(params.min_severity, 2)
@@ -37,10 +43,12 @@ def notices(alerts: DataFrame, params: Notify = Notify()) -> DataFrame:
     return fit.withColumn("subject", subject).withColumn("body", F.format_string("Plate %s, score %.3f, category %s.", "plate", "score", "category"))
 
 
-def html_report(spark: SparkSession, sections: dict[str, DataFrame], limit: int = 100) -> str:
-    """Sections as HTML tables, each cut to `limit` rows and saying so. Values are escaped."""
-    parts = []
+def html_report(spark: SparkSession, sections: dict[str, DataFrame], limit: int = 1000, limits: dict[str, int] | None = None) -> str:
+    """Sections as HTML tables, each cut to its number of `limits`, else to `limit` rows, and saying so. Values are
+    escaped."""
+    parts, most = [], limit
     for title, rows in sections.items():
+        limit = (limits or {}).get(title, most)
         page = rows.limit(limit + 1).collect()
         head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
         body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in page[:limit])
