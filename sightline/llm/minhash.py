@@ -163,28 +163,46 @@ def _confirmed(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 SIEVE = 1 << 25  # bits, whatever the data
 
 
-def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text) whose doc_id may be among wanted(head): all that are, and few others while there are
-    well below SIEVE of them. A bitmap of fixed size goes to the tasks, so that the rest needn't be shuffled."""
-    spark = docs.sparkSession
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (_mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(SIEVE)).astype(np.int64)
+
 
-    def place(ids: pa.Array) -> np.ndarray:
-        return (_mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(SIEVE)).astype(np.int64)
+def bitmap(ids: DataFrame):
+    """A broadcast bitmap of SIEVE bits for the one column of ids, longs without nulls."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = place(batch.column(0))
+            at = _place(batch.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bit"])
 
-    marked = wanted.select("head").mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
+    marked = ids.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
     got, field = marked.toPandas(), np.zeros(SIEVE >> 6, np.int64)  # SIEVE / 64 numbers at most
     field[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast(field)
+    return ids.sparkSession.sparkContext.broadcast(field)
+
+
+def maybe_in(ids: DataFrame, of: Column) -> Column:
+    """Whether `of`, a long without nulls, may be in the one column of ids: true for all that are, and for few others
+    while there are well below SIEVE of them. Only `of` goes through Python, so that texts beside it stay in the JVM."""
+    held = bitmap(ids)
+
+    @F.pandas_udf("boolean")
+    def found(x: pd.Series) -> pd.Series:
+        at = _place(x.to_numpy())
+        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return found(of)
+
+
+def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, text) whose doc_id may be among wanted(head): all that are, and few others while there are
+    well below SIEVE of them. A bitmap of fixed size goes to the tasks, so that the rest needn't be shuffled."""
+    held = bitmap(wanted.select("head"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = held.value
         for batch in batches:
-            at = place(batch.column(0))
+            at = _place(batch.column(0).to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array((field[at >> 6] >> (at & 63)) & 1 == 1))
 
     return docs.mapInArrow(sift, docs.schema)
