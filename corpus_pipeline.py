@@ -32,23 +32,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.recognised(docs, model, MIN_SCORE)
 
 
+#: Names of rows without an id begin here; ids are below.
+UNNAMED = 1 << 62
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates by NEAR, that of the smallest doc_id: its rows, less those equal
     to another in id and text.
 
     Null, empty and blank texts are near to nothing and stay. Rows that share a doc_id count as one document, so all
-    its texts stay or go. Rows of null doc_id stay if no row of an id has their text, one of equal texts; they can't be
-    named in a component. An empty table stays empty. All columns are passed on.
+    its rows stay or go. Rows of null doc_id take part under a name made of their text, above all ids (which are below
+    2**62): those of one text are one document, and they go where a document of an id is near. An empty table stays
+    empty. All columns are passed on, whatever they are called.
+
+    Texts are not moved, but for those of documents that go or that several rows share, and of the few that a bitmap
+    can't tell from them; they meet an exact list.
     """
-    found = minhash.near_duplicates(docs, NEAR)
-    named = docs.where("doc_id is not null")
-    kept = named.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    unnamed = docs.where("doc_id is null")
-    if unnamed.isEmpty():
-        return kept.dropDuplicates(["doc_id", "text"])
-    known = named.where("text is not null").select(F.sha2("text", 256).alias("mark")).distinct()
-    alone = unnamed.join(known, F.sha2(unnamed["text"], 256) == known["mark"], "left_anti")
-    return kept.unionByName(alone.select(*docs.columns)).dropDuplicates(["doc_id", "text"])
+    name = "_name"
+    while name in docs.columns:
+        name += "_"
+    hashed = F.xxhash64("text").bitwiseAND(F.lit(UNNAMED - 1)) + F.lit(UNNAMED)
+    named = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), hashed))
+    found = minhash.near_duplicates(named.select(F.col(name).alias("doc_id"), "text"), NEAR)
+    seen = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.expr("bool_and(kept)").alias("kept"))
+    watched = written(seen.where("rows > 1 or not kept").select(F.col("doc_id").alias(name), F.col("kept").alias(f"{name}kept")), "watched")
+    marked = named.withColumn(f"{name}met", minhash.maybe_in(watched.select(name), F.col(name)))
+    met = marked.where(f"{name}met").join(watched, name, "left")
+    several = met.where(f"{name}kept").dropDuplicates([name, "text"])
+    parts = [marked.where(f"not {name}met"), met.where(f"{name}kept is null"), several]
+    kept = parts[0].select(*docs.columns)
+    for part in parts[1:]:
+        kept = kept.union(part.select(*docs.columns))
+    return kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
