@@ -37,3 +37,32 @@ def test_near_duplicates_of_repeated_ids(spark):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
     assert got == {(1, 76): (1, True), (1, 0): (1, True), (2, 76): (1, False), (3, 76): (1, False), (4, 1): (4, True)}
     assert sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted((i, t or "") for i, t in rows[:3] + rows[5:6])
+
+
+def test_near_dedup_of_unnamed_rows(spark):
+    """Rows without an id are near-duplicates like others; a document of an id stays before them; equal rows stay once."""
+    words = lambda c: [f"{c}{i}" for i in range(100)]
+    near = lambda c: " ".join([*words(c)[:-1], "z"])
+    a, b, c = (" ".join(words(x)) for x in "abc")
+    rows = [(None, a, 1), (7, near("a"), 2), (None, b, 3), (None, near("b"), 4), (None, c, 5), (None, c, 6), (None, None, 7), (None, "", 8), (8, "", 9), (9, c, 10), (9, c, 11), (9, "", 12), (3, near("c"), 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _name int")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = {r._name for r in got.collect()}
+    assert kept - {3, 4} == {2, 7, 8, 9, 13} and len(kept & {3, 4}) == 1
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """Stages take empty tables, null ids and columns whose names they use themselves, and pass all columns on."""
+    spark.createDataFrame([(1, "the river bends twice before it meets the old stone bridge")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "in the morning the children walked along the river to the old mill and the miller gave them bread"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, c long, mark string, head long, kept boolean, _name long"
+    rows = [(1, text, "en", "s", 1, 1, 1, "m", 1, False, 1), (2, "x " + text, "en", "s", 1, 2, 2, "m", 2, None, 2), (None, "of bread and water " * 30, "en", None, None, None, None, None, None, None, None)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            n = out.count()
+            assert (n > 0) == bool(data), name
+            if name != "pack":
+                assert out.columns == docs.columns, name
