@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_plate, grams, half_up
+from ..functions.text import fold_plate, grams, half_up, substrings
 from ..params import Match
 
 
@@ -135,13 +137,66 @@ def candidates(reads: DataFrame, entries: DataFrame, params: Match = Match()) ->
     return r.join(e, "mark").select("id", "entry_id", "read_fold", "entry_fold").distinct()
 
 
+KEYS = 64  # keys of a plate and span at most
+
+
+@cache
+def place_keys(span: int, misses: int) -> list[list[int]]:
+    """Sets of places (from 0) of which two strings of `span` that differ in at most `misses` places agree on one at
+    least. The places are cut into misses + r parts, of which r agree; r is the largest with at most KEYS choices."""
+    r = 1
+    while misses + r < span and math.comb(misses + r + 1, r + 1) <= KEYS:
+        r += 1
+    n = misses + r
+    parts = [list(range(i * span // n, (i + 1) * span // n)) for i in range(n)]
+    return [[i for part in chosen for i in part] for chosen in combinations(parts, r)]
+
+
+def by_place(folds: DataFrame, lengths: DataFrame, name: str, params: Match) -> DataFrame:
+    """Rows (key, name) of distinct folds, for each span that they can be compared over with plates of `lengths`."""
+    share = least_alerting_share(params)
+
+    @F.udf("array<string>")
+    def keys(fold: str, span: int) -> list[str]:
+        misses = span - math.ceil(share * span - 1e-9)
+        return [f"{span} {k} " + "".join([fold[i] for i in places]) for k, places in enumerate(place_keys(span, misses))]
+
+    spans = folds.join(F.broadcast(lengths)).select(name, F.least(F.length(name), "length").alias("span")).where("span >= 4").distinct()
+    return spans.select(name, F.explode(keys(F.col(name), F.col("span"))).alias("key")).select(F.xxhash64("key").alias("key"), name)
+
+
+def plate_pairs(reads: DataFrame, plates: DataFrame, params: Match = Match()) -> DataFrame:
+    """Pairs (read_fold, entry_fold) of distinct folded plates, empty ones left out, whose plate evidence can alert.
+
+    What plate_score asks for is the key of an equi-join: equality and containment by substrings of the plate, agreement
+    place by place by sets of places, of which one agrees throughout. So few pairs meet that don't count, however many
+    plates begin alike."""
+    r, e = reads.where("read_fold <> ''"), plates.where("entry_fold <> ''")
+    held = e.select("entry_fold", F.explode(F.array_distinct(F.concat(F.array("entry_fold"), substrings(F.col("entry_fold"), 4)))).alias("read_fold"))
+    lengths = lambda df, c: df.select(F.length(c).alias("length")).distinct()
+    a = by_place(r, lengths(e, "entry_fold"), "read_fold", params)
+    b = by_place(e, lengths(r, "read_fold"), "entry_fold", params)
+    met = r.join(held, "read_fold").select("read_fold", "entry_fold").union(a.join(b, "key").select("read_fold", "entry_fold"))
+    least = (params.alert_threshold - params.appearance_weight) / params.plate_weight - 1e-9
+    score = plate_score(F.col("read_fold"), F.col("entry_fold"))
+    return met.where((score > 0) & (score >= least)).distinct()
+
+
 def alerts(sightings: DataFrame, entries: DataFrame, params: Match = Match()) -> DataFrame:
-    """Scored pairs that alert. Plates repeat far more often than they differ, so candidates are found and plates scored
-    once for each distinct read; pairs without any plate evidence, which can't alert, go before the sightings come."""
+    """Scored pairs that alert. Plates and looks repeat far more often than they differ, so pairs are found once for each
+    distinct plate and judged once for each distinct read, class and colour; pairs without any plate evidence can't
+    alert, and only those that do meet the sightings."""
+    look = ["read_fold", "vehicle_class", "colour"]
     s = sightings.withColumn("read_fold", fold_plate(F.col("plate_text")))
-    reads = s.select(F.col("read_fold").alias("id"), F.col("read_fold").alias("plate_text")).distinct()
-    pairs = candidates(reads, entries, params).drop("id").withColumn("p", plate_score(F.col("read_fold"), F.col("entry_fold")))
+    s = s.select("id", "camera_id", "plate_text", "wall_us", *look)
+    e = entries.withColumn("entry_fold", fold_plate(F.col("plate")))
     if params.alert_threshold > 0.35:
-        pairs = pairs.where("p > 0")
-    s = s.select("id", "camera_id", "plate_text", "vehicle_class", "colour", "wall_us", "read_fold")
-    return with_score(s.join(pairs.drop("p"), "read_fold").join(entries, "entry_id"), params).where("is_alert")
+        pairs = plate_pairs(s.select("read_fold").distinct(), e.select("entry_fold").distinct(), params)
+    else:
+        reads = s.select(F.col("read_fold").alias("id"), F.col("read_fold").alias("plate_text")).distinct()
+        pairs = candidates(reads, entries, params).select("read_fold", "entry_fold").distinct()
+    looks = s.select(*look).distinct().join(pairs, "read_fold").join(e, "entry_fold")
+    judged = with_score(looks, params).where("is_alert")
+    met = judged.select(*[F.col(c).alias(f"_{c}") if c in look else c for c in judged.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in look[1:]]
+    return s.join(met, (F.col("read_fold") == F.col("_read_fold")) & same[0] & same[1]).drop(*[f"_{c}" for c in look])

@@ -1,6 +1,7 @@
 """Plate scores, the candidate join and its proof."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -70,6 +71,25 @@ def test_no_alert_is_lost(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
+def test_place_keys():
+    """Whatever `misses` places differ, one set of places is left whole; longer plates get no more keys."""
+    for span, misses in [(4, 1), (8, 2), (10, 2), (10, 0), (13, 3)]:
+        keys = matching.place_keys(span, misses)
+        assert all(any(not set(gone) & set(k) for k in keys) for gone in itertools.combinations(range(span), misses))
+    assert all(len(matching.place_keys(n, n - math.ceil(0.711 * n))) <= matching.KEYS for n in range(4, 64))
+
+
+def test_plates_that_begin_alike_do_not_meet(spark):
+    """600 plates of one beginning: only pairs whose plate can alert are made, and all of them."""
+    rng = random.Random(7)
+    plates = sorted({f"6J01{rng.choice('ACEFH')}{rng.choice('ACEFH')}{rng.randrange(10000):04d}" for _ in range(600)})
+    r = spark.createDataFrame([(p,) for p in [*plates, *(p[2:] for p in plates[:99]), "", "6J"]], "read_fold string")
+    e = spark.createDataFrame([(p,) for p in [*plates[::5], "", "6J"]], "entry_fold string")
+    got = sorted(map(tuple, matching.plate_pairs(r, e).collect()))
+    every = r.crossJoin(e).where(matching.plate_score(F.col("read_fold"), F.col("entry_fold")) >= 0.25 - 1e-9)
+    assert got == sorted(map(tuple, every.collect())) and len(got) < r.count() * 12
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("gj-01 Zo", "rtsp://u:p@h/x", "ab", "abcdef")], "a string, u string, s string, l string").select(
         fold_plate(F.col("a")).alias("f"), grams(F.col("l"), 3).alias("g"), redact_url(F.col("u")).alias("r"), masked(F.col("s")).alias("m"),
