@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 
 def protected(alerts: DataFrame, zone_events: DataFrame) -> DataFrame:
     """Ids of evidence that an open alert or zone event needs."""
@@ -44,7 +46,8 @@ def prune_rows(rows: DataFrame, needed: DataFrame, now_us: int, cap: int, keep_s
     so they are told by their rank, not by a limit over all rows."""
     excess = max(0, rows.count() - cap)
     old = rows.where(F.col("wall_us") < now_us - keep_s * 1_000_000).join(needed.distinct(), "id", "left_anti")
-    ranked = running_total(old.select("id", "wall_us", F.lit(1).cast("long").alias("one")), "one", ["wall_us", "id"])
+    old = stored(old.select("id", "wall_us", F.lit(1).cast("long").alias("one")), "old")  # read three times
+    ranked = running_total(old, "one", ["wall_us", "id"])
     return ranked.where(F.col("before") < excess).select("id")
 
 
