@@ -10,6 +10,7 @@ from ..functions.text import severity_rank
 from ..operators import registry, traffic
 from ..sources import domain as d
 from ..sources import sinks
+from ..sources.storage import stored
 from . import query
 from .movement import ASSESS, BUCKETS, NORMS, _buckets
 from .relational import ALERTS, NOW_US, ZONE_EVENTS, alerts
@@ -92,7 +93,7 @@ def notice_list(spark, sf_dir):
     d.SIGHTINGS, d.WATCHLIST,
 )
 def acknowledge_update(spark, sf_dir):
-    a = alerts(spark, sf_dir)
+    a = stored(alerts(spark, sf_dir).select("alert_id", "plate", "acknowledged"), "alerts")  # read twice
     return registry.acknowledge(a, a.groupBy("plate").agg(F.min("alert_id").alias("alert_id")).select("alert_id")).select("alert_id", "acknowledged")
 
 
