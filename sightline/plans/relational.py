@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import masked
 from ..operators import matching, registry, retention
 from ..sources import domain as d
-from ..sources.storage import shared_path
+from ..sources.storage import shared_path, stored
 from . import query
 from .movement import SCORED
 
@@ -239,7 +239,7 @@ def storage_report(spark, sf_dir):
     d.SIGHTINGS, d.WATCHLIST,
 )
 def history_live_merge(spark, sf_dir):
-    a = alerts(spark, sf_dir)
+    a = stored(alerts(spark, sf_dir).select("alert_id", "wall_us"), "alerts")  # read twice
     merged = registry.merge_feeds(a.where("alert_id % 3 <> 1"), a.where("alert_id % 3 <> 2"), "alert_id", "wall_us", 200)
     return merged.select("alert_id", "origin")
 
