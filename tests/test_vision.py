@@ -181,3 +181,17 @@ def test_route_of_a_hot_plate(spark):
     r, hops = found.first(), movement.route_hops(*plain)
     assert (r.hops, r.impossible, r.duration_s) == (n, 0, (n - 1) * 180.0)
     assert hops.count() == n and abs(hops.agg(F.sum("leg_km")).first()[0] - r.total_km) < 1e-3
+
+
+def test_blocks_find_all_that_are_alike_and_few_others(spark):
+    """Pairs that may reach the least are those that brute force finds, but for rounding; a limit keeps ties and the best."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(90, None), (91, [1.0])]
+    left, right = (spark.createDataFrame(rows, f"{c} long, v array<double>") for c in "ab")
+    like = v @ v.T
+    want = {(i, k) for i in range(90) for k in range(90) if i != k and like[i, k] >= 0.8}
+    assert {(r.a, r.b) for r in journeys.alike(left, right, 0.8, 30, 40).collect()} == want
+    best = {(r.a, r.b) for r in journeys.alike(left, right, 0.8, 1000, 1000, 3).collect()}
+    assert best == {(i, k) for i, k in want if sum(like[i, m] > like[i, k] for m in range(90) if m != i) < 3}
