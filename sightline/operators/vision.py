@@ -145,9 +145,28 @@ def zone_hits(points: DataFrame, zones: DataFrame, width: int, height: int, by:
     return zone_tests(p, zones, width, height).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+CELL = 64  #: pixels of a cell's side
+
+
 def overlaps(boxes: DataFrame, least: float = Track.base_iou) -> DataFrame:
-    """Pairs of boxes of one camera and frame that overlap enough."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    j = a.join(b, (F.col("a.camera_id") == F.col("b.camera_id")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.id") < F.col("b.id")))
+    """Pairs of boxes of one camera and frame that overlap enough, which is more than nothing.
+
+    Boxes meet in cells of the picture: the one further left stands in every cell that it covers but for the columns too
+    near its right edge to leave a share of `least`, the other in those of its left column; the pair counts in the cell
+    that has the upper left corner of what they share."""
+    if least <= 0:
+        raise ValueError("boxes that share nothing don't meet")
+    cell = lambda c: F.floor(c / CELL)
+    b = boxes.select("camera_id", "frame", "id", "x1", "y1", "x2", "y2")
+    rows = F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))).alias("row")
+    last = F.greatest(F.col("x1"), F.col("x2") - least * (F.col("x2") - F.col("x1")) + 1)
+    left = b.select("*", F.sequence(cell(F.col("x1")), cell(last)).alias("columns"), rows)
+    left = left.select(*b.columns, "row", F.explode("columns").alias("column")).alias("a")
+    right = b.select("*", cell(F.col("x1")).alias("column"), rows).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("camera_id", "frame", "row", "column")]
+    first = (F.col("a.x1") < F.col("b.x1")) | ((F.col("a.x1") == F.col("b.x1")) & (F.col("a.id") < F.col("b.id")))
+    j = left.join(right, same[0] & same[1] & same[2] & same[3] & first & (F.col("a.row") == cell(F.greatest("a.y1", "b.y1"))))
+    j = j.where(F.col("a.id") != F.col("b.id"))
     side = lambda t: [F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")]
-    return j.withColumn("iou", iou(side("a"), side("b"))).where(F.col("iou") >= least).select(F.col("a.camera_id").alias("camera_id"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "iou")
+    j = j.withColumn("iou", iou(side("a"), side("b"))).where(F.col("iou") >= least)
+    return j.select(F.col("a.camera_id").alias("camera_id"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), "iou")

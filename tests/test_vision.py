@@ -195,3 +195,31 @@ def test_blocks_find_all_that_are_alike_and_few_others(spark):
     assert {(r.a, r.b) for r in journeys.alike(left, right, 0.8, 30, 40).collect()} == want
     best = {(r.a, r.b) for r in journeys.alike(left, right, 0.8, 1000, 1000, 3).collect()}
     assert best == {(i, k) for i, k in want if sum(like[i, m] > like[i, k] for m in range(90) if m != i) < 3}
+
+
+def test_overlaps_meet_in_cells_once(spark):
+    """Boxes of all sizes, some equal, some off the picture: the pairs of brute force, each once; a plan by cells."""
+    rng = np.random.default_rng(4)
+    at, size = rng.integers(-90, 500, (120, 2)), rng.integers(1, 300, (120, 2))
+    boxes = [("c", 1, i, *map(int, [*p, *(p + s)])) for i, (p, s) in enumerate(zip(at, size, strict=True))]
+    boxes += [("c", 1, 200 + b[2], *b[3:]) for b in boxes[:9]] + [("c", 2, 999, 0, 0, 50, 50), ("c", 1, 998, 5, 5, 5, 5)]
+    df = spark.createDataFrame(boxes, "camera_id string, frame long, id long, x1 long, y1 long, x2 long, y2 long")
+
+    def share(a, b):
+        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        area = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+        return w * h / (area(a) + area(b) - w * h) if w > 0 and h > 0 else 0.0
+
+    want = sorted((a[2], b[2]) for a in boxes for b in boxes if a[1] == b[1] and a[2] < b[2] and share(a, b) >= 0.25)
+    got = vision.overlaps(df)
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == want and len(want) > 50
+    assert "column" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_of_equal_and_of_alike_vectors(spark):
+    """Vectors are compared once: sightings of one vector follow one another, as do those of alike ones."""
+    rows = [(i, c, "s", i * 60_000_000, v) for i, (c, v) in enumerate([("cam01", [1.0, 0.0]), ("cam02", [1.0, 0.0]), ("cam01", [0.9, 0.1]), ("cam02", [0.0, 1.0])])]
+    s = spark.createDataFrame(rows, "id long, camera_id string, time_group string, t_us long, v array<double>")
+    got = journeys.steps(s, domain.cameras(spark))
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == [(0, 1), (1, 2)]
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()  # none is left to the pairs of sightings
