@@ -33,6 +33,27 @@ def test_recording_plays_again_over_restarts(spark, tmp_path):
     assert [r[0] for r in player.readBetweenOffsets({"loop": 0, "position": 90}, {"loop": 0, "position": 130})] == list(range(90, 130))
 
 
+@pytest.mark.parametrize("step", [90, 250, 1000])
+def test_tasks_read_what_the_player_gives(spark, tmp_path, step):
+    """Up to `until` a run, the rows and offsets are those of the player; nothing passes through the driver."""
+    at = f"{tmp_path}/in"
+    spark.range(250).selectExpr("id", "case when id % 9 < 8 then id * 40 + 7 end as t", "cast(id as string) as s").repartitionByRange(3, "id").sortWithinPartitions("id").write.option("parquet.block.size", 512).parquet(at)
+    player = Player(at, "t", 3, 10_000)
+    want = list(player.read(player.initialOffset())[0])
+    to = 0
+    while to < 750:
+        to += step
+        out = live.run_to_end(recording(spark, at, "t", 3, until=to), "x", at=f"file://{tmp_path}/out")
+        assert out.count() == min(to, 750)
+    assert [tuple(r) for r in out.orderBy("loop", "id").collect()] == want
+    assert live.run_to_end(recording(spark, at, "t", 3, until=to), "x", at=f"file://{tmp_path}/out").count() == 750
+
+
+def test_empty_recording_until(spark, tmp_path):
+    spark.range(0).selectExpr("id", "id as t").write.parquet(f"{tmp_path}/none")
+    assert live.run_to_end(recording(spark, f"{tmp_path}/none", "t", 3, until=10), "x", at=f"file://{tmp_path}/out").count() == 0
+
+
 def test_empty_recording_and_options(spark, tmp_path):
     spark.range(0).selectExpr("id", "id as t").write.parquet(f"{tmp_path}/none")
     assert played(spark, f"{tmp_path}/none", f"file://{tmp_path}/out", 3, 10).count() == 0
