@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import dropped, worker_cache, written
 from .components import connected_components
 
-KEEP_WORDS = 500_000
+KEEP_WORDS = 1 << 17  # about 25 MB a worker
 
 
 #: Fixed odd multipliers for the places of a shingle's words.
@@ -188,6 +188,7 @@ def maybe_in(ids: DataFrame, of: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def found(x: pd.Series) -> pd.Series:
+        worker_cache("sieve")  # lets go what earlier steps keep
         at = _place(x.to_numpy())
         return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
 
@@ -197,15 +198,7 @@ def maybe_in(ids: DataFrame, of: Column) -> Column:
 def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of docs(doc_id, text) whose doc_id may be among wanted(head): all that are, and few others while there are
     well below SIEVE of them. A bitmap of fixed size goes to the tasks, so that the rest needn't be shuffled."""
-    held = bitmap(wanted.select("head"))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = held.value
-        for batch in batches:
-            at = _place(batch.column(0).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array((field[at >> 6] >> (at & 63)) & 1 == 1))
-
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.where(maybe_in(wanted.select("head"), F.col("doc_id")))
 
 
 def sets_of(docs: DataFrame, heads: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
