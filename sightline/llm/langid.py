@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_BYTES = 64 << 20  # sums of words that a worker keeps
@@ -292,6 +292,7 @@ def fit(docs: DataFrame, vocabulary_path: str, params: Params = Params()) -> Mod
 def _teller(spark, model: Model):
     """A function for tasks: texts to languages, scores and numbers of words."""
     params, key = model.params, uuid.uuid4().hex
+    small_batches(spark)
     held = spark.sparkContext.broadcast((model.languages, model.pieces, model.p))  # languages x vocabulary numbers
 
     def tell(texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, worker_cache, written
+from .common import dropped, small_batches, worker_cache, written
 from .components import connected_components
 
 KEEP_WORDS = 1 << 17  # about 25 MB a worker
@@ -340,6 +340,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     the links of one of them.
     """
     p, spark = params, docs.sparkSession
+    small_batches(spark)
     signed = written(
         docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(
             lambda batches: _signed(batches, p),

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .tokens import Encoder, sliced
 
 
@@ -31,6 +31,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             columns = [pa.array([part] * len(n), pa.int32()), batch.column(0), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "before", "n", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return written(rows.mapInArrow(run, "part int, doc_id long, before long, n long, ids binary"), "ids")
 

@@ -1,7 +1,10 @@
 """Stages of the pipeline on small cases."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sightline.llm import minhash, queries
+from sightline.llm import common, minhash, queries
 
 
 def test_near_dedup_at_eighty(spark):
@@ -66,3 +69,30 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path):
             assert (n > 0) == bool(data), name
             if name != "pack":
                 assert out.columns == docs.columns, name
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Each operator of the pipeline that hands texts to Python bounds a batch's bytes, unless the session has a limit."""
+    key, rows = common.BATCH, spark.range(0, 3_000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 1000) || id as text")
+    steps = [
+        lambda: corpus_pipeline.language_id(spark, rows.limit(1).withColumn("lang", F.lit("en")), ""),
+        lambda: minhash.near_duplicates(rows.limit(1)),
+        lambda: corpus_pipeline.pack(spark, rows.limit(1), ""),
+    ]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    had = spark.conf.get(key) if key in spark.conf.getAll else None
+    try:
+        for step in steps:
+            spark.conf.unset(key)
+            step()
+            met = rows.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in met) == 3_000 and max(r.bytes for r in met) < 2 * common.BATCH_BYTES
+        spark.conf.set(key, "65536")
+        steps[1]()
+        assert spark.conf.get(key) == "65536"
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)
