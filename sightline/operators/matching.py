@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_plate, grams, half_up, substrings
 from ..params import Match
+from ..sources.storage import stored
 
 
 def plate_score(obs: Column, tgt: Column) -> Column:
@@ -137,6 +138,62 @@ def candidates(reads: DataFrame, entries: DataFrame, params: Match = Match()) ->
     return r.join(e, "mark").select("id", "entry_id", "read_fold", "entry_fold").distinct()
 
 
+MOST_GRAMS = 10  # windows of a plate whose sets are listed: 1,023 of them
+
+
+def subsets(c: Column, mark: str) -> Column:
+    """Every set of the strings of an array but the empty one, as `mark` and its strings in order, which are all of a length."""
+    every = F.aggregate(F.array_sort(c), F.array(F.lit(mark)), lambda sets, g: F.concat(sets, F.transform(sets, lambda s: F.concat(s, g))))
+    return F.filter(every, lambda s: s != mark)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df, written once, in as many parts as the session has for shuffles: rows are few and short, but much is made of each."""
+    return stored(df, "windows").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def candidate_counts(folds: DataFrame, entries: DataFrame, params: Match = Match()) -> DataFrame:
+    """Rows (fold, entries, first_entry) of distinct folds (fold): how many entries (entry_id, plate) are its candidates
+    and the smallest of them; folds without any are left out. The same as to count `candidates`, whose pairs grow with
+    the square of the plates, but no pair is made: the entries that share a window with a read are counted by inclusion and exclusion
+    over the sets of its windows, so the work grows with the plates. Plates of more than MOST_GRAMS windows meet pair by pair.
+    """
+    unsafe = unsafe_spans(params)
+    n = F.length("fold")
+    e = entries.select("entry_id", fold_plate(F.col("plate")).alias("fold")).distinct()
+    short, forced = n < params.min_chars, n.isin(unsafe)
+    whole = e.agg(  # one row
+        *[x for name, some in (("short", short), ("forced", ~short & forced))
+          for x in (F.count(F.when(some, 1)).alias(name), F.min(F.when(some, F.col("entry_id"))).alias(f"{name}_first"))]
+    )
+    # a safe read looks by the usual windows, another one by the smaller; entries that every safe read meets anyway have the smaller alone
+    usual, small = (grams(F.col("fold"), q) for q in (params.gram, params.fallback_gram))
+    r = folds.where(~short).select("fold", F.when(forced, "f").otherwise("p").alias("mark"), F.when(forced, small).otherwise(usual).alias("grams"))
+    both = F.array(F.struct(F.lit("f").alias("mark"), small.alias("grams")), F.struct(F.when(~forced, "p").alias("mark"), usual.alias("grams")))
+    held = e.where(~short).select("entry_id", F.inline(both)).where("mark is not null")
+    r, held = dealt(r, "fold"), dealt(held, "entry_id")
+    few = F.size("grams") <= MOST_GRAMS
+    sets = F.when(F.col("mark") == "p", subsets(F.col("grams"), "p")).otherwise(subsets(F.col("grams"), "f"))
+    known = held.where(few).select("entry_id", F.explode(sets).alias("key")).groupBy("key").agg(F.count("*").alias("many"), F.min("entry_id").alias("first"))
+    size = F.when(F.col("key").startswith("p"), params.gram).otherwise(params.fallback_gram)
+    odd = F.expr("length(key) - 1") / size % 2 == 1
+    asked = r.where(few).select("fold", F.explode(sets).alias("key")).join(known, "key")
+    met = asked.select("fold", F.when(odd, F.col("many")).otherwise(-F.col("many")).alias("many"), "first")
+
+    each = lambda df, *columns: df.select(*columns, "mark", F.explode("grams").alias("gram"))
+    for a, b in ((r.where(~few), held), (r.where(few), held.where(~few))):
+        pairs = each(a, "fold").join(each(b, "entry_id"), ["mark", "gram"]).select("fold", "entry_id").distinct()
+        met = met.union(pairs.select("fold", F.lit(1).cast("long"), "entry_id"))
+    shared = met.groupBy("fold").agg(F.sum("many").alias("many"), F.min("first").alias("first"))
+    out = folds.join(shared, "fold", "left").crossJoin(F.broadcast(whole))
+    safe = ~short & ~forced
+    return out.select(
+        "fold",
+        (F.coalesce("many", F.lit(0)) + F.col("short") + F.when(safe, F.col("forced")).otherwise(0)).alias("entries"),
+        F.least("first", "short_first", F.when(safe, F.col("forced_first"))).alias("first_entry"),
+    ).where("entries > 0")
+
+
 KEYS = 64  # keys of a plate and span at most
 
 

@@ -114,3 +114,41 @@ def test_lookups_by_rare_terms_lose_nothing(spark, seed):
     plain = retrieval.rank(docs, asked, p).where(f"matched >= {p.evidence}D and matched / wanted >= {p.coverage}D")
     rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
     assert rows(retrieval.rank(docs, asked, p, enough=True)) == rows(plain) != []
+
+
+def test_candidates_are_counted_without_pairs(spark):
+    """Counts and smallest entries are those of the pairs, whatever the lengths and repeats, and plates that begin alike make no pairs."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("AC13") for _ in range(n))
+    plates = ["", "A", "AC1", None, "AAAAAAAAAA", *(word(n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 19, 30) for _ in range(6))]
+    entries = [(i, p) for i, p in enumerate(plates)] + [(500, plates[40]), (501, plates[70])]
+    reads = [*plates, *(word(n) for n in range(1, 24) for _ in range(3)), "MXWY", "MWXYKMWXYK"]
+    for some in (entries, [x for x in entries if len(x[1] or "") > 5], []):
+        e = spark.createDataFrame(some, "entry_id long, plate string")
+        folds = spark.createDataFrame([(r,) for r in reads], "plate string").select(fold_plate(F.col("plate")).alias("fold")).distinct()
+        pairs = matching.candidates(folds.select(F.col("fold").alias("id"), F.col("fold").alias("plate_text")), e)
+        want = {r.id: (r.n, r.m) for r in pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("entry_id").alias("m")).collect()}
+        assert {r.fold: (r.entries, r.first_entry) for r in matching.candidate_counts(folds, e).collect()} == want
+
+
+def test_candidate_counts_make_no_pairs(spark):
+    """2,000 reads and 400 entries of ten characters that all begin alike: 800,000 pairs, but at most 255 rows a plate."""
+    folds = spark.range(2_000).selectExpr("'6J0' || lpad(cast(id as string), 7, '0') as fold")
+    entries = spark.range(400).selectExpr("id as entry_id", "'6J0' || lpad(cast(id * 5 as string), 7, '0') as plate")
+    got = matching.candidate_counts(folds, entries)
+    found = [(r.entries, r.first_entry) for r in got.collect()]
+    assert found == [(400, 0)] * 2_000
+    nodes, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        if "Join" in name and rows.isDefined():
+            nodes.append(rows.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert nodes and max(nodes) <= 2_000 * 255
