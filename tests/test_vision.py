@@ -9,7 +9,7 @@ from sightline import plans
 from sightline.functions import captions
 from sightline.functions.overlay import parsed_seconds
 from sightline.functions.vector import dot
-from sightline.operators import journeys, movement, registry, retention, retrieval, vision
+from sightline.operators import camera, journeys, movement, registry, retention, retrieval, vision
 from sightline.params import Journey
 from sightline.sources import domain, files, sinks
 
@@ -223,3 +223,16 @@ def test_steps_of_equal_and_of_alike_vectors(spark):
     got = journeys.steps(s, domain.cameras(spark))
     assert sorted((r.id_a, r.id_b) for r in got.collect()) == [(0, 1), (1, 2)]
     assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()  # none is left to the pairs of sightings
+
+
+def test_a_find_is_compared_with_near_tracks_of_its_class(monkeypatch):
+    """200 live tracks of two classes, side by side: each find meets the box of its own track alone."""
+    calls, plain = [], camera.box_iou
+    monkeypatch.setattr(camera, "box_iou", lambda a, b: calls.append(1) or plain(a, b))
+    tracker, out = camera.Tracker(), []
+    for frame in range(3):
+        for i in range(200):
+            find = {"id": frame * 200 + i, "camera_id": "c", "pts_ms": frame * 1000, "vehicle_class": "car" if i % 2 else "bus", "x1": 20 * i, "y1": 0, "x2": 20 * i + 10, "y2": 10, "embedding": None}
+            out += tracker.row(find)
+    assert [r[3] for r in out] == [i + 1 for i in range(200)] * 3 and [r[4] for r in out] == [False] * 200 + [True] * 200 + [False] * 200
+    assert len(calls) == 400
