@@ -20,6 +20,10 @@ MIN_SCORE = 0.3
 #: and agrees on fewer than 81 sketch values with 5e-7.
 NEAR = minhash.Params(percent=80, bands=27, rows=4, alike=81)
 
+#: What a worker of the last stage keeps and encodes at once: about 190 MB with all it needs, as executors come to the
+#: stage with the heap of the ones before.
+PACK = {"keep": 250_000, "part_chars": 1_000_000}
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has letters and whose language scores at least MIN_SCORE; learned from the rows not held out.
@@ -81,7 +85,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id; equal rows are packed each; a null doc_id is passed on; long texts run over
     many sequences. Other columns are not looked at. An empty table gives no pieces.
     """
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), **PACK).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from .common import worker_cache
 
 KEEP = 900_000
+KEEP_CHARS = 36  # characters of all kept chunks for each that may be kept; usual ones have about 9
 PART_CHARS = 6_000_000
 MARKS = ".,;:!?"
 BAR = "|"
@@ -46,7 +47,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = PART_
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as the tokenizers library gives them for add_special_tokens=False."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None, part_chars: int | None = None):
+        self.keep, self.part_chars = keep or KEEP, part_chars or PART_CHARS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,15 +63,16 @@ class Encoder:
         self.kept: dict[str, bytes] = {"": b""} if self.lower else {}
         self.old: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.kept_chars = self.bare_chars = 0
         self.marks: dict[str, bytes] = {}
         self.line = np.uint32(vocabulary.get("Ċ", 0))
         self.bar = vocabulary.get(f"{BAR}</w>", -1)
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        kept = worker_cache(f"ids {path}")
+    def of(cls, path: str, keep: int | None = None, part_chars: int | None = None) -> "Encoder":
+        kept = worker_cache(f"ids {path} {keep} {part_chars}")
         if not kept:
-            kept["encoder"] = cls(path)
+            kept["encoder"] = cls(path, keep, part_chars)
         return kept["encoder"]
 
     def plain(self, text: str) -> bytes:
@@ -148,9 +151,11 @@ class Encoder:
                 whole.append(c)
             else:
                 mixed.append(c)
-        if len(self.bare) + len(bare) > KEEP // 4:
+        if len(self.bare) + len(bare) > self.keep // 4 or self.bare_chars > KEEP_CHARS * self.keep // 4:
             self.bare.clear()
+            self.bare_chars = 0
             bare = dict.fromkeys(w for _, w, _ in opened)
+        self.bare_chars += sum(map(len, bare))
         todo = list(bare)
         for i in range(0, len(todo), 512):
             some = todo[i : i + 512]
@@ -187,14 +192,15 @@ class Encoder:
     def _known(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks. Those met are kept in two generations: when the younger is full it becomes the
         older, and a chunk that is met again comes back into the younger, so frequent ones are never forgotten."""
-        if len(self.kept) >= KEEP // 2:
-            self.old, self.kept = self.kept, {}
+        if len(self.kept) >= self.keep // 2 or self.kept_chars >= KEEP_CHARS * self.keep // 2:
+            self.old, self.kept, self.kept_chars = self.kept, {}, 0
         kept, old = self.kept, self.old
         found = list(map(kept.get, chunks))
         if None in found:
             missing = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
             again = {c: old[c] for c in missing if c in old}
             kept.update(again)
+            self.kept_chars += sum(map(len, missing))
             self._learn([c for c in missing if c not in again])
             found = list(map(kept.__getitem__, chunks))
         return found
@@ -211,12 +217,12 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; texts are taken in parts of about PART_CHARS characters."""
+        """Ids of each text; texts are taken in parts of about `part_chars` characters."""
         out: list[bytes] = []
         i = 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size < PART_CHARS):
+            while j < len(texts) and (j == i or size < self.part_chars):
                 size += len(texts[j])
                 j += 1
             out += self._part(texts[i:j])
