@@ -157,6 +157,7 @@ def candidate_counts(folds: DataFrame, entries: DataFrame, params: Match = Match
     and the smallest of them; folds without any are left out. The same as to count `candidates`, whose pairs grow with
     the square of the plates, but no pair is made: the entries that share a window with a read are counted by inclusion and exclusion
     over the sets of its windows, so the work grows with the plates. Plates of more than MOST_GRAMS windows meet pair by pair.
+    No join is broadcast: what meets grows with the plates and would pass through the driver.
     """
     unsafe = unsafe_spans(params)
     n = F.length("fold")
@@ -177,15 +178,15 @@ def candidate_counts(folds: DataFrame, entries: DataFrame, params: Match = Match
     known = held.where(few).select("entry_id", F.explode(sets).alias("key")).groupBy("key").agg(F.count("*").alias("many"), F.min("entry_id").alias("first"))
     size = F.when(F.col("key").startswith("p"), params.gram).otherwise(params.fallback_gram)
     odd = F.expr("length(key) - 1") / size % 2 == 1
-    asked = r.where(few).select("fold", F.explode(sets).alias("key")).join(known, "key")
+    asked = r.where(few).select("fold", F.explode(sets).alias("key")).join(known.hint("merge"), "key")
     met = asked.select("fold", F.when(odd, F.col("many")).otherwise(-F.col("many")).alias("many"), "first")
 
     each = lambda df, *columns: df.select(*columns, "mark", F.explode("grams").alias("gram"))
     for a, b in ((r.where(~few), held), (r.where(few), held.where(~few))):
-        pairs = each(a, "fold").join(each(b, "entry_id"), ["mark", "gram"]).select("fold", "entry_id").distinct()
+        pairs = each(a, "fold").join(each(b, "entry_id").hint("merge"), ["mark", "gram"]).select("fold", "entry_id").distinct()
         met = met.union(pairs.select("fold", F.lit(1).cast("long"), "entry_id"))
     shared = met.groupBy("fold").agg(F.sum("many").alias("many"), F.min("first").alias("first"))
-    out = folds.join(shared, "fold", "left").crossJoin(F.broadcast(whole))
+    out = folds.join(shared.hint("merge"), "fold", "left").crossJoin(F.broadcast(whole))
     safe = ~short & ~forced
     return out.select(
         "fold",

@@ -152,3 +152,13 @@ def test_candidate_counts_make_no_pairs(spark):
             nodes.append(rows.get().value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert nodes and max(nodes) <= 2_000 * 255
+
+
+def test_candidate_counts_are_not_broadcast(spark):
+    """What grows with the plates does not pass through the driver, however small it looks to Spark."""
+    rng = random.Random(8)
+    plates = [f"GJ{rng.randrange(38):02d}AB{rng.randrange(10000):04d}" for _ in range(60)]
+    folds = spark.createDataFrame([(p,) for p in plates], "fold string").distinct()
+    found = matching.candidate_counts(folds, spark.createDataFrame(list(enumerate(plates)), "entry_id long, plate string"))
+    assert found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
