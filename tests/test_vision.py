@@ -236,3 +236,52 @@ def test_a_find_is_compared_with_near_tracks_of_its_class(monkeypatch):
             out += tracker.row(find)
     assert [r[3] for r in out] == [i + 1 for i in range(200)] * 3 and [r[4] for r in out] == [False] * 200 + [True] * 200 + [False] * 200
     assert len(calls) == 400
+
+
+def test_steps_in_blocks_are_those_of_brute_force(spark):
+    """However sightings are dealt, with one vector of most of them, vectors of two lengths, null parts and unknown places."""
+    rng = np.random.default_rng(6)
+    known = {r.camera_id: (r.lat, r.lon) for r in domain.cameras(spark).collect()}
+    cams, base = [*sorted(known)[:5], "cam17"], rng.normal(size=(12, 4))
+    vectors = [*(0.9 * base[0] + 0.3 * base).tolist(), [3.0, 1.0], None, [1.0, None, 0.0, 0.0], []]
+    vectors = [v if not v or None in v else (np.array(v) / np.linalg.norm(v)).tolist() for v in vectors]
+    rows = [(i, cams[rng.integers(6)], "gh"[int(rng.integers(2))], int(rng.integers(-4000, 9000)) * 1_000_000, vectors[0 if i % 2 else int(rng.integers(len(vectors)))]) for i in range(240)]
+    s = spark.createDataFrame(rows, "id long, camera_id string, time_group string, t_us long, v array<double>")
+    places = domain.cameras(spark).withColumn("lat", F.when(F.col("camera_id") != "cam03", F.col("lat")))
+
+    def far(a, b):
+        (la, oa), (lb, ob) = (np.radians(known[x]) for x in (a, b))
+        return 2 * 6371.0 * np.arcsin(np.sqrt(np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((ob - oa) / 2) ** 2))
+
+    want, ready = {}, [r for r in rows if r[4] and None not in r[4] and r[1] != "cam03"]
+    for a in ready:
+        for b in ready:
+            wait = (b[3] - a[3]) / 1e6
+            if a[2] == b[2] and a[1] != b[1] and 0 < wait <= 1800 and len(a[4]) == len(b[4]) and far(a[1], b[1]) / (wait / 3600) <= 120:
+                if round(like := float(np.dot(a[4], b[4])), 9) >= 0.84:
+                    want[a[0], b[0]] = (round(float(far(a[1], b[1])), 6), wait, round(like, 6))
+    for n in (7, 40, 131_072):
+        got = journeys.steps(s, places, rows=n, digits=6).collect()
+        assert {(r.id_a, r.id_b): (r.km, r.seconds, r.similarity) for r in got} == want and len(got) == len(want) > 500
+
+
+def test_steps_shuffle_sightings_and_no_pairs(spark):
+    """400 sightings of 400 vectors that are all alike: no exchange has rows for pairs of a sighting and a vector."""
+    s = spark.range(400).selectExpr("id", "concat('cam0', id % 5 + 1) as camera_id", "'g' as time_group", "id * 1000000 as t_us", "array(1D, id / 10000D) as v")
+    got = journeys.steps(s, domain.cameras(spark))
+    assert len(got.collect()) > 20_000
+    moved, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        rows = node.metrics().get("shuffleRecordsWritten")
+        moved += [rows.get().value()] if rows.isDefined() else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert moved and max(moved) <= 4_000
+
+
+def test_nearest_is_round(spark):
+    x = [0.5, 1.5, 0.0000005, 0.8400000005, 0.1234565, -0.1234565, 2.675, 0.84 - 1e-16, 1 / 3, 12.0000005]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for digits in (2, 6, 9):
+        assert journeys.nearest(np.array(x), digits).tolist() == [r[0] for r in df.select(F.round("x", digits)).collect()]
