@@ -12,8 +12,12 @@ from . import query
 from .movement import CONSENSUS
 
 
+def _events(spark, sf_dir):
+    return replay(spark, "parquet", sf_dir, d.raw(spark, sf_dir, "events").schema, pattern="events.parquet")
+
+
 def _stream(spark, sf_dir):
-    e = replay(spark, "parquet", sf_dir, d.raw(spark, sf_dir, "events").schema, pattern="events.parquet")
+    e = _events(spark, sf_dir)
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('cam', lpad(cast((event_id * 7 + user_id) % 30 + 1 as string), 2, '0'))").alias("camera_id"), F.col("user_id").alias("track_id")
     )
@@ -39,9 +43,8 @@ def stream_session_visits(spark, sf_dir):
 
 @query(CONSENSUS, d.SIGHTINGS)
 def stream_vote(spark, sf_dir):
-    s = d.sightings(spark, sf_dir).select("id", "plate_text", "plate_conf")
-    reads = _stream(spark, sf_dir).join(s.where("plate_text is not null"), F.col("event_id") == F.col("id"))
-    reads = reads.select("camera_id", "track_id", F.col("id").alias("seq"), clean_plate(F.col("plate_text")).alias("text"), F.coalesce("plate_conf", F.lit(0.5)).alias("conf"))
+    s = d.sightings_of(_events(spark, sf_dir)).where("plate_text is not null")
+    reads = s.select("camera_id", "track_id", F.col("id").alias("seq"), clean_plate(F.col("plate_text")).alias("text"), F.coalesce("plate_conf", F.lit(0.5)).alias("conf"))
     return newest_verdicts(live.run_to_end(live.voted(reads), "votes"))
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sightline.operators import matching, movement, retention, retrieval, traffic, votes
+from sightline.params import Vote
 from sightline.plans.live import newest_verdicts
 from sightline.sources.files import replay
 from sightline.streaming import live
@@ -99,3 +101,48 @@ def test_scope_search_and_decline(spark):
     found = retrieval.decided(df, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
     got = {r.query_id: (r.intent, r.action, r.doc_id) for r in found.collect()}
     assert {q: got[i] for i, q in enumerate(asked)} == asked
+
+
+def test_many_tracks_are_few_states(spark, tmp_path):
+    """3,000 tracks stand in at most 1,024 rows of state, and their verdicts are those of the batch."""
+    at, source = f"file://{tmp_path}/votes", f"{tmp_path}/in"
+    rows = spark.range(9_000).selectExpr("concat('cam0', id % 2) as camera_id", "id % 3000 as track_id", "id as seq", "concat('GJ01AB', lpad(cast(id % 3000 + id div 6000 as string), 4, '0')) as plate_text", "id % 7 / 10D as conf")
+    rows.coalesce(1).write.parquet(source)
+    stream = replay(spark, "parquet", source, rows.schema, pattern="*.parquet").withColumnRenamed("plate_text", "text")
+    out = live.run_to_end(live.voted(stream), "votes", at=at)
+    want = votes.consensus(rows, ["camera_id", "track_id"]).select("camera_id", "track_id", "plate", F.round("confidence", 6), "voters")
+    assert sorted(map(tuple, newest_verdicts(out).collect())) == sorted(map(tuple, want.collect()))
+    assert 0 < spark.read.format("statestore").load(f"{at}/state").count() <= 1024
+
+
+class Held:
+    """A part's state, without Spark."""
+
+    def __init__(self):
+        self.get, self.exists, self.now, self.due = None, False, 0, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.due = self.now + ms
+
+
+def test_silent_tracks_are_forgotten_and_others_are_not():
+    """A track that has been silent for too long when a batch comes is gone, also if another of its part has reads; a null id is a track's."""
+    state, told = Held(), []
+    for i, (now, track) in enumerate([(0, "1"), (60, "2"), (110, "2"), (120, "1"), (130, None), (140, None), (400, "")]):
+        state.now = now
+        b = pd.DataFrame({"camera_id": ["cam01"] * 3, "track": [track] * 3, "seq": [i * 10 + k for k in range(3)], "text": ["GJ01AB1234"] * 3, "conf": [0.5] * 3})
+        out = [r for f in live.part_votes(iter([b if track != "" else b[:0]]), state, Vote(), 100) for r in f.itertuples()]
+        told += [(r.newest_seq, None if pd.isna(r.track_id) else r.track_id, r.reads) for r in out]
+        if now == 60:
+            assert state.due == 100  # the first to go
+    assert told == [(2, 1, 3), (12, 2, 3), (22, 2, 6), (32, 1, 3), (42, None, 3), (52, None, 6)]
+    assert not state.exists
